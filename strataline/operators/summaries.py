@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import all_known_mean
 from .ordered import quantiles
+from .skew import attach
 
 
 def count_by(df: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
@@ -49,8 +50,9 @@ def shares(df: DataFrame, by: Sequence[str], within: Sequence[str] = (), n: str
 
 def share_of_counts(counts: DataFrame, within: Sequence[str] = (), n: str = "n", share: str = "proportion") -> DataFrame:
     if within:
-        total = F.sum(n).over(Window.partitionBy(*within))
-        return counts.withColumn(share, F.col(n) / total)
+        totals = counts.groupBy(*within).agg(F.sum(n).alias("__total"), F.count(F.lit(1)).alias("__rows"))
+        out = attach(counts, totals, within, "__rows", keep_size=False)
+        return out.withColumn(share, F.col(n) / F.col("__total")).drop("__total")
     return counts.withColumn(share, F.col(n) / counts.agg(F.sum(n)).scalar())
 
 
