@@ -13,6 +13,7 @@ from .joins import left_join
 from .ordered import frequencies
 from .reshape import indicator_columns
 from .sampling import stratified_sample
+from .skew import attach
 
 
 def outcome_from_id(subject: str | Column, control_prefix: str = "N") -> Column:
@@ -98,7 +99,7 @@ def item_sets(presence: DataFrame, subject: str, item: str, frequent_above: int
     present = presence.filter(F.col("present") == 1).select(subject, F.col(item).cast("string").alias("__item")).distinct()
     if frequent_above:
         support = present.groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
-        kept = present.join(support, "__item").withColumn("__keep", F.col("__n") > frequent_above)
+        kept = attach(present, support, ["__item"], "__n").withColumn("__keep", F.col("__n") > frequent_above)
     else:
         kept = present.withColumn("__keep", F.lit(True))
     # one subject's set has at most as many items as there are coordinates
