@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .missing import column
 
@@ -138,42 +139,42 @@ def _rows(f, *series):
     return pd.Series(out, dtype="object").where(~np.isnan(out), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(lambda t, v: beta_share(v / (v + t * t), v / 2, np.full_like(v, 0.5)), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _rows(lambda f, m, n: beta_share(n / (n + m * f), n / 2, m / 2), f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(lambda x, v: gamma_tail(v / 2, x / 2), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     half = lambda z: gamma_tail(np.full_like(z, 0.5), z * z / 2) / 2
     return _rows(lambda z: np.where(z >= 0, half(z), 1 - half(z)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_low(k: pd.Series, n: pd.Series) -> pd.Series:
     """Lower end of the exact 95 % interval of a share."""
     return _rows(lambda k, n: np.where(k <= 0, 0.0, beta_point(0.025, np.maximum(k, 1), n - k + 1)),
                  k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_high(k: pd.Series, n: pd.Series) -> pd.Series:
     """Upper end of the exact 95 % interval of a share."""
     return _rows(lambda k, n: np.where(k >= n, 1.0, beta_point(0.975, k + 1, np.maximum(n - k, 1))),
                  k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_at_least(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Chance of k or more successes."""
     return _rows(lambda k, n, p: np.where(k <= 0, 1.0, beta_share(p, np.maximum(k, 1), n - k + 1)),
