@@ -1,4 +1,4 @@
 """All registered queries. Importing this package fills the register."""
 
-from . import comparisons  # noqa: F401
+from . import comparisons, linkage, raters, variants, visits  # noqa: F401
 from .registry import QUERIES, Query  # noqa: F401

@@ -287,7 +287,8 @@ def logit_interaction(t):
 r AS (SELECT 'returned' AS flag, 'interaction' AS target, interaction AS level FROM k WHERE returned = 1 UNION ALL SELECT 'returned', 'outcome', outcome FROM k WHERE returned = 1
  UNION ALL SELECT 'discounted', 'interaction', interaction FROM k WHERE discounted = 1 UNION ALL SELECT 'discounted', 'outcome', outcome FROM k WHERE discounted = 1
  UNION ALL SELECT 'interaction', 'interaction', interaction FROM k WHERE interaction = 1 UNION ALL SELECT 'interaction', 'outcome', outcome FROM k WHERE interaction = 1)
-SELECT flag, target, level, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY flag, target), 6) AS proportion FROM r GROUP BY ALL""")
+SELECT flag, target, level, n, round(n / sum(n) OVER (PARTITION BY flag, target), 6) AS proportion
+FROM (SELECT flag, target, level, count(*) AS n FROM r GROUP BY ALL)""")
 def risk_flag_shares(t):
     return regression.risk_flag_shares(order_cohort(t), "outcome", "returned", "discounted")
 
