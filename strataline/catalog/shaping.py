@@ -218,9 +218,9 @@ def hist_equal_bins(t):
 
 @query("V3", f"""WITH r AS (SELECT c_mktsegment, c_custkey, c_acctbal AS sample, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n,
  quantile_cont(c_acctbal, 0.25) OVER (PARTITION BY c_mktsegment) AS q1, quantile_cont(c_acctbal, 0.75) OVER (PARTITION BY c_mktsegment) AS q3 FROM customer),
-s AS (SELECT *, (q3 - q1) / (2 * {Q.normal_quantile('0.75')}) AS slope FROM r)
-SELECT c_mktsegment, c_custkey, i, round({Q.normal_quantile('((i - CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END))')}, 6) AS theoretical, sample,
- round(slope, 4) AS line_slope, round(q1 + slope * {Q.normal_quantile('0.75')}, 4) AS line_intercept FROM s""", line_slope=4, line_intercept=4)
+s AS (SELECT *, (q3 - q1) / (2 * {Q.normal_quantile('0.75::DOUBLE')}) AS slope FROM r)
+SELECT c_mktsegment, c_custkey, i, round({Q.normal_quantile('((i - CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END)::DOUBLE / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END))::DOUBLE')}, 6) AS theoretical, sample,
+ round(slope, 4) AS line_slope, round(q1 + slope * {Q.normal_quantile('0.75::DOUBLE')}, 4) AS line_intercept FROM s""", line_slope=4, line_intercept=4)
 def qq_points(t):
     return normality.qq_points(t.customer, "c_acctbal", ["c_mktsegment"], ["c_custkey"])
 

@@ -68,7 +68,7 @@ def variant_columns(calls: DataFrame, subject: str, coordinates: Sequence[int],
     out = calls.filter(F.col("Coordinate").isin(list(coordinates))).groupBy(subject).agg(
         *[at(c, F.col("Variant")).alias(f"{prefix}_coordinate_{c}_variant") for c in coordinates],
         *[at(c, present).alias(f"{prefix}_coordinate_{c}") for c in coordinates])
-    return out.withColumn(f"{prefix}_three_snv", text.all_flags(*[f"{prefix}_coordinate_{c}" for c in coordinates]))
+    return out.withColumn(f"{prefix}_all_present", text.all_flags(*[f"{prefix}_coordinate_{c}" for c in coordinates]))
 
 
 def with_key(rows: DataFrame, keys: DataFrame, number_column: str) -> DataFrame:

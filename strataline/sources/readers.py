@@ -49,24 +49,28 @@ def read_positional(spark: SparkSession, path: str | list[str], names: Sequence[
         "nullValue", MISSING).csv(path).replace("", None)
 
 
-def file_name() -> Column:
-    """Name of the file a row came from, without the folder."""
-    return F.col("_metadata.file_name")
+def subject_of_file(id_pattern: str, group: int = 0, whole_path: bool = False) -> Column:
+    """Subject id from the name (or the whole path) of the file a row came from."""
+    source = F.col("_metadata.file_path" if whole_path else "_metadata.file_name")
+    found = F.regexp_extract(source, id_pattern, group)
+    return F.when(found != "", found)
 
 
 def read_subject_files(spark: SparkSession, path: str | list[str], names: Sequence[str], id_pattern: str,
-                       subject: str = "id", sep: str = ",") -> DataFrame:
+                       subject: str = "id", sep: str = ",", group: int = 0, whole_path: bool = False) -> DataFrame:
     """All per-subject files in one scan; the subject id is taken from the file name."""
     df = spark.read.schema(text_schema(names)).option("header", True).option("sep", sep).option(
-        "nullValue", MISSING).csv(path)
-    found = F.regexp_extract(file_name(), id_pattern, 0)
-    return df.select("*", F.when(found != "", found).alias(subject))
+        "nullValue", MISSING).option("recursiveFileLookup", True).csv(path)
+    return df.select("*", subject_of_file(id_pattern, group, whole_path).alias(subject))
 
 
-def list_subjects(spark: SparkSession, path: str, id_pattern: str, subject: str = "id") -> DataFrame:
+def list_subjects(spark: SparkSession, path: str, id_pattern: str, subject: str = "id", group: int = 0,
+                  whole_path: bool = False) -> DataFrame:
     """Subjects that have a file, also those whose file has no rows. File contents are not read."""
-    found = F.regexp_extract(F.element_at(F.split("path", "/"), -1), id_pattern, 0)
-    return spark.read.format("binaryFile").load(path).select(F.when(found != "", found).alias(subject)).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    source = F.col("path") if whole_path else F.element_at(F.split("path", "/"), -1)
+    found = F.regexp_extract(source, id_pattern, group)
+    return files.select(F.when(found != "", found).alias(subject)).distinct()
 
 
 def read_chosen(spark: SparkSession, path: str, key: str, ids: Sequence[str] | DataFrame) -> DataFrame:
