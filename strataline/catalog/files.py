@@ -155,23 +155,23 @@ def fact_table_round_trip(t):
 
 MASTER_SQL = """
 a AS (SELECT 'P-' || c_custkey AS master_no, c_custkey::VARCHAR AS key_id, c_mktsegment AS gender, '2020-01-01' AS visit FROM customer WHERE c_nationkey < 18),
-b AS (SELECT 'C-' || c_custkey AS cancerrop_no, c_custkey::VARCHAR AS key_id, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS gender, '2021-01-01' AS visit FROM customer WHERE c_nationkey >= 6),
+b AS (SELECT 'C-' || c_custkey AS registry_no, c_custkey::VARCHAR AS key_id, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS gender, '2021-01-01' AS visit FROM customer WHERE c_nationkey >= 6),
 v AS (SELECT o_custkey::VARCHAR AS key_id, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 'A>G' END) AS v1, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS p1, max(CASE WHEN o_orderpriority = '2-HIGH' THEN 'A>G' END) AS v2,
  max(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 END) AS p2 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY ALL),
-ab AS (SELECT key_id, master_no, cancerrop_no, coalesce(a.gender, b.gender) AS gender, CASE WHEN a.visit IS NULL THEN b.visit WHEN b.visit IS NULL THEN a.visit ELSE a.visit || chr(10) || b.visit END AS visit FROM a FULL JOIN b USING (key_id))"""
+ab AS (SELECT key_id, master_no, registry_no, coalesce(a.gender, b.gender) AS gender, CASE WHEN a.visit IS NULL THEN b.visit WHEN b.visit IS NULL THEN a.visit ELSE a.visit || chr(10) || b.visit END AS visit FROM a FULL JOIN b USING (key_id))"""
 
 
-@query("J3 J1 P5 R1 C29", f"""WITH {MASTER_SQL} SELECT key_id, master_no, cancerrop_no, gender, visit, v1 AS urgent_variant, v2 AS high_variant, CASE WHEN p1 + p2 = 2 THEN 1 END::DOUBLE AS both_present FROM ab FULL JOIN v USING (key_id)""")
+@query("J3 J1 P5 R1 C29", f"""WITH {MASTER_SQL} SELECT key_id, master_no, registry_no, gender, visit, v1 AS urgent_variant, v2 AS high_variant, CASE WHEN p1 + p2 = 2 THEN 1 END::DOUBLE AS both_present FROM ab FULL JOIN v USING (key_id)""")
 def master_table(t):
     """Two registries and a variant table merged by person key."""
     c = t.customer
     key = F.col("c_custkey").cast("string").alias("key_id")
     a = c.filter("c_nationkey < 18").select(F.concat(F.lit("P-"), F.col("c_custkey").cast("string")).alias("master_no"), key, F.col("c_mktsegment").alias("gender"), F.lit("2020-01-01").alias("visit"))
-    b = c.filter("c_nationkey >= 6").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("cancerrop_no"), key,
+    b = c.filter("c_nationkey >= 6").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("registry_no"), key,
                                             F.when(F.pmod("c_nationkey", F.lit(2)) == 0, F.col("c_mktsegment")).alias("gender"), F.lit("2021-01-01").alias("visit"))
     levels = ["1-URGENT", "2-HIGH"]
     calls = t.orders.select(F.col("o_custkey").cast("string").alias("key_id"), F.col("o_orderpriority").alias("Coordinate"), F.lit("A>G").alias("Variant"))
     v = cohort.variant_columns(calls, "key_id", levels, "x")
     v = v.select("key_id", F.col("x_coordinate_1-URGENT_variant").alias("urgent_variant"), F.col("x_coordinate_2-HIGH_variant").alias("high_variant"),
                  (F.col("x_coordinate_1-URGENT") + F.col("x_coordinate_2-HIGH") == 2).cast("int").cast("double").alias("both_present"))
-    return cohort.master_table(a, [b, v], front=["key_id", "master_no", "cancerrop_no"])
+    return cohort.master_table(a, [b, v], front=["key_id", "master_no", "registry_no"])

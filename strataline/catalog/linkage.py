@@ -64,12 +64,12 @@ def lookup_enrichment(t):
 
 LINK_SQL = """
 a AS (SELECT c_custkey::VARCHAR AS patient_id, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS gender, 'M' || c_custkey AS master_no FROM customer WHERE c_nationkey < 18),
-b AS (SELECT c_custkey::VARCHAR AS patient_id, c_name AS name, c_mktsegment AS gender, 'C' || c_custkey AS cancerrop_no FROM customer WHERE c_nationkey >= 6),
+b AS (SELECT c_custkey::VARCHAR AS patient_id, c_name AS name, c_mktsegment AS gender, 'C' || c_custkey AS registry_no FROM customer WHERE c_nationkey >= 6),
 k1 AS (SELECT 'M' || c_custkey AS master_no, c_mktsegment AS gender, 'K' || c_custkey AS karyotype_no FROM customer WHERE c_nationkey BETWEEN 3 AND 20),
 k2 AS (SELECT c_name AS name, c_mktsegment AS gender, 'G' || c_custkey AS ngs_2_no FROM customer WHERE c_nationkey > 10),
-ab AS (SELECT patient_id, coalesce(a.name, b.name) AS name, coalesce(a.gender, b.gender) AS gender, master_no, cancerrop_no FROM a FULL JOIN b USING (patient_id)),
-abk AS (SELECT patient_id, name, coalesce(ab.gender, k1.gender) AS gender, coalesce(ab.master_no, k1.master_no) AS master_no, cancerrop_no, karyotype_no FROM ab FULL JOIN k1 ON ab.master_no IS NOT DISTINCT FROM k1.master_no),
-al AS (SELECT patient_id, coalesce(abk.name, k2.name) AS name, coalesce(abk.gender, k2.gender) AS gender, master_no, cancerrop_no, karyotype_no, ngs_2_no FROM abk FULL JOIN k2 ON abk.name IS NOT DISTINCT FROM k2.name AND abk.gender IS NOT DISTINCT FROM k2.gender)"""
+ab AS (SELECT patient_id, coalesce(a.name, b.name) AS name, coalesce(a.gender, b.gender) AS gender, master_no, registry_no FROM a FULL JOIN b USING (patient_id)),
+abk AS (SELECT patient_id, name, coalesce(ab.gender, k1.gender) AS gender, coalesce(ab.master_no, k1.master_no) AS master_no, registry_no, karyotype_no FROM ab FULL JOIN k1 ON ab.master_no IS NOT DISTINCT FROM k1.master_no),
+al AS (SELECT patient_id, coalesce(abk.name, k2.name) AS name, coalesce(abk.gender, k2.gender) AS gender, master_no, registry_no, karyotype_no, ngs_2_no FROM abk FULL JOIN k2 ON abk.name IS NOT DISTINCT FROM k2.name AND abk.gender IS NOT DISTINCT FROM k2.gender)"""
 
 
 def registries(t):
@@ -77,18 +77,18 @@ def registries(t):
     key = lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string"))
     pid, name, sex = F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("gender")
     a = c.filter("c_nationkey < 18").select(pid, name, F.when(F.pmod("c_nationkey", F.lit(2)) == 0, F.col("c_mktsegment")).alias("gender"), key("M").alias("master_no"))
-    b = c.filter("c_nationkey >= 6").select(pid, name, sex, key("C").alias("cancerrop_no"))
+    b = c.filter("c_nationkey >= 6").select(pid, name, sex, key("C").alias("registry_no"))
     k1 = c.filter("c_nationkey BETWEEN 3 AND 20").select(key("M").alias("master_no"), sex, key("K").alias("karyotype_no"))
     k2 = c.filter("c_nationkey > 10").select(name, sex, key("G").alias("ngs_2_no"))
     return a, b, k1, k2
 
 
-@query("J9 J2", f"""WITH {LINK_SQL} SELECT patient_id, name, gender, master_no, cancerrop_no, karyotype_no, ngs_2_no,
- row_number() OVER (ORDER BY patient_id NULLS LAST, master_no NULLS LAST, cancerrop_no NULLS LAST, karyotype_no NULLS LAST, ngs_2_no NULLS LAST)::VARCHAR AS key_id FROM al""")
+@query("J9 J2", f"""WITH {LINK_SQL} SELECT patient_id, name, gender, master_no, registry_no, karyotype_no, ngs_2_no,
+ row_number() OVER (ORDER BY patient_id NULLS LAST, master_no NULLS LAST, registry_no NULLS LAST, karyotype_no NULLS LAST, ngs_2_no NULLS LAST)::VARCHAR AS key_id FROM al""")
 def link_keys(t):
     a, b, k1, k2 = registries(t)
     return joins.link_registries(a, [(b, ["patient_id"]), (k1, ["master_no"]), (k2, ["name", "gender"])],
-                                 ["patient_id", "master_no", "cancerrop_no", "karyotype_no", "ngs_2_no"])
+                                 ["patient_id", "master_no", "registry_no", "karyotype_no", "ngs_2_no"])
 
 
 MATCH_SQL = """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import materialise
 from .ordered import ordered_scan
 
 Z95 = 1.959963984540054  # fixed value: 97.5 % point of the standard normal
@@ -86,6 +87,7 @@ def score_steps(df: DataFrame, score: str, label: str, by: Sequence[str] = (), p
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = known.groupBy(*by, score).agg(
         F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg"))
+    counts = materialise(counts)  # read twice: measured, then scanned
     return ordered_scan(counts, by, [f"-{score}"], running={"tp": "pos", "fp": "neg"},
                         total={"positives": "pos", "negatives": "neg"})
 

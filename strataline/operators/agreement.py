@@ -27,17 +27,17 @@ def kappa(df: DataFrame, first: str, second: str, by: Sequence[str] = ()) -> Dat
                              F.when(F.col("row_level") == F.col("col_level"), F.col("n")).otherwise(0).alias("d")),
                     F.struct(F.col("col_level").alias("level"), F.lit(0).cast("bigint").alias("r"), F.col("n").alias("c"),
                              F.lit(0).cast("bigint").alias("d")))
-    levels = cells.select(*by, F.explode(marks).alias("m")).groupBy(*by, "m.level").agg(
-        F.sum("m.r").cast("double").alias("r"), F.sum("m.c").cast("double").alias("c"), F.sum("m.d").cast("double").alias("d"))
+    levels = cells.select(*by, F.explode(marks).alias("__m")).groupBy(*by, F.col("__m.level").alias("__level")).agg(
+        F.sum("__m.r").cast("double").alias("__r"), F.sum("__m.c").cast("double").alias("__c"), F.sum("__m.d").cast("double").alias("__d"))
     out = levels.groupBy(*by).agg(
-        F.sum("r").alias("n"), F.sum("d").alias("same"), F.sum(F.col("r") * F.col("c")).alias("rc"),
-        F.sum(F.col("r") * F.col("c") * (F.col("r") + F.col("c"))).alias("rcs"))
-    n = F.col("n")
-    out = out.withColumns({"po": F.col("same") / n, "pe": F.col("rc") / (n * n)})
-    pe = F.col("pe")
-    variance = (pe + pe * pe - F.col("rcs") / (n * n * n)) / n
-    value = F.try_divide(F.col("po") - pe, F.when(pe < 1, 1 - pe))
+        F.sum("__r").alias("__n"), F.sum("__d").alias("__same"), F.sum(F.col("__r") * F.col("__c")).alias("__rc"),
+        F.sum(F.col("__r") * F.col("__c") * (F.col("__r") + F.col("__c"))).alias("__rcs"))
+    n = F.col("__n")
+    out = out.withColumns({"__po": F.col("__same") / n, "__pe": F.col("__rc") / (n * n)})
+    pe = F.col("__pe")
+    variance = (pe + pe * pe - F.col("__rcs") / (n * n * n)) / n
+    value = F.try_divide(F.col("__po") - pe, F.when(pe < 1, 1 - pe))
     z = F.try_divide(value * (1 - pe), F.when(variance > 0, F.sqrt(variance)))
-    out = out.select(*by, n.cast("bigint").alias("n"), (F.col("po") * 100).alias("percent_agreement"),
+    out = out.select(*by, n.cast("bigint").alias("n"), (F.col("__po") * 100).alias("percent_agreement"),
                      value.alias("kappa"), z.alias("z"))
     return out.withColumn("p_value", normal_two_sided("z"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import frequencies, quantiles
 from .ordering import with_category_total
 from .skew import attach
@@ -14,8 +15,8 @@ from .summaries import share_of_counts
 
 
 def _with_fences(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
-    freq = frequencies(df, by, value, weight, "__n")
-    q = quantiles(freq, by, value, {"q1": .25, "median": .5, "q3": .75}, weight="__n")
+    freq = materialise(frequencies(df, by, value, weight, "__n"))
+    q = quantiles(freq, by, value, {"q1": .25, "median": .5, "q3": .75}, weight="__n", ready=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     q = q.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
     return attach(freq, q, by, "n")
@@ -49,8 +50,9 @@ def histogram_equal(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     v = F.col(value).cast("double")
     low, high = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
     width = (high - low) / bins
-    place = F.least(F.floor(F.try_divide(v - low, width)), F.lit(bins - 1))
-    return df.filter(F.col(value).isNotNull()).groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(
+    # a range of one value has no width: everything is in bin 0
+    place = F.least(F.coalesce(F.floor(F.try_divide(v - low, width)), F.lit(0)), F.lit(bins - 1))
+    return df.filter(F.col(value).isNotNull()).groupBy(place.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..session import materialise
 from .joins import left_join
 from .ordered import frequencies
 from .reshape import indicator_columns
@@ -130,11 +131,11 @@ def combinations(sets: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def subject_combinations(presence: DataFrame, subject: str, item: str, threshold: int = 0) -> DataFrame:
     """Item-set rows per subject; with a threshold only sets with more support than it."""
     sets = item_sets(presence, subject, item, threshold)
-    rows = combinations(sets, [subject])
     if not threshold:
-        return rows
-    kept = combination_support(presence, subject, item, threshold).select("k", "item_set")
-    return rows.join(kept, ["k", "item_set"], "left_semi")
+        return combinations(sets, [subject])
+    sets = materialise(sets)  # read twice: for the support and for the rows
+    kept = _support(sets, threshold).select("k", "item_set")
+    return combinations(sets, [subject]).join(kept, ["k", "item_set"], "left_semi")
 
 
 def combination_support(presence: DataFrame, subject: str, item: str, threshold: int = 0) -> DataFrame:
@@ -143,7 +144,10 @@ def combination_support(presence: DataFrame, subject: str, item: str, threshold:
     Equal sets are counted once with their weight. A triple needs more support than the threshold in
     each of its items, so rarer items are left out before triples are formed.
     """
-    sets = item_sets(presence, subject, item, threshold)
+    return _support(item_sets(presence, subject, item, threshold), threshold)
+
+
+def _support(sets: DataFrame, threshold: int) -> DataFrame:
     patterns = sets.groupBy("size", "items").agg(F.count(F.lit(1)).alias("n"))
     spread = combinations(patterns, ["n"])
     return spread.groupBy("k", "item_set").agg(F.sum("n").cast("bigint").alias("support")).filter(

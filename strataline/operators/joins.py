@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import merge_cells
+from ..session import materialise
 from .columns import name_union
 from .ordered import ordered_scan
 from .skew import attach_size, full_join, same_key
@@ -103,5 +104,6 @@ def link_registries(first: DataFrame, steps: Sequence[tuple[DataFrame, Sequence[
     range-partitioned pieces, not in one task.
     """
     linked = reduce(lambda a, s: full_join_first_known(a, s[0], s[1], na_matches=na_matches), steps, first)
+    linked = materialise(linked)  # read twice: measured, then numbered
     numbered = ordered_scan(linked, [], list(natural_keys), row_number=key)
     return numbered.withColumn(key, F.col(key).cast("string"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import materialise
 from .ordered import frequencies, quantiles
 from .skew import attach
 
@@ -62,22 +63,22 @@ def t_test(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (),
 
 
 def _anova_from_groups(groups: DataFrame, by: Sequence[str], within: Column) -> DataFrame:
-    """ANOVA row per key from group rows ``(by…, n, mean, …)``; ``within`` is a group's sum of squares.
+    """ANOVA row per key from group rows ``(by…, __n, __mean, …)``; ``within`` is a group's sum of squares.
 
     The windows run over group rows (one per level), not over data rows.
     """
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    centred = groups.withColumn("__grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
-    deviation = F.col("mean") - F.col("__grand")
+    centred = groups.withColumn("__grand", F.sum(F.col("__n") * F.col("__mean")).over(w) / F.sum("__n").over(w))
+    deviation = F.col("__mean") - F.col("__grand")
     out = centred.groupBy(*by).agg(
-        F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("n") * deviation * deviation).alias("ss_between"), F.sum(within).alias("ss_within"))
-    out = out.withColumns({"df_between": F.col("k") - 1, "df_within": F.col("n") - F.col("k")})
+        F.sum("__n").cast("bigint").alias("__n"), F.count(F.lit(1)).alias("__k"),
+        F.sum(F.col("__n") * deviation * deviation).alias("ss_between"), F.sum(within).alias("ss_within"))
+    out = out.withColumns({"df_between": F.col("__k") - 1, "df_within": F.col("__n") - F.col("__k")})
     out = out.withColumns({
         "ms_between": F.try_divide("ss_between", "df_between"), "ms_within": F.try_divide("ss_within", "df_within")})
     out = out.withColumn("statistic", F.try_divide("ms_between", F.when(F.col("ms_within") > 0, F.col("ms_within"))))
     return out.withColumn("p_value", tails.f_upper("statistic", F.col("df_between").cast("double"),
-                                                   F.col("df_within").cast("double"))).drop("k")
+                                                   F.col("df_within").cast("double"))).drop("__n", "__k")
 
 
 ANOVA = ["df_between", "df_within", "ss_between", "ss_within", "ms_between", "ms_within", "statistic", "p_value"]
@@ -86,13 +87,13 @@ ANOVA = ["df_between", "df_within", "ss_between", "ss_within", "ms_between", "ms
 def group_moments(df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     n, mean, var = _moments(value, F.lit(True), weight)
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    return known.groupBy(*by, group).agg(n.cast("bigint").alias("n"), mean.alias("mean"), var.alias("var"))
+    return known.groupBy(*by, group).agg(n.cast("bigint").alias("__n"), mean.alias("__mean"), var.alias("__var"))
 
 
 def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One-way analysis of variance."""
     groups = group_moments(df, value, group, by, weight)
-    within = F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("var")).otherwise(0.0)
+    within = F.when(F.col("__n") > 1, (F.col("__n") - 1) * F.col("__var")).otherwise(0.0)
     return _anova_from_groups(groups, by, within).select(*by, *ANOVA)
 
 
@@ -100,33 +101,39 @@ def levene_test(df: DataFrame, value: str, group: str, by: Sequence[str] = (), w
                 center: str = "median") -> DataFrame:
     """Levene's test: ANOVA on absolute deviations from the group median (or mean).
 
-    Medians are exact and come from the frequency table, which also carries the deviations.
+    Medians are exact and come from the frequency table, which also carries the deviations. That
+    table is written to the checkpoint folder once and read by each step.
     """
+    known = df.filter(F.col(group).isNotNull())
+    return _levene(materialise(frequencies(known, [*by, group], value, weight, "__n")), value, group, by, center)
+
+
+def _levene(freq: DataFrame, value: str, group: str, by: Sequence[str], center: str = "median") -> DataFrame:
     keys = [*by, group]
-    freq = frequencies(df.filter(F.col(group).isNotNull()), keys, value, weight, "__w")
     if center == "median":
-        centres = quantiles(freq, keys, value, {"__c": 0.5}, weight="__w")
+        centres = quantiles(freq, keys, value, {"__c": 0.5}, weight="__n", ready=True)
     else:
-        centres = freq.groupBy(*keys).agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("__c"),
-                                          F.sum("__w").alias("n"))
-    spread = attach(freq, centres, keys, "n", keep_size=False).withColumn(
+        centres = freq.groupBy(*keys).agg((F.sum(F.col("__n") * F.col(value)) / F.sum("__n")).alias("__c"),
+                                          F.sum("__n").alias("n"))
+    centres = centres.withColumnRenamed("n", "__size")
+    spread = attach(freq, centres, keys, "__size", keep_size=False).withColumn(
         "__z", F.abs(F.col(value).cast("double") - F.col("__c")))
-    return anova(spread, "__z", group, by, weight="__w").select(
+    return anova(spread, "__z", group, by, weight="__n").select(
         *by, "df_between", "df_within", "statistic", "p_value")
 
 
 def bartlett_test(df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Bartlett's test of equal variances; NULL where a group has no spread."""
     groups = group_moments(df, value, group, by, weight)
-    m = F.col("n") - 1
+    m = F.col("__n") - 1
     out = groups.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(m * F.col("var")).alias("ss"),
-        F.sum(m * F.ln("var")).alias("logs"), F.sum(F.try_divide(F.lit(1.0), m)).alias("inverse"),
-        F.min("var").alias("least"), F.min("n").alias("smallest"))
-    free, k = (F.col("n") - F.col("k")).cast("double"), F.col("k")
-    stat = (free * F.ln(F.try_divide(F.col("ss"), free)) - F.col("logs")) / (
-        1 + (F.col("inverse") - F.try_divide(F.lit(1.0), free)) / (3 * F.when(k > 1, k - 1)))
-    usable = (F.col("smallest") > 1) & (F.col("least") > 0) & (k > 1)
+        F.count(F.lit(1)).alias("__k"), F.sum(m * F.col("__var")).alias("__ss"),
+        F.sum(m * F.ln("__var")).alias("__logs"), F.sum(F.try_divide(F.lit(1.0), m)).alias("__inverse"),
+        F.min("__var").alias("__least"), F.min("__n").alias("__smallest"), F.sum("__n").alias("__n"))
+    free, k = (F.col("__n") - F.col("__k")).cast("double"), F.col("__k")
+    stat = (free * F.ln(F.try_divide(F.col("__ss"), free)) - F.col("__logs")) / (
+        1 + (F.col("__inverse") - F.try_divide(F.lit(1.0), free)) / (3 * F.when(k > 1, k - 1)))
+    usable = (F.col("__smallest") > 1) & (F.col("__least") > 0) & (k > 1)
     out = out.withColumns({"statistic": F.when(usable, stat), "df": (k - 1).cast("bigint")})
     return out.withColumn("p_value", tails.chi2_upper("statistic", F.col("df").cast("double"))).select(
         *by, "statistic", "df", "p_value")
@@ -139,8 +146,8 @@ def t_test_by_spread(df: DataFrame, value: str, group: str, x, y, by: Sequence[s
     ``by`` must not be empty; the data is first reduced to a frequency table that both tests share.
     """
     two = df.filter(F.col(group).isin(x, y))
-    freq = frequencies(two, [*by, group], value, weight, "__n")
-    levene = levene_test(freq, value, group, by, "__n").select(
+    freq = materialise(frequencies(two, [*by, group], value, weight, "__n"))
+    levene = _levene(freq, value, group, by).select(
         *[F.col(b).alias(f"__l_{b}") for b in by], F.col("statistic").alias("levene_f"), F.col("p_value").alias("levene_p"))
     m = two_group_moments(freq, value, group, x, y, by, "__n")
     on = F.lit(True)

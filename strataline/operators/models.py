@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordering import top
 from .sampling import split
 
@@ -29,6 +30,7 @@ def item_features(item_rows: DataFrame, subjects: DataFrame, subject: str, item:
     """Sparse 0/1 vectors from long item rows; items with support at most ``threshold`` are left out."""
     bags = item_rows.groupBy(subject).agg(F.collect_set(item).alias("__bag"))
     rows = subjects.join(bags, subject, "left").withColumn("__bag", F.coalesce("__bag", F.array().cast("array<string>")))
+    rows = materialise(rows)  # read by the fit and by the result
     # the vocabulary is bounded by the number of supported items, not by subjects
     model: CountVectorizerModel = CountVectorizer(inputCol="__bag", outputCol="features", binary=True,
                                                   minDF=float(threshold + 1), vocabSize=1 << 20).fit(rows)

@@ -56,14 +56,16 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     fit = F.when(F.col("n") == 3, ends).when(
         F.col("n") <= 5, ends + (inside + F.when(F.col("n") > 3, mn1 * second).otherwise(0.0)) / F.sqrt(one)).otherwise(
         ends + an1 * second + inside / F.sqrt(two))
-    w = F.least(F.try_divide(fit * fit, F.when(F.col("ss") > 0, F.col("ss"))), F.lit(1.0))
+    share = fit * fit / F.when(F.col("ss") > 0, F.col("ss"))
+    w = F.when(share > 1, 1.0).otherwise(share)
     rows = rows.withColumn("w", w)
     size, ln_n = F.col("n").cast("double"), F.ln(F.col("n").cast("double"))
     y = F.ln(1 - F.col("w"))
     bound = polynomial(size, SMALL_BOUND)
     z = F.when(F.col("n") <= 11, (-F.ln(bound - y) - polynomial(size, SMALL_MEAN)) / F.exp(polynomial(size, SMALL_LOG_SD))
                ).otherwise((y - polynomial(ln_n, LARGE_MEAN)) / F.exp(polynomial(ln_n, LARGE_LOG_SD)))
-    exact = F.greatest(6 / F.lit(3.141592653589793) * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))), F.lit(0.0))
+    exact = 6 / F.lit(3.141592653589793) * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75))))
+    exact = F.when(exact < 0, 0.0).otherwise(exact)
     rows = rows.withColumn("p_value", F.when(F.col("n") == 3, exact).when(
         (F.col("n") <= 11) & (y >= bound), F.lit(0.0)).otherwise(normal_upper(z)))
     rows = rows.select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("w").alias("statistic"), "p_value")

@@ -139,12 +139,17 @@ def frequencies(df: DataFrame, by: Sequence[str], value: str, weight: str | None
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, ready: bool = False) -> DataFrame:
     """Exact quantiles (linear interpolation at ``(n - 1) p``) per group: one row per group.
 
-    Works on the frequency table, so no task ever holds the values of a whole group.
+    Works on the frequency table, so no task ever holds the values of a whole group. The table is
+    written to the checkpoint folder once, because it is read twice (measured, then scanned);
+    ``ready=True`` states that ``df`` already is such a table with its counts in ``weight``.
     """
-    freq = frequencies(df, by, value, weight, "__n")
+    if ready:
+        freq = df.withColumnRenamed(weight, "__n") if weight != "__n" else df
+    else:
+        freq = materialise(frequencies(df, by, value, weight, "__n"))
     scan = ordered_scan(freq, by, [value], running={"__cum": "__n"}, total={"__total": "__n"})
     marks = []
     for name, p in probs.items():

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_two_sided
+from ..session import materialise
 from .columns import product
 from .joins import anti_join, semi_join
 from .reshape import stack
@@ -20,13 +21,14 @@ from .summaries import shares
 def logit_interaction(df: DataFrame, outcome: str, first: str, second: str) -> DataFrame:
     """Binomial regression ``outcome ~ first * second``: one row per term.
 
-    Rows are reduced to distinct (outcome, predictors) with counts first, so the iterations run over
-    that table. ``deviance``, ``null_deviance``, ``aic`` and ``n`` repeat on every row.
+    Rows are reduced to distinct (outcome, predictors) with counts first; the iterations run over that
+    table, which is written to the checkpoint folder once. ``deviance``, ``null_deviance``, ``aic`` and ``n`` repeat on every row.
     """
     kept = df.select(*[F.col(c).cast("double") for c in (outcome, first, second)]).na.drop()
     name = f"{first}:{second}"
     counts = product(kept.groupBy(outcome, first, second).agg(F.count(F.lit(1)).cast("double").alias("__w")),
                      first, second, name)
+    counts = materialise(counts)
     terms = [first, second, name]
     rows = VectorAssembler(inputCols=terms, outputCol="__x").transform(counts)
     fit = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=outcome, featuresCol="__x",

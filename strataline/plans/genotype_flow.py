@@ -10,6 +10,7 @@ from ..operators.filters import exclude_listed
 from ..operators.genotype import collapse_haplotype, subject_combinations
 from ..operators.models import item_features
 from ..operators.reshape import burden, presence_rows
+from ..session import materialise
 
 
 def combination_vectors(variants: DataFrame, excluded: DataFrame | None, threshold: int = 5,
@@ -23,6 +24,7 @@ def combination_vectors(variants: DataFrame, excluded: DataFrame | None, thresho
     presence = presence_rows(rows, subject, outcome, coordinate, variant)
     if haplotype:
         presence = collapse_haplotype(presence, subject, outcome, coordinate, haplotype)
+    presence = materialise(presence)  # read for the burden and for the combinations
     people = burden(presence, subject, outcome)
     items = subject_combinations(presence, subject, coordinate, threshold)
     return item_features(items, people, subject, threshold=threshold)
