@@ -73,7 +73,7 @@ def diagnostic_intervals(t):
  greatest(abs(fp - fn) - 1, 0) ** 2 / nullif(fp + fn, 0) AS mc FROM k)
 SELECT lang, round(acc, 6) AS accuracy, round(nir, 6) AS no_information_rate,
  round(list_sum(list_transform(range((tp + tn)::BIGINT, n::BIGINT + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1.0) - lgamma(n - j + 1) + j * ln(nir) + CASE WHEN nir < 1 THEN (n - j) * ln(1 - nir) WHEN j = n THEN 0 ELSE -1000 END))), 6) AS p_above_rate,
- round((acc - pe) / nullif(1 - pe, 0), 6) AS kappa, round(mc, 6) AS mcnemar, round({Q.chi2_p('greatest(mc, 1e-12)', '1')}, 4) AS mcnemar_p, round(tp / n, 6) AS detection_rate,
+ round((acc - pe) / nullif(1 - pe, 0), 6) AS kappa, round(mc, 6) AS mcnemar, CASE WHEN mc IS NOT NULL THEN round({Q.chi2_p('greatest(mc, 1e-12)', '1')}, 4) END AS mcnemar_p, round(tp / n, 6) AS detection_rate,
  round((tp + fp) / n, 6) AS detection_prevalence, round((tp + fn) / n, 6) AS prevalence, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy FROM a""", mcnemar_p=4)
 def confusion_summary(t):
     return accuracy.confusion_summary(counts(t)).select(

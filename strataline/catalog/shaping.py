@@ -11,13 +11,13 @@ from .registry import query
 
 @query("P1 P2", "SELECT c_custkey, c_nationkey, c_acctbal, c_name FROM customer")
 def chosen_columns(t):
-    a = columns.take(t.customer, 1, slice("c_nationkey", "c_acctbal"), "c_name")
-    return columns.take_where(a, columns.all_but(columns.one_of(["c_mktsegment"])))
+    a = columns.choose(t.customer, 1, slice("c_nationkey", "c_acctbal"), "c_name")
+    return columns.choose_where(a, columns.all_but(columns.one_of(["c_mktsegment"])))
 
 
 @query("P2", "SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate::DATE::VARCHAR AS l_shipdate FROM lineitem")
 def columns_by_pattern(t):
-    out = columns.take_where(t.lineitem, lambda c: columns.ends_with("key", "date")(c) and columns.starts_with("l_")(c))
+    out = columns.choose_where(t.lineitem, lambda c: columns.ends_with("key", "date")(c) and columns.starts_with("l_")(c))
     return out.withColumn("l_shipdate", F.to_date("l_shipdate").cast("string"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def take(df: DataFrame, *items: str | int | slice) -> DataFrame:
+def choose(df: DataFrame, *items: str | int | slice) -> DataFrame:
     """Columns by name, 1-based position, or 1-based inclusive slice (also between two names)."""
     names: list[str] = []
     place = {c: i + 1 for i, c in enumerate(df.columns)}
@@ -23,7 +23,7 @@ def take(df: DataFrame, *items: str | int | slice) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in dict.fromkeys(names)])
 
 
-def take_where(df: DataFrame, keep: Callable[[str], bool]) -> DataFrame:
+def choose_where(df: DataFrame, keep: Callable[[str], bool]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if keep(c)])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +102,9 @@ def link_registries(first: DataFrame, steps: Sequence[tuple[DataFrame, Sequence[
     Numbers follow the sorted natural keys, so a rerun gives the same ones; the numbering runs over
     range-partitioned pieces, not in one task.
     """
-    linked = reduce(lambda a, s: full_join_first_known(a, s[0], s[1], na_matches=na_matches), steps, first)
-    linked = materialise(linked)  # read twice: measured, then numbered
+    linked = first
+    for other, keys in steps:
+        # each step is read twice by the next one (measured, then joined), so it is written once
+        linked = materialise(full_join_first_known(linked, other, keys, na_matches=na_matches))
     numbered = ordered_scan(linked, [], list(natural_keys), row_number=key)
     return numbered.withColumn(key, F.col(key).cast("string"))

@@ -37,17 +37,15 @@ def to_long(df: DataFrame, ids: Sequence[str], names: Sequence[str], key: str =
 
 def to_wide(df: DataFrame, ids: Sequence[str], key: str, value: str, levels: Sequence,
             fill=None) -> DataFrame:
-    """One column per level. Two rows for one cell are an error, as there is no rule to choose."""
-    cell = df.filter(F.col(key).isin(list(levels))).groupBy(*ids, key).agg(
-        F.max(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
-    cell = cell.withColumn("__v", F.when(F.col("__n") > 1, F.raise_error(F.concat(
-        F.lit(f"duplicate cell for {key} "), F.col(key).cast("string")))).otherwise(F.col("__v")))
-    kept = df.select(*ids).distinct()
-    wide = cell.groupBy(*ids).pivot(key, list(levels)).agg(F.first("__v"))
-    renamed = wide.withColumnsRenamed({i: f"__k_{i}" for i in ids})
-    on = reduce(lambda a, b: a & b, [kept[i].eqNullSafe(renamed[f"__k_{i}"]) for i in ids])
-    out = kept.join(renamed, on, "left").drop(*[f"__k_{i}" for i in ids])
-    return out if fill is None else out.na.fill(fill, subset=[str(v) for v in levels])
+    """One column per level, in one aggregate. Two rows for one cell are an error, as there is no
+    rule to choose."""
+    cells = {str(v): (F.max(F.when(F.col(key) == v, F.col(value))), F.count_if(F.col(key) == v)) for v in levels}
+    wide = df.groupBy(*ids).agg(*[c.alias(f"__v{i}") for i, (c, _) in enumerate(cells.values())],
+                                *[n.alias(f"__n{i}") for i, (_, n) in enumerate(cells.values())])
+    checked = [F.when(F.col(f"__n{i}") > 1, F.raise_error(F.lit(f"duplicate cell for {key} {name}"))).otherwise(
+        F.col(f"__v{i}")).alias(name) for i, name in enumerate(cells)]
+    out = wide.select(*ids, *checked)
+    return out if fill is None else out.na.fill(fill, subset=list(cells))
 
 
 def to_indicators(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence, prefix: str = "") -> DataFrame:

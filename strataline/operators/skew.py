@@ -2,8 +2,8 @@
 
 Two tools:
 
-* ``full_join`` writes a full outer join as inner + two anti joins over the same two exchanges.
-  Spark can split hot partitions of inner and anti joins at run time, but not of a full outer join.
+* ``full_join`` writes the hot part of a full outer join as an inner and two anti joins. Spark can
+  split hot partitions of inner and anti joins at run time, but not of a full outer join.
 * ``attach`` joins per-key figures back to the rows. The figures come out of an aggregate, so Spark
   cannot split that join by itself; keys above the row limit are spread over several salts.
 """
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import group_rows
+from ..session import group_rows, materialise
 
 
 def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
@@ -26,23 +26,51 @@ def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return reduce(lambda x, y: x & y, tests)
 
 
+def hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows in one of the frames, or None. One job over the key columns."""
+    counted = [f.select(*[F.col(f"`{k}`").alias(f"__h_{k}") for k in keys], F.lit(i).alias("__side"))
+               for i, f in enumerate(frames)]
+    names = [f"__h_{k}" for k in keys]
+    many = reduce(lambda a, b: a.union(b), counted).groupBy(*names, "__side").agg(
+        F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*names).distinct()
+    return None if many.isEmpty() else materialise(many)
+
+
 def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = True,
               suffix: tuple[str, str] = (".x", ".y")) -> DataFrame:
-    """Full outer join; keys come once, other shared columns get the suffixes."""
+    """Full outer join; keys come once, other shared columns get the suffixes.
+
+    Without hot keys this is one full outer join. Rows of hot keys (their list is bounded by rows /
+    limit, so it is broadcast) go through an inner join and two anti joins instead.
+    """
     keys = list(keys)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     left = left.withColumnsRenamed({c: c + suffix[0] for c in shared})
+    right = right.withColumnsRenamed({c: c + suffix[1] for c in shared})
+    names = [*left.columns, *[c for c in right.columns if c not in keys]]
+    hot = hot_keys([left, right], keys, group_rows(left.sparkSession))
     right_keys = {k: f"__right_{k}" for k in keys}
-    right = right.withColumnsRenamed({**{c: c + suffix[1] for c in shared}, **right_keys})
-    pairs = [(k, right_keys[k]) for k in keys]
-    on = same_key(left, right, pairs, na_matches)
-    back_on = on
-    both = left.join(right, on, "inner").drop(*right_keys.values())
-    left_only = left.join(right, on, "left_anti")
-    right_only = right.join(left, back_on, "left_anti").withColumnsRenamed(
-        {v: k for k, v in right_keys.items()})
-    return both.unionByName(left_only, allowMissingColumns=True).unionByName(
-        right_only, allowMissingColumns=True)
+
+    def outer(x: DataFrame, y: DataFrame) -> DataFrame:
+        # the flags tell an absent side from a present one whose key is missing
+        x, y = x.withColumn("__l", F.lit(True)), y.withColumnsRenamed(right_keys)
+        out = x.join(y, same_key(x, y, list(right_keys.items()), na_matches), "full")
+        return out.select(*[F.when(F.col("__l"), F.col(f"`{c}`")).otherwise(F.col(f"`{right_keys[c]}`")).alias(c)
+                            if c in keys else F.col(f"`{c}`") for c in names])
+
+    if hot is None:
+        return outer(left, right)
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(hot), same_key(df, hot, [(k, f"__h_{k}") for k in keys], True), how)
+
+    x, y = part(left, "left_semi"), part(right, "left_semi").withColumnsRenamed(right_keys)
+    on = same_key(x, y, list(right_keys.items()), na_matches)
+    both = x.join(y, on, "inner").drop(*right_keys.values())
+    y_only = y.join(x, on, "left_anti").withColumnsRenamed({v: k for k, v in right_keys.items()})
+    pieces = [both, x.join(y, on, "left_anti"), y_only]
+    split = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    return outer(part(left, "left_anti"), part(right, "left_anti")).unionByName(split.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def attach(df: DataFrame, figures: DataFrame, keys: Sequence[str], size: str = "n",

@@ -78,16 +78,16 @@ def with_key(rows: DataFrame, keys: DataFrame, number_column: str) -> DataFrame:
 
 
 def master_table(first: DataFrame, others: Sequence[DataFrame], key: str = "key_id", front: Sequence[str] = (),
-                 na_matches: bool = True, materialise_steps: bool = False) -> DataFrame:
+                 na_matches: bool = True, write_steps: bool = True) -> DataFrame:
     """Merge all sources into the first one by person key and put the id columns first.
 
     Rows without a key match rows without a key, as in the scripts; ``na_matches=False`` keeps them
-    apart (their number of pairs grows with the product). ``materialise_steps`` writes each step to the
-    checkpoint folder, for long chains on large tables.
+    apart (their number of pairs grows with the product). Each step is written once to the shared
+    folder, because the next one reads it twice (measured, then joined).
     """
     def step(a: DataFrame, b: DataFrame) -> DataFrame:
         merged = coalesce_join(a, b, [key], na_matches)
-        return materialise(merged) if materialise_steps else merged
+        return materialise(merged) if write_steps else merged
     out = reduce(step, others, first)
     return move(out, [c for c in front if c in out.columns])
 

@@ -50,7 +50,16 @@ def test_attach_keeps_every_row(spark, small_groups):
     assert all(r["n"] == (sizes[r["k"]] if r["k"] is not None else int(pdf.k.isna().sum())) for r in got)
 
 
-def test_full_join_like_outer_merge(spark):
+@pytest.mark.parametrize("limit", ["1000", "1"])
+def test_full_join_like_outer_merge(spark, limit):
+    spark.conf.set("strataline.group_rows", limit)
+    try:
+        check_full_join(spark)
+    finally:
+        spark.conf.unset("strataline.group_rows")
+
+
+def check_full_join(spark):
     x = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     y = spark.createDataFrame([(2, "B"), (2, "BB"), (3, "C"), (None, "N")], "k int, v string")
     key = lambda t: tuple(str(a) for a in t)
