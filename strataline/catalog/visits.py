@@ -29,7 +29,7 @@ def visit_rows(t):
 @query("W1 W2 W3 C19", f"""WITH {VISITS_SQL} SELECT event_id, user_id, event_type, days AS diff_btw_re_and_me, rank, gap::DOUBLE AS diff_btw_me,
  round(delta, 6) AS delta, round(CASE WHEN gap <> 0 THEN delta / (gap / 365.0) END, 5) AS delta_per_year FROM lon""", delta_per_year=5)
 def visit_rank_delta(t):
-    return visit_rows(t).select("event_id", "user_id", "event_type", "diff_btw_re_and_me", "rank",
+    return visit_rows(t).select("event_id", "user_id", "event_type", F.col("diff_btw_re_and_me").cast("bigint").alias("diff_btw_re_and_me"), "rank",
                                 F.col("diff_btw_me").cast("double").alias("diff_btw_me"), "delta", "delta_per_year")
 
 
@@ -83,7 +83,7 @@ def packed_longitudinal(t):
                                                F.array_join(F.transform("x", lambda s: s["d"]), "\n").alias("measurement_date"))
     out = longitudinal.longitudinal_table(wide, {"clicks": "click", "errors": "error"}, "user_id", drop_missing=["click", "error"])
     return out.select("user_id", "measurement", F.col("measurement_date").cast("string").alias("measurement_date"), "measurement_value", "rank",
-                      "diff_btw_re_and_me", F.col("diff_btw_me").cast("double").alias("diff_btw_me"), "delta", "delta_per_year")
+                      F.col("diff_btw_re_and_me").cast("bigint").alias("diff_btw_re_and_me"), F.col("diff_btw_me").cast("double").alias("diff_btw_me"), "delta", "delta_per_year")
 
 
 @query("J8 V5", f"""WITH {VISITS_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM lon)
@@ -91,7 +91,7 @@ SELECT user_id, event_type, (user_id % 2 <> 0)::INTEGER AS odd, coalesce(gap, 0)
 def trajectories(t):
     rows = visit_rows(t).withColumn("odd", F.pmod("user_id", F.lit(2)))
     out = longitudinal.trajectories(rows, "odd", "user_id", "event_type", "diff_btw_me", "value", 14)
-    return out.select("user_id", "event_type", F.col("odd").cast("int").alias("odd"), F.col("diff_btw_me").alias("gap"), "value")
+    return out.select("user_id", "event_type", F.col("odd").cast("int").alias("odd"), F.col("diff_btw_me").cast("bigint").alias("gap"), "value")
 
 
 @query("J8", """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 12)""")

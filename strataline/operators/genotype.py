@@ -95,15 +95,16 @@ def item_sets(presence: DataFrame, subject: str, item: str, frequent_above: int
     """Present items per subject: ``(subject, size, items)``.
 
     ``size`` counts all present items; ``items`` is sorted and, with ``frequent_above``, restricted
-    to items with more support than that.
+    to items with more support than that. A set has at most as many items as there are coordinates,
+    and repeats are dropped before the shuffle.
     """
-    present = presence.filter(F.col("present") == 1).select(subject, F.col(item).cast("string").alias("__item")).distinct()
-    if frequent_above:
-        support = present.groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
-        kept = attach(present, support, ["__item"], "__n").withColumn("__keep", F.col("__n") > frequent_above)
-    else:
-        kept = present.withColumn("__keep", F.lit(True))
-    # one subject's set has at most as many items as there are coordinates
+    present = presence.filter(F.col("present") == 1).select(subject, F.col(item).cast("string").alias("__item"))
+    if not frequent_above:
+        sets = present.groupBy(subject).agg(F.sort_array(F.collect_set("__item")).alias("items"))
+        return sets.select(subject, F.size("items").cast("bigint").alias("size"), "items")
+    present = present.distinct()
+    support = present.groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
+    kept = attach(present, support, ["__item"], "__n").withColumn("__keep", F.col("__n") > frequent_above)
     return kept.groupBy(subject).agg(
         F.count(F.lit(1)).alias("size"),
         F.sort_array(F.collect_list(F.when(F.col("__keep"), F.col("__item")))).alias("items"))
