@@ -152,11 +152,11 @@ def first_known_value(t):
     return people(t, "history", "ApoE", "family_history").select("person_id", missing.first_known("history", "ApoE", "family_history").alias("first_known"))
 
 
-@query("C28", """SELECT o_custkey, array_to_string(list_distinct_ordered, chr(10)) AS lines FROM (SELECT o_custkey, list_filter(v, lambda x, i: list_position(v, x) = i) AS list_distinct_ordered FROM (
- SELECT o_custkey, list_concat(coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderstatus = 'F'), []), coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F'), [])) AS v
- FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus <> 'F') > 0))""")
+@query("C28", """WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) FILTER (o_orderstatus = 'F') AS x, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) FILTER (o_orderstatus <> 'F') AS y
+ FROM orders GROUP BY o_custkey) SELECT o_custkey, array_to_string(list_concat(x, list_filter(y, lambda v: NOT list_contains(x, v))), chr(10)) AS lines FROM s WHERE x IS NOT NULL AND y IS NOT NULL""")
 def line_unions(t):
-    side = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("o_orderkey", "o_orderpriority")))), lambda s: s["o_orderpriority"])
+    # a set of priorities is bounded by the number of priorities
+    side = lambda test: F.sort_array(F.collect_set(F.when(test, F.col("o_orderpriority"))))
     packed = t.orders.groupBy("o_custkey").agg(side(F.col("o_orderstatus") == "F").alias("x"), side(F.col("o_orderstatus") != "F").alias("y"))
     packed = packed.filter((F.size("x") > 0) & (F.size("y") > 0))
     return packed.select("o_custkey", text.line_union(F.array_join("x", "\n"), F.array_join("y", "\n")).alias("lines"))
@@ -217,7 +217,8 @@ def measurement_facts(t):
     shown = F.when(F.col("value") < 5, "ND").otherwise(F.col("value").cast("string"))
     cell = lambda kind, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, F.struct("event_id", c.alias("v"))))), lambda s: s["v"]), "\n")
     day = F.date_format("ts", "yyyy-MM-dd")
-    wide = rows.groupBy("user_id").agg(cell("click", shown).alias("mmse"), cell("click", day).alias("mmse_date"), cell("error", shown).alias("gds"), cell("error", day).alias("gds_date"))
+    # at most 64 events per packed cell, as ids are unique
+    wide = rows.groupBy("user_id", F.floor(F.col("event_id") / 64)).agg(cell("click", shown).alias("mmse"), cell("click", day).alias("mmse_date"), cell("error", shown).alias("gds"), cell("error", day).alias("gds_date"))
     out = facts.packed_measurements(wide, "user_id", {"mmse": ("mmse_date", V.MEASUREMENT_CONCEPTS["MMSE"]), "gds": ("gds_date", V.MEASUREMENT_CONCEPTS["GDS"])})
     return out.select(F.col("person_id").alias("user_id"), "measurement_concept", F.col("measurement_date").cast("string").alias("measurement_date"), F.col("value_as_number").cast("double").alias("value_as_number"))
 

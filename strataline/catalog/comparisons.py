@@ -52,7 +52,7 @@ SELECT gene, n_x, n_y, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, r
  round(sqrt(vy), 6) AS sd_y, round(levene_f, 6) AS levene_f, round(levene_p, 6) AS levene_p, eq::INTEGER AS var_equal,
  round(t, 6) AS statistic, round(v, 4) AS df, round({Q.t_p('t', 'v')}, 6) AS p_value FROM s""", df=4)
 def burden_t_test_by_gene(t):
-    return means.t_test_by_spread(burden_input(t), "burden", "outcome", "F", "O", ["gene"], weight="n")
+    return means.t_test_by_spread(burden_input(t), "burden", "outcome", "F", "O", ["gene"], weight="n", ready=True)
 
 
 @query("A3", f"""WITH {BURDEN} SELECT gene, outcome, v::BIGINT AS burden, count(*) AS n FROM cells GROUP BY ALL""")

@@ -46,17 +46,24 @@ def record_numbers(t):
         "event_id", "user_id", "event_type", "num")
 
 
+BLOCK = 64  # events per packed cell at most, as ids are unique
+
+
+def block():
+    return F.floor(F.col("event_id") / BLOCK).alias("block")
+
+
 def packed_days(t):
-    """Events of one user and day packed into one cell, as the registries hold visits."""
-    rows = t.events.select("user_id", "event_type", F.to_date("ts").alias("d"), "event_id", "value")
-    cells = rows.groupBy("user_id", "d").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("x"))
+    """Events of one user, day and id block packed into one cell, as the registries hold visits."""
+    rows = t.events.select("user_id", "event_type", F.to_date("ts").alias("d"), block(), "event_id", "value")
+    cells = rows.groupBy("user_id", "d", "block").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("x"))
     part = lambda f: F.array_join(F.transform("x", lambda s: s[f].cast("string")), "\n")
     return cells.select("user_id", "d", part("event_id").alias("ids"), part("event_type").alias("types"),
                         part("value").alias("values"))
 
 
 @query("C15 C9", """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, CAST(event_id AS VARCHAR) AS ids, event_type AS types, value AS value_number,
- count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS packed FROM events""")
+ count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE), event_id // 64) AS packed FROM events""")
 def unpack_rows(t):
     from ..functions.text import pieces
     packed = packed_days(t).withColumn("packed", pieces("ids").cast("bigint"))
@@ -72,10 +79,10 @@ lon AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, event_type ORDER BY d
 SELECT user_id, event_type AS measurement, CAST(d AS VARCHAR) AS measurement_date, value AS measurement_value, rank, days AS diff_btw_re_and_me, gap::DOUBLE AS diff_btw_me,
  round(delta, 6) AS delta, round(CASE WHEN gap <> 0 THEN delta / (gap / 365.0) END, 5) AS delta_per_year FROM lon""", delta_per_year=5)
 def packed_longitudinal(t):
-    """Packed master rows per user: dates and values of two event types; low clicks are 'ND'."""
+    """Packed master rows per user and id block: dates and values of two event types; low clicks are 'ND'."""
     e = t.events.filter(F.col("event_type").isin("click", "error"))
     shown = F.when((F.col("event_type") == "click") & (F.col("value") < 10), "ND").otherwise(F.col("value").cast("string"))
-    cells = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(
+    cells = e.groupBy("user_id", block()).agg(F.sort_array(F.collect_list(F.struct(
         F.col("event_id"), F.date_format("ts", "yyyy/MM/dd").alias("d"), F.col("event_type").alias("k"), shown.alias("v")))).alias("x"))
     only = lambda kind: F.array_join(F.transform("x", lambda s: F.when(s["k"] == kind, s["v"]).otherwise("ND")), "\n")
     start = t.events.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("registration_date"))

@@ -74,14 +74,14 @@ def burden_frequencies(calls: DataFrame, subjects: DataFrame, subject: str, gene
     people = subjects.filter(F.col(outcome).isin(list(levels))).select(subject, outcome)
     per_subject = calls.groupBy(subject, gene).agg(F.count(F.lit(1)).alias("burden"))
     carriers = per_subject.join(people, subject)
-    seen = frequencies(carriers, [gene, outcome], "burden")
+    seen = materialise(frequencies(carriers, [gene, outcome], "burden"))  # small; read twice below
     sizes = people.groupBy(outcome).agg(F.count(F.lit(1)).alias("__all"))
     counted = [F.struct(F.lit(v).alias(outcome), F.coalesce(F.sum(F.when(F.col(outcome) == v, F.col("n"))), F.lit(0))
                         .alias("__seen")) for v in levels]
     zero = seen.groupBy(gene).agg(F.array(*counted).alias("__g")).select(gene, F.explode("__g").alias("__g"))
     zero = zero.select(gene, "__g.*").join(sizes, outcome).select(
         gene, outcome, F.lit(0).cast("bigint").alias("burden"), (F.col("__all") - F.col("__seen")).alias("n"))
-    return seen.unionByName(zero.filter(F.col("n") > 0))
+    return materialise(seen.unionByName(zero.filter(F.col("n") > 0)))
 
 
 def collapse_haplotype(presence: DataFrame, subject: str, outcome: str, coordinate: str, members: Sequence,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
@@ -63,12 +63,13 @@ def t_test(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (),
 
 
 def _anova_from_groups(groups: DataFrame, by: Sequence[str], within: Column) -> DataFrame:
-    """ANOVA row per key from group rows ``(by…, __n, __mean, …)``; ``within`` is a group's sum of squares.
-
-    The windows run over group rows (one per level), not over data rows.
-    """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    centred = groups.withColumn("__grand", F.sum(F.col("__n") * F.col("__mean")).over(w) / F.sum("__n").over(w))
+    """ANOVA row per key from group rows ``(by…, __n, __mean, …)``; ``within`` is a group's sum of squares."""
+    grand = (F.sum(F.col("__n") * F.col("__mean")) / F.sum("__n")).alias("__grand")
+    if by:
+        means = groups.groupBy(*by).agg(grand, F.count(F.lit(1)).alias("__levels"))
+        centred = attach(groups, means, by, "__levels")
+    else:
+        centred = groups.withColumn("__grand", groups.agg(grand).scalar())
     deviation = F.col("__mean") - F.col("__grand")
     out = centred.groupBy(*by).agg(
         F.sum("__n").cast("bigint").alias("__n"), F.count(F.lit(1)).alias("__k"),
@@ -140,13 +141,17 @@ def bartlett_test(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
 
 
 def t_test_by_spread(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (),
-                     weight: str | None = None, level: float = 0.05) -> DataFrame:
+                     weight: str | None = None, level: float = 0.05, ready: bool = False) -> DataFrame:
     """Pooled t-test where Levene's test does not reject equal variances, else Welch's.
 
     ``by`` must not be empty; the data is first reduced to a frequency table that both tests share.
+    ``ready=True`` states that ``df`` already is one, with its counts in ``weight``.
     """
     two = df.filter(F.col(group).isin(x, y))
-    freq = materialise(frequencies(two, [*by, group], value, weight, "__n"))
+    if ready:
+        freq = two.select(*by, group, value, F.col(weight).alias("__n"))
+    else:
+        freq = materialise(frequencies(two, [*by, group], value, weight, "__n"))
     levene = _levene(freq, value, group, by).select(
         *[F.col(b).alias(f"__l_{b}") for b in by], F.col("statistic").alias("levene_f"), F.col("p_value").alias("levene_p"))
     m = two_group_moments(freq, value, group, x, y, by, "__n")
