@@ -41,7 +41,7 @@ def counts(t):
 
 
 @query("T25", f"""WITH {COUNTS} SELECT lang, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((tp + tn) / {N}, 6) AS accuracy,
- round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
+ round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
  round(tn / nullif(tn + fp, 0), 6) AS true_negative_rate, round(tn / nullif(tn + fn, 0), 6) AS negative_predictive_value FROM k""")
 def confusion_scores(t):
     return accuracy.scores(counts(t))

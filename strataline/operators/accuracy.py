@@ -23,11 +23,15 @@ def confusion_counts(df: DataFrame, predicted: str, actual: str, by: Sequence[st
 
 
 def scores(counts: DataFrame) -> DataFrame:
-    """Accuracy, precision, recall, F1, true-negative rate and negative predictive value."""
+    """Accuracy, precision, recall, F1, true-negative rate and negative predictive value.
+
+    Precision, recall and F1 are 0 where their divisor is; the two negative shares are NULL there.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    or_zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return counts.withColumns({
-        "accuracy": F.try_divide(tp + tn, tp + fp + fn + tn), "precision": F.try_divide(tp, tp + fp),
-        "recall": F.try_divide(tp, tp + fn), "f1": F.try_divide(2 * tp, 2 * tp + fp + fn),
+        "accuracy": F.try_divide(tp + tn, tp + fp + fn + tn), "precision": or_zero(tp, tp + fp),
+        "recall": or_zero(tp, tp + fn), "f1": or_zero(2 * tp, 2 * tp + fp + fn),
         "true_negative_rate": F.try_divide(tn, tn + fp), "negative_predictive_value": F.try_divide(tn, tn + fn)})
 
 

@@ -22,19 +22,25 @@ def _with_fences(df: DataFrame, value: str, by: Sequence[str], weight: str | Non
     return attach(freq, q, by, "n")
 
 
-def box_numbers(df: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(by)) if by else (df.withColumn("__one", F.lit(1)), ["__one"])
+
+
+def box_numbers(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 interquartile ranges) and outlier counts."""
     v = F.col(value)
     inside = v.between(F.col("__low"), F.col("__high"))
-    return _with_fences(df, value, by, weight).groupBy(*by).agg(
+    df, key = _keyed(df, by)
+    return _with_fences(df, value, key, weight).groupBy(*key).agg(
         F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("n_outliers")).drop("__one")
 
 
-def box_outliers(df: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
+def box_outliers(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Outlying values with their counts."""
-    return _with_fences(df, value, by, weight).filter(
+    df, key = _keyed(df, by)
+    return _with_fences(df, value, key, weight).filter(
         ~F.col(value).between(F.col("__low"), F.col("__high"))).select(*by, value, F.col("__n").alias("n"))
 
 

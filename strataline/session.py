@@ -49,6 +49,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and fixes values such as partition
     numbers. Columnar, so later steps read only the columns they need; one pass, and a lost executor
     costs nothing that was written."""
+    # a column that is NULL everywhere and has no type yet is kept as text
+    df = df.withColumns({c: df[f"`{c}`"].cast("string") for c, t in df.dtypes if t == "void"})
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

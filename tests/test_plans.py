@@ -107,3 +107,33 @@ def test_condition_battery_with_visits(spark):
     got = {(r["variable"], r["test"]): r for r in rows(battery.condition_battery(people, "c", ["age"], ["gender"], visits=visits))}
     assert set(got) == {("age", "t"), ("gender", "chi_squared"), ("MMSE", "t")}
     assert got["MMSE", "t"]["statistic"] == pytest.approx(got["age", "t"]["statistic"])
+
+
+def test_strata_battery_with_visits(spark):
+    people = spark.createDataFrame([(i, i % 2, (i // 2) % 2, float(i % 7), ["Male", "Female", None][i % 3], i % 5 > 2) for i in range(60)],
+                                   "id int, turner int, dementia int, age double, gender string, e4 boolean")
+    visits = people.select("id", "turner", "dementia", "gender", F.lit("MMSE").alias("measurement"), F.col("age").alias("measurement_value"),
+                           F.lit(1).alias("rank"), (F.col("age") * 3).alias("delta_per_year"))
+    got = {(r["dementia"], r["gender"], r["variable"]): r for r in rows(
+        battery.strata_battery(people, ["turner"], ["age"], ["e4"], "dementia", "gender", visits=visits))}
+    assert {k[1] for k in got} == {"All genders", "Male", "Female"}
+    # visits are compared over all genders only, and a missing gender counts there
+    assert {k[1] for k in got if k[2] in ("MMSE", "change in MMSE")} == {"All genders"}
+    whole, first = got[1, "All genders", "age"], got[1, "All genders", "MMSE"]
+    assert whole["n"] == first["n"] == 30 and whole["statistic"] == pytest.approx(first["statistic"])
+    assert got[1, "All genders", "change in MMSE"]["statistic"] == pytest.approx(first["statistic"])
+    assert got[1, "Male", "e4"]["n"] == 10
+
+
+def test_box_numbers_of_everything(spark):
+    from strataline.operators.charts import box_numbers, box_outliers
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5, 100)], "x double")
+    got = rows(box_numbers(df, "x"))[0]
+    assert (got["n"], got["median"], got["whisker_low"], got["whisker_high"], got["n_outliers"]) == (6, 3.5, 1.0, 5.0, 1)
+    assert [tuple(r) for r in box_outliers(df, "x").collect()] == [(100.0, 1)]
+
+
+def test_written_tables_keep_untyped_columns(spark):
+    from strataline.session import materialise
+    out = materialise(spark.range(2).withColumn("empty", F.lit(None)))
+    assert dict(out.dtypes)["empty"] == "string" and out.filter("empty IS NULL").count() == 2
