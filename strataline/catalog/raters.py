@@ -181,15 +181,27 @@ def forest_top_importances(t):
     return models.top_importances(models.importances(t.spark, models.forest(rows, "quality", 20), FEATURES))
 
 
-@query("G3 G4 M5")
-def combination_vectors(t):
-    """Classifier input from variant combinations: feature counts per subject group."""
+def combination_rows(t):
     from ..plans.genotype_flow import combination_vectors as vectors
     from .variants import calls
     rows = calls(t).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").cast("string").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("dementia"),
         F.col("p_type").alias("Coordinate"), F.when(F.col("l_quantity") <= 10, "normal").otherwise("A>G").alias("Variant"))
-    out, _ = vectors(rows, None, 5, haplotype=["PROMO", "SMALL"])
+    return vectors(rows, None, 5, haplotype=["PROMO", "SMALL"])
+
+
+@query("G3 G4 G5 M5")
+def combination_vectors(t):
+    """Classifier input from variant combinations: feature counts per subject group."""
     from pyspark.ml.functions import vector_to_array
+    out, _ = combination_rows(t)
     size = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     return out.groupBy("dementia", size.cast("int").alias("features")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G3 G4 M1 M2 M3 M4 M5 T25")
+def four_models_on_combinations(t):
+    """From variant calls to the scores of the four classifiers, end to end."""
+    rows, names = combination_rows(t)
+    predictions = models.compare_on_vectors(rows, "id", "dementia", len(names), trees=10, stages=5)
+    return accuracy.scores(accuracy.confusion_counts(predictions, "prediction", "dementia", ["model"]))

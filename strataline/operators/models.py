@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .ordering import top
 from .sampling import split
+from .skew import attach
 
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 256
+BLOCK_VALUES = 20_000_000  # numbers per block: wide vectors get fewer rows
 
 
 def assemble(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
@@ -77,47 +79,58 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """k nearest training rows of every validation row (squared distance, then id): exact.
 
-    ``features`` is an array column. Both sides are cut into blocks of bounded size; every pair of
-    blocks is one task that hands on only its k best rows per validation row. Neither side is ever
-    held whole, and no row pairs are written.
+    ``features`` is an array column. Equal vectors are handled once: of training rows with the same
+    vector only the k smallest ids can ever be chosen, and validation rows with the same vector share
+    their answer. Both sides are cut into blocks of bounded size; every pair of blocks is one task
+    that hands on only its k best rows per vector, so neither side is ever held whole.
     """
-    train_blocks = max(1, -(-train.count() // block_rows))
-    validation_blocks = max(1, -(-validation.count() // block_rows))
-    block = lambda n: F.pmod(F.xxhash64(subject), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = F.col(features).cast("array<double>").alias("__x")
-    left = validation.select(F.col(subject), x, block(validation_blocks).alias("__v")).withColumn("__t", every(train_blocks))
-    right = train.select(F.col(subject).alias("__id"), x, F.col(label).cast("int").alias("__label"),
-                         block(train_blocks).alias("__t")).withColumn("__v", every(validation_blocks))
+    id_kind = train.schema[subject].dataType.simpleString()
+    same = Window.partitionBy("__x").orderBy("__id")
+    known = train.select(F.col(subject).alias("__id"), x, F.col(label).cast("int").alias("__label"))
+    # the window group limit keeps k rows per vector in every task, so copies shrink before the shuffle
+    known = materialise(known.withColumn("__r", F.row_number().over(same)).filter(F.col("__r") <= k).drop("__r"))
+    wanted = validation.select(subject, x)
+    asked = materialise(wanted.groupBy("__x").agg(F.count(F.lit(1)).alias("__rows")))
+
+    known_blocks = max(1, -(-known.count() // block_rows))
+    asked_blocks = max(1, -(-asked.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("__x", block("__x", asked_blocks).alias("__v")).withColumn("__t", every(known_blocks))
+    right = known.withColumn("__t", block("__id", known_blocks)).withColumn("__v", every(asked_blocks))
 
-    def best(queries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def best(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        if len(queries) and len(known):
-            known = known.sort_values("__id", kind="stable")
-            b = np.stack(known["__x"].to_numpy())
-            ids, labels = known["__id"].to_numpy(), known["__label"].to_numpy()
-            a = np.stack(queries["__x"].to_numpy())
-            for start in range(0, len(a), CHUNK_ROWS):
-                part = a[start:start + CHUNK_ROWS]
+        if len(queries) and len(block):
+            block = block.sort_values("__id", kind="stable")
+            b = np.stack(block["__x"].to_numpy())
+            ids, labels = block["__id"].to_numpy(), block["__label"].to_numpy()
+            vectors = queries["__x"].to_numpy()
+            for start in range(0, len(vectors), CHUNK_ROWS):
+                part = np.stack(vectors[start:start + CHUNK_ROWS])
                 distance = np.zeros((len(part), len(b)))
                 for j in range(b.shape[1]):
                     distance += (part[:, j, None] - b[None, :, j]) ** 2
                 order = np.argsort(distance, axis=1, kind="stable")[:, :k]
                 parts.append(pd.DataFrame({
-                    subject: np.repeat(queries[subject].to_numpy()[start:start + CHUNK_ROWS], order.shape[1]),
+                    "__x": np.repeat(vectors[start:start + CHUNK_ROWS], order.shape[1]),
                     "__id": ids[order].ravel(), "__label": labels[order].ravel(),
                     "__distance": np.take_along_axis(distance, order, 1).ravel()}))
-        columns = [subject, "__id", "__label", "__distance"]
+        columns = ["__x", "__id", "__label", "__distance"]
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
 
-    kind = validation.schema[subject].dataType.simpleString()
     found = left.groupBy("__v", "__t").cogroup(right.groupBy("__v", "__t")).applyInPandas(
-        best, f"`{subject}` {kind}, __id {train.schema[subject].dataType.simpleString()}, __label int, __distance double")
-    # at most k rows per block of training rows
-    w = Window.partitionBy(subject).orderBy("__distance", "__id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        subject, "rank", F.col("__id").alias("neighbour"), F.col("__distance").alias("distance"),
-        F.col("__label").alias("neighbour_label"))
+        best, f"__x array<double>, __id {id_kind}, __label int, __distance double")
+    # at most k rows per vector and block of training rows
+    w = Window.partitionBy("__x").orderBy("__distance", "__id")
+    nearest = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    answers = nearest.groupBy("__x").agg(F.collect_list(F.struct(
+        "rank", F.col("__id").alias("neighbour"), F.col("__distance").alias("distance"),
+        F.col("__label").alias("neighbour_label"))).alias("__nearest"))  # k entries
+    answers = answers.join(asked, "__x")
+    rows = attach(wanted, answers, ["__x"], "__rows", how="inner", keep_size=False)
+    return rows.select(subject, F.explode("__nearest").alias("__n")).select(subject, "__n.*")
 
 
 def knn_vote(neighbours: DataFrame, subject: str) -> DataFrame:
@@ -142,14 +155,21 @@ def compare_models(df: DataFrame, subject: str, features: Sequence[str], label:
     """Predictions of logistic regression, random forest, k-NN and boosting on one validation split:
     ``(subject, label, model, prediction, score)``."""
     rows = assemble(df.select(subject, label, *features), features)
+    return compare_on_vectors(rows, subject, label, len(features), validation_share, seed, trees, stages)
+
+
+def compare_on_vectors(rows: DataFrame, subject: str, label: str, size: int, validation_share: float = 0.25,
+                       seed: int = 28, trees: int = 100, stages: int = 100) -> DataFrame:
+    """The same for rows that already carry a ``features`` vector of the given size."""
+    rows = materialise(rows.select(subject, label, "features"))  # every learner reads it several times
     train, validation = split(rows, [subject], validation_share, seed)
-    train = train.persist()
     keep = [subject, label]
     out = _predict(logistic(train, label), validation, keep, "Logistic_Regression")
     out = out.unionByName(_predict(forest(train, label, trees, seed), validation, keep, "Random_Forest"))
     out = out.unionByName(_predict(boosting(train, label, stages), validation, keep, "Gradient_Boosting"))
     arrays = lambda d: d.withColumn("__a", vector_to_array("features"))
-    votes = knn_vote(nearest_neighbours(arrays(train), arrays(validation), subject, "__a", label), subject)
+    block = max(CHUNK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(size, 1)))
+    votes = knn_vote(nearest_neighbours(arrays(train), arrays(validation), subject, "__a", label, block_rows=block), subject)
     near = validation.select(*keep).join(votes, subject).select(
         *keep, F.lit("K_Neighbors").alias("model"), "prediction", "score")
     return out.unionByName(near)

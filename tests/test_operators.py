@@ -154,6 +154,17 @@ def test_nearest_neighbours_across_blocks(spark):
     assert votes[0] == int(np.mean([y[n] for _, n in [got[0][k] for k in range(1, 6)]]) > .5)
 
 
+def test_nearest_neighbours_with_many_copies(spark, small_groups):
+    train = spark.createDataFrame([(i, [0.0, 1.0] if i < 40 else [float(i), 0.0], i % 2) for i in range(60)], "id int, f array<double>, y int")
+    asked = spark.createDataFrame([(100 + i, [0.0, 1.0]) for i in range(30)] + [(200, [45.0, 0.0])], "id int, f array<double>")
+    got = {}
+    for r in rows(models.nearest_neighbours(train, asked, "id", "f", "y", 3, block_rows=4)):
+        got.setdefault(r["id"], {})[r["rank"]] = (r["distance"], r["neighbour"], r["neighbour_label"])
+    assert len(got) == 31
+    assert all(got[100 + i] == {1: (0.0, 0, 0), 2: (0.0, 1, 1), 3: (0.0, 2, 0)} for i in range(30))
+    assert got[200] == {1: (0.0, 45, 1), 2: (1.0, 44, 0), 3: (1.0, 46, 0)}
+
+
 def test_models_learn(spark):
     rng = random.Random(1)
     data = [(i, rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 1)) for i in range(400)]

@@ -56,3 +56,26 @@ def test_no_driver_side_or_unsafe_calls_in_the_library():
     for path in ROOT.rglob("*.py"):
         for i, line in enumerate(path.read_text().splitlines(), 1):
             assert not banned.search(line) or "collect_" in line, f"{path.name}:{i}"
+
+
+def plan_of(spark, name, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = queries()[name](spark, sf_dir)
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_what_is_used(spark, sf_dir):
+    plan = plan_of(spark, "welch_t_test", sf_dir)
+    assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in plan
+    plan = plan_of(spark, "filtered_lines", sf_dir)
+    assert "In(l_returnflag, [A,R])" in plan and "GreaterThan(l_tax,0.02)" in plan
+
+
+def test_chosen_ids_prune_partitions(spark, sf_dir):
+    assert "PartitionFilters: [event_type" in plan_of(spark, "chosen_ids_by_list", sf_dir)
+    assert "dynamicpruning" in plan_of(spark, "chosen_ids_by_table", sf_dir)
+
+
+def test_samples_are_cut_before_the_shuffle(spark, sf_dir):
+    plan = plan_of(spark, "stratified_sample", sf_dir)
+    assert plan.count("WindowGroupLimit") == 2
