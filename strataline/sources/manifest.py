@@ -11,6 +11,7 @@ from ..functions.text import extract, replace_first
 
 SAMPLE_PATTERN = r"(N|P|AG|GM)-?\d{2,}"  # fixed value: sample ids in read-file names
 LIBRARY_PATTERN = r"\d{8}"  # fixed value: library date in the folder name
+GROUP_ID = "MJ"  # fixed value: id in the read-group text
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -19,13 +20,13 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         "pathGlobFilter", glob).load(root).select("path", "length")
 
 
-def read_manifest(files: DataFrame) -> DataFrame:
+def read_manifest(files: DataFrame, group_id: str = GROUP_ID) -> DataFrame:
     """Pairs of read files with sample, library, lane and read-group text."""
     first = files.filter(F.col("path").contains("_R1_")).select(F.col("path").alias("r1"))
     first = first.withColumns({
         "sample": extract("r1", SAMPLE_PATTERN), "library": extract("r1", LIBRARY_PATTERN),
         "lane": F.element_at(F.split("r1", "/"), -2), "__r2": replace_first("r1", "R1", "R2")})
-    group = F.concat(F.lit("@RG\\tID:MJ\\tLB:"), F.col("library"), F.lit("-"), F.col("lane"),
+    group = F.concat(F.lit(f"@RG\\tID:{group_id}\\tLB:"), F.col("library"), F.lit("-"), F.col("lane"),
                      F.lit("\\tPL:ILLUMINA\\tSM:"), F.col("sample"))
     mates = files.select(F.col("path").alias("r2"))
     return first.withColumn("read_group", group).join(mates, F.col("__r2") == F.col("r2"), "left").drop("__r2")
