@@ -37,6 +37,11 @@ def ship(*modules: str) -> None:
 ship(__name__)
 
 
+def share(spark: SparkSession, value: object):
+    """Broadcast of a bounded value of a class from these modules; ``pickle.loads(x.value)`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of the named columns, in order, one batch in memory at a time."""
     for b in batches:

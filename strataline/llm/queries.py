@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language, pii, site_lines
+from . import chat, covering, decontaminate, fingerprints, language, pieces, pii, repeats, site_lines, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substring_dedup": repeats.op6_substring_dedup,
     "op7_site_line_frequency": site_lines.op7_site_line_frequency,
     "op8_personal_data": pii.op8_personal_data,
+    "op9_simhash_covering": covering.op9_simhash_covering,
     "op10_language_mixture": language.op10_language_mixture,
 }
 
