@@ -1,14 +1,18 @@
 """SimHash near-dedup with anchor points of a covering code.
 
-Fingerprint: 64 bits over the XXH64 values of all 3-word shingles (see ``fingerprint``). Fingerprints link at 3 or fewer differing bits.
+Two fingerprints, made of 32-bit quarters or halves:
 
-Anchors: of two fingerprints that differ in 3 bits or fewer, one 32-bit half differs in 1 bit or none. On 31 bits of each half the
-anchors are the words of the perfect Hamming code (covering radius 1): every half lies within 1 of its home anchor. A fingerprint is
-replicated to every anchor within covering radius plus threshold of its half (1 + 1), that is 16 anchors or 1; a partner whose half
-differs in 1 bit lies within 2 of the home anchor of the other, so the two meet there. Fingerprints are compared per anchor over all 64
-bits, which makes the links exact.
+* shingles: 64 bits over the XXH64 values of all 3-word shingles (see ``fingerprint``); they link at 3 or fewer differing bits
+* words: 128 bits over the distinct words, weighted by the root of their counts; they link at 7 or fewer differing bits. Changing one
+  word moves fewer of them, so it finds more of the copies with several edits (``keep_one`` uses it after the first)
 
-Only distinct fingerprints are replicated (copies are one class), a fixed 32 rows each. Within an anchor only a spanning forest of the
+Anchors: of two fingerprints that differ in 3 bits or fewer of 64 (7 of 128), one 32-bit part differs in 1 bit or none. On 31 bits of
+each part the anchors are the words of the perfect Hamming code (covering radius 1): every part lies within 1 of its home anchor. A
+fingerprint is replicated to every anchor within covering radius plus threshold of its part (1 + 1), that is 16 anchors or 1; a partner
+whose part differs in 1 bit lies within 2 of the home anchor of the other, so the two meet there. Fingerprints are compared per anchor
+over all bits, which makes the links exact.
+
+Only distinct fingerprints are replicated (copies are one class), a fixed 16 rows for each part. Within an anchor only a spanning forest of the
 links is kept, never all pairs: links meet again as connected components. An anchor with more than ``LARGEST`` fingerprints is dealt to
 several tasks by pairs of parts, so its comparisons are spread and no task holds more than two parts.
 
@@ -20,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +37,8 @@ from ..session import materialise
 from .common import prepare, rows_of, ship, table
 from .components import components, follow
 
-BITS = 3
+#: A fingerprint of n 64-bit numbers links at 4 n - 1 differing bits: then one of its 2 n parts differs in at most 1.
+BITS = {1: 3, 2: 7}
 WORDS = 3
 #: Fingerprints of one anchor that one task compares; larger anchors are dealt out by pairs of parts.
 LARGEST = 8192
@@ -62,6 +68,30 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
+def word_fingerprint(text: str | None) -> tuple[int, int]:
+    """Two 64-bit halves over the distinct words (lower case, between white space): a bit is set if the words that have it weigh more
+    than the others, each weighing the root of its count. No words: zero."""
+    counts = Counter((text or "").lower().split())
+    if not counts:
+        return 0, 0
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in counts]), np.uint8).reshape(-1, 16)
+    weight = np.rint(np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))) * 1024)  # whole numbers: sums do not depend on the order
+    votes = np.zeros(128)
+    for k in range(0, len(weight), 16384):
+        votes += weight[k:k + 16384] @ np.unpackbits(digests[k:k + 16384], axis=1).astype(np.float64)
+    out = np.packbits(votes * 2 > weight.sum()).tobytes()
+    return int.from_bytes(out[:8], "big"), int.from_bytes(out[8:], "big")
+
+
+def node_of(fp: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit name for a fingerprint: itself, or a hash of both halves."""
+    if len(fp) == 1:
+        return fp[0]
+    x = (fp[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (fp[1] + np.uint64(0x7F4A7C15))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32)) ^ fp[1]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -74,15 +104,15 @@ def syndrome(half: np.ndarray) -> np.ndarray:
     return s
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index into fp, anchor) of every anchor within 2 of either half."""
+def anchors(fp: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index into the fingerprints, anchor) of every anchor within 2 of a part. ``fp``: one array for each 64 bits."""
     at, out = [], []
     one = np.uint64(1)
-    for h in (0, 1):
-        half = fp >> np.uint64(32 * h) & _LOW
+    index = np.arange(len(fp[0]))
+    for h in range(2 * len(fp)):
+        half = fp[h // 2] >> np.uint64(32 * (h % 2)) & _LOW
         s = syndrome(half)
         mark = np.uint64(h << 31)
-        index = np.arange(len(fp))
         home = np.where(s > 0, half ^ (one << (np.maximum(s, one) - one)), half)
         at.append(index)
         out.append(home | mark)
@@ -95,7 +125,7 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_PLACED = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
+_BOTH = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("node", pa.int64())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -105,11 +135,24 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], schema=_FP)
 
 
+def _both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        doc, text = zip(*rows_of([b], "doc_id", "text")) if b.num_rows else ((), ())
+        fp = np.array([fingerprint(t) for t in text], np.uint64)
+        words = np.array([word_fingerprint(t) for t in text], np.uint64).reshape(-1, 2)
+        w = [words[:, 0].copy(), words[:, 1].copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x.view(np.int64)) for x in (fp, *w, node_of(w))]], schema=_BOTH)
+
+
+def _unsigned(b: pa.RecordBatch, first: int) -> list[np.ndarray]:
+    return [b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, b.num_columns)]
+
+
 def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        fp = _unsigned(b, 0)
         at, anchor = anchors(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at].view(np.int64))], schema=_PLACED)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (anchor, *[f[at] for f in fp])], names=["anchor", *b.schema.names])
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,44 +174,51 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _dense(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def differing(a: list[np.ndarray], b: list) -> np.ndarray:
+    return sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b))
+
+
+def _dense(fp: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links in one large anchor: breadth first, each fingerprint is expanded once against those not reached."""
-    left, u, v = fp, [], []
+    node, bits = node_of(fp), BITS[len(fp)]
+    left, u, v = np.arange(len(node)), [], []
     while len(left):
         root, left, front = left[0], left[1:], left[:1]
         while len(front) and len(left):
             step, front = front[:256], front[256:]
+            rest = [f[left] for f in fp]
             near = np.zeros(len(left), bool)
-            for f in step:
-                near |= np.bitwise_count(left ^ f) <= BITS
+            for k in step:
+                near |= differing(rest, [f[k] for f in fp]) <= bits
             new, left = left[near], left[~near]
-            u.append(new)
-            v.append(np.full(len(new), root))
+            u.append(node[new])
+            v.append(np.full(len(new), node[root]))
             front = np.concatenate([front, new])
-    return (np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
+    return (np.concatenate(u), np.concatenate(v)) if u else (node[:0], node[:0])
 
 
-def links(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within the anchors; rows sorted by anchor."""
+def links(anchor: np.ndarray, fp: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within the anchors; rows sorted by anchor, no fingerprint twice at one anchor."""
+    node, bits = node_of(fp), BITS[len(fp)]
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(anchor)]]))
     u, v = [], []
     small = np.repeat(sizes <= 48, sizes)
     for shift in range(1, int(min(48, sizes.max(initial=1)))):
         a = np.flatnonzero(small[:-shift] & (anchor[:-shift] == anchor[shift:]))
-        a = a[np.bitwise_count(fp[a] ^ fp[a + shift]) <= BITS]
+        a = a[differing([f[a] for f in fp], [f[a + shift] for f in fp]) <= bits]
         if len(a):
             # the same two fingerprints meet at many anchors
-            x, y = fp[a], fp[a + shift]
+            x, y = node[a], node[a + shift]
             x, y = forest(np.minimum(x, y), np.maximum(x, y))
             u.append(x)
             v.append(y)
     for k in np.flatnonzero(sizes > 48):
-        x, y = _dense(np.unique(fp[starts[k]:starts[k] + sizes[k]]))
+        x, y = _dense([f[starts[k]:starts[k] + sizes[k]] for f in fp])
         u.append(x)
         v.append(y)
     if not u:
-        return fp[:0], fp[:0]
+        return node[:0], node[:0]
     u, v = np.concatenate(u), np.concatenate(v)
     keep = u != v
     return forest(u[keep], v[keep])
@@ -177,7 +227,7 @@ def links(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor (and part); whole anchors are compared about ``CHUNK`` rows at a time."""
     def edges(anchor, fp):
-        u, v = links(anchor, fp.view(np.uint64))
+        u, v = links(anchor, fp)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=_EDGES)
 
     held_a, held_f, n = [], [], 0
@@ -185,16 +235,16 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         held_a.append(b.column(0).to_numpy(zero_copy_only=False))
-        held_f.append(b.column(1).to_numpy(zero_copy_only=False))
+        held_f.append(_unsigned(b, 1))
         n += b.num_rows
         if n >= CHUNK:
-            anchor, fp = np.concatenate(held_a), np.concatenate(held_f)
+            anchor, fp = np.concatenate(held_a), [np.concatenate(x) for x in zip(*held_f)]
             done = int(np.searchsorted(anchor, anchor[-1]))
             if done:
-                yield edges(anchor[:done], fp[:done])
-            held_a, held_f, n = [anchor[done:]], [fp[done:]], len(anchor) - done
+                yield edges(anchor[:done], [f[:done] for f in fp])
+            held_a, held_f, n = [anchor[done:]], [[f[done:] for f in fp]], len(anchor) - done
     if n:
-        yield edges(np.concatenate(held_a), np.concatenate(held_f))
+        yield edges(np.concatenate(held_a), [np.concatenate(x) for x in zip(*held_f)])
 
 
 ship(__name__)
@@ -206,9 +256,10 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 def link_edges(fps: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """Edges (u, v) that connect the same fingerprints as all links do. ``fps``: distinct values in ``fp``."""
-    spark = fps.sparkSession
-    placed = fps.select("fp").mapInArrow(_place, "anchor long, fp long")
+    """Edges (u, v) that connect the same fingerprints as all links do. ``fps``: distinct rows of one or two 64-bit numbers; the ends
+    of an edge are their names (see ``node_of``)."""
+    spark, parts_of = fps.sparkSession, fps.columns
+    placed = fps.mapInArrow(_place, "anchor long, " + ", ".join(f"{c} long" for c in parts_of))
     crowded = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest)
     crowded = materialise(crowded.withColumn("parts", F.ceil(F.col("n") * 2 / largest).cast("int")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -217,36 +268,44 @@ def link_edges(fps: DataFrame, largest: int = LARGEST) -> DataFrame:
         # a crowded anchor becomes one group per pair of parts: every two of its fingerprints meet in one of them
         hot = crowded.select(F.col("anchor").alias("hot"), "parts")
         both = placed.join(hot, F.col("anchor") == F.col("hot"), "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        mine = F.pmod(F.xxhash64(*parts_of), F.col("parts")).cast("int")
         other = F.sequence(F.lit(0), F.col("parts") - 1)
         pairs = F.transform(other, lambda o: F.least(o, mine).cast("bigint") * F.col("parts") + F.greatest(o, mine))
         plain = both.withColumn("part", F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("bigint"))))).drop("hot", "parts")
-    # one sort key for anchor and part: parts of an anchor are numbered above the 32 bits of the anchor
-    keyed = plain.select((F.col("anchor") + F.shiftleft("part", 32)).alias("anchor"), "fp")
+    # one sort key for anchor and part: parts of an anchor are numbered above the 33 bits of the anchor
+    keyed = plain.select((F.col("anchor") + F.shiftleft("part", 33)).alias("anchor"), *parts_of)
     dealt = keyed.repartition(parts, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compare, "u long, v long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    spark = docs.sparkSession
-    rows = fingerprint_table(docs)
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def with_components(rows: DataFrame, parts: list[str], node: str) -> DataFrame:
+    """``rows`` (doc_id, fingerprint in ``parts``, its name in ``node``) with the component_id that their fingerprint belongs to."""
+    spark = rows.sparkSession
+    classes = materialise(rows.groupBy(*dict.fromkeys([*parts, node])).agg(F.min("doc_id").alias("least")))
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")  # rows of two numbers
     try:
-        edges = materialise(link_edges(classes))
+        edges = materialise(link_edges(classes.select(*parts)))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
-    rooted = follow(classes, "fp", components(edges), "root")
+    rooted = follow(classes.select(node, "least"), node, components(edges), "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "__root")
-    ids = materialise(rooted.join(named, F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "component_id"))
-    return rows.join(ids, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
+    ids = materialise(rooted.join(named, F.col("root") == F.col("__root")).select(F.col(node).alias("__fp"), "component_id"))
+    return rows.join(ids, F.col(node) == F.col("__fp"), "left").select(*rows.columns, "component_id")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every row, by shingles."""
+    return with_components(fingerprint_table(docs), ["fp"], "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component, all columns. Rows that repeat a doc_id: one of them."""
-    kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    """The row with the smallest doc_id of every component, all columns: components by shingles first, then components of what is left
+    by words. Rows that repeat a doc_id: one of them."""
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_both, "doc_id long, fp long, w0 long, w1 long, node long"))
+    left = materialise(with_components(rows, ["fp"], "fp").filter(own).drop("component_id"))
+    kept = with_components(left, ["w0", "w1"], "node").filter(own).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     kept = materialise(kept.withColumnRenamed("doc_id", "__kept"))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     # the shuffle over whole rows is only paid where doc_ids do repeat

@@ -20,7 +20,16 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
-def brute_components(ids, fps):
+def brute_words(text):
+    c = {}
+    for w in (text or "").lower().split():
+        c[w] = c.get(w, 0) + 1
+    weight = {w: round(n ** 0.5 * 1024) for w, n in c.items()}
+    h = {w: xxhash.xxh3_128_intdigest(w.encode()) for w in c}
+    return sum(1 << b for b in range(128) if 2 * sum(weight[w] for w in c if h[w] >> b & 1) > sum(weight.values())) if c else 0
+
+
+def brute_components(ids, fps, bits=3):
     top = list(range(len(fps)))
 
     def root(x):
@@ -29,7 +38,7 @@ def brute_components(ids, fps):
         return x
     for a in range(len(fps)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+            if (fps[a] ^ fps[b]).bit_count() <= bits:
                 x, y = sorted((root(a), root(b)))
                 top[y] = x
     least = {}
@@ -54,7 +63,7 @@ def test_spark_hash_agrees(spark):
 def test_anchors_cover_every_link():
     r = random.Random(5)
     x = np.array([r.getrandbits(64) for _ in range(300)] + [0, 1, (1 << 64) - 1], np.uint64)
-    at, an = C.anchors(x)
+    at, an = C.anchors([x])
     sets = [set(an[at == k].tolist()) for k in range(len(x))]
     for k, v in enumerate(x.tolist()):
         assert {len([a for a in sets[k] if a >> 31 == h]) for h in (0, 1)} <= {1, 16}
@@ -65,10 +74,28 @@ def test_anchors_cover_every_link():
         y = v
         for b in flips:
             y ^= 1 << b
-            _, other = C.anchors(np.array([y], np.uint64))
+            _, other = C.anchors([np.array([y], np.uint64)])
             assert sets[k] & set(other.tolist())
 
 
+def test_anchors_cover_links_of_two_numbers():
+    r = random.Random(6)
+    for _ in range(100):
+        v = r.getrandbits(128)
+        w = v
+        for b in r.sample(range(128), 7):
+            w ^= 1 << b
+        a, b = ({*C.anchors([np.array([x >> 64], np.uint64), np.array([x & (1 << 64) - 1], np.uint64)])[1].tolist()} for x in (v, w))
+        assert a & b and len({x >> 31 for x in a}) == 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB \t\n\x1c éÀ", max_size=60))
+def test_word_fingerprint(text):
+    hi, lo = C.word_fingerprint(text)
+    assert hi << 64 | lo == brute_words(text)
+
+
 def near_fps(n, seed):
     r = random.Random(seed)
     base = [r.getrandbits(64) for _ in range(n // 10)]
@@ -99,8 +126,8 @@ def test_components_of_random_fingerprints(spark):
 
 def test_dense_anchor_keeps_components():
     fps = np.unique(np.array(near_fps(400, 3), np.uint64))
-    u, v = C._dense(fps)
-    for a, b in ((u, v), C.links(np.zeros(len(fps), np.int64), fps)):
+    u, v = C._dense([fps])
+    for a, b in ((u, v), C.links(np.zeros(len(fps), np.int64), [fps])):
         parent = {x: x for x in fps.tolist()}
 
         def root(x):
@@ -124,6 +151,14 @@ def test_chain_and_star(spark):
     assert got == {(k, 0) for k in range(61)} | {(1000 + k, 1000) for k in range(40)}
 
 
+def brute_kept(rows):
+    """doc_ids that stay: components by shingles, then by words. ``rows``: doc_id, text."""
+    def one(rows, f, bits):
+        comp = brute_components([r[0] for r in rows], [f(r[1]) for r in rows], bits)
+        return [r for r, c in zip(rows, comp) if r[0] == c]
+    return {r[0] for r in one(one(rows, brute_fp, 3), brute_words, 7)}
+
+
 ROWS = HARD + [(100 + k, prose(k // 4, 200) + (" extra" if k % 4 == 3 else ""), "en", "s") for k in range(40)] + [(None, None, None, None)]
 
 
@@ -134,7 +169,7 @@ def test_hard_rows(spark):
     assert sorted([tuple(r) for r in got], key=repr) == rows
     kept = C.keep_one(documents(spark, ROWS, True))
     assert kept.columns == documents(spark, ROWS, True).columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(set(want), key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(brute_kept([r[:2] for r in ROWS]), key=repr)
     assert C.near_classes(documents(spark, [])).count() == 0 and C.keep_one(documents(spark, [])).count() == 0
 
 
