@@ -63,21 +63,113 @@ def normal_quantile(p: str | Column) -> Column:
 
 # --- small vectorised helpers used inside the Arrow batches ---------------------------------
 
+#: Both parameters above this: the beta integral is taken by quadrature around its peak.
+WIDE = 1000.0
+#: One parameter above this and the other at most WIDE: the beta integral goes over to the gamma integral.
+STEEP = 1e8
+#: Gamma shape above this: uniform expansion around the mean.
+LARGE_SHAPE = 1e4
+MOST_STEPS = 40_000
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+# Series of the first two terms of the uniform expansion of the incomplete gamma function (Temme 1979), lowest power first.
+TEMME = (
+    (-3.3333333333333333e-1, 8.3333333333333333e-2, -1.4814814814814815e-2, 1.1574074074074074e-3, 3.527336860670194e-4,
+     -1.7875514403292181e-4, 3.9192631785224378e-5),
+    (-1.8518518518518519e-3, -3.4722222222222222e-3, 2.6455026455026455e-3, -9.9022633744855967e-4, 2.0576131687242798e-4),
+)
+
+
+def _log_ratio(a, b):
+    """ln(Gamma(a + b) / Gamma(a)) without the cancellation of two large terms."""
+    with np.errstate(all="ignore"):
+        large = (a + b - 0.5) * np.log1p(b / a) + b * (np.log(a) - 1) + (1 / (a + b) - 1 / a) / 12
+    plain = np.zeros_like(a)
+    small = a < 1e4
+    if small.any():
+        plain[small] = _lgamma(a[small] + b[small]) - _lgamma(a[small])
+    return np.where(small, plain, large)
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _gamma_uniform(a, x):
+    """Upper incomplete gamma share for large shapes."""
+    d = (x - a) / a
+    # d - ln(1 + d), by its series where the difference would cancel
+    series = d * d * (1 / 2 - d * (1 / 3 - d * (1 / 4 - d * (1 / 5 - d * (1 / 6 - d / 7)))))
+    half = np.where(np.abs(d) < 1e-2, series, d - np.log1p(np.maximum(d, -1 + 1e-300)))
+    eta = np.sign(d) * np.sqrt(2 * half)
+    near = np.abs(eta) < 0.3
+    safe, safe_d = np.where(near, 1.0, eta), np.where(near, 1.0, d)
+    c0 = np.where(near, np.polynomial.polynomial.polyval(eta, TEMME[0]), 1 / safe_d - 1 / safe)
+    c1 = np.where(near, np.polynomial.polynomial.polyval(eta, TEMME[1]), 1 / safe**3 - 1 / safe_d**3 - 1 / safe_d**2 - 1 / (12 * safe_d))
+    rest = np.exp(-a * half) / np.sqrt(2 * np.pi * a) * (c0 + c1 / a)
+    return np.clip(_erfc(eta * np.sqrt(a / 2)) / 2 + rest, 0.0, 1.0)
+
+
+def _beta_wide(x, a, b):
+    """Beta share for two large parameters: the density around its peak, integrated from x to where nothing is left."""
+    n = a + b
+    mu, sd = a / n, np.sqrt(a * b / (n * n * (n + 1)))
+    upper = x > mu
+    end = np.where(upper, np.minimum(1.0, np.maximum(mu + 12 * sd, x + 6 * sd)), np.maximum(0.0, np.minimum(mu - 12 * sd, x - 6 * sd)))
+    offset = (x - mu)[:, None] + (end - x)[:, None] * (_NODES + 1)[None, :] / 2
+    up, down = offset / mu[:, None], offset / (b / n)[:, None]
+    power = (a - 1)[:, None] * np.log1p(np.maximum(up, -1 + 1e-16)) + (b - 1)[:, None] * np.log1p(-np.minimum(down, 1 - 1e-16))
+    peak = np.sqrt(n) * n / np.sqrt(2 * np.pi * a * b) * np.exp((1 / n - 1 / a - 1 / b) / 12)
+    area = np.abs(end - x) / 2 * peak * (np.exp(power) * _WEIGHTS[None, :]).sum(axis=1)
+    return np.clip(np.where(upper, 1 - area, area), 0.0, 1.0)
+
+
+def _beta_steep(x, a, b):
+    """Beta share for b far above a: the gamma integral at a corrected argument."""
+    argument = -np.log1p(-np.minimum(x, 1 - 1e-16)) * (b + (a - 1) / 2)
+    return 1 - gamma_tail(a, argument)
+
 def beta_share(x, a, b):
-    """Regularised incomplete beta function by its continued fraction."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    """Regularised incomplete beta function: continued fraction, quadrature for two large parameters, gamma integral for one very
+    large one. NaN where none of them converges."""
+    x, a, b = (np.array(v, dtype=float) for v in np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, dtype=float)) for v in (x, a, b))))
     x = np.clip(x, 0.0, 1.0)
+    out = np.full(x.shape, np.nan)
+    least, most = np.minimum(a, b), np.maximum(a, b)
+    wide = least > WIDE
+    low, high = ~wide & (most > STEEP) & (b >= a), ~wide & (most > STEEP) & (a > b)
+    rest = ~(wide | low | high)
+    if wide.any():
+        out[wide] = _beta_wide(x[wide], a[wide], b[wide])
+    if low.any():
+        out[low] = _beta_steep(x[low], a[low], b[low])
+    if high.any():
+        out[high] = 1 - _beta_steep(1 - x[high], b[high], a[high])
+    if rest.any():
+        out[rest] = _beta_fraction(x[rest], a[rest], b[rest])
+    return out
+
+
+def _f_tail(f, m, n):
+    """Upper tail of the F distribution. For very many denominator degrees the share is near 1 and its rest is taken directly."""
+    out = beta_share(n / (n + m * f), n / 2, m / 2)
+    many = (n > 1e7) & (m / 2 <= WIDE)
+    if many.any():
+        y = m[many] * f[many] / n[many]
+        out[many] = gamma_tail(m[many] / 2, np.log1p(y) * (n[many] / 2 + (m[many] / 2 - 1) / 2))
+    return out
+
+
+def _beta_fraction(x, a, b):
     flip = x > (a + 1) / (a + b + 2)
     y, p, q = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
     with np.errstate(all="ignore"):
-        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q)
+        front = np.exp(np.where(p > q, _log_ratio(p, q) - _lgamma(q), _log_ratio(q, p) - _lgamma(p))
                        + p * np.log(np.where(y > 0, y, 1)) + q * np.log1p(-y)) / p
         tiny = 1e-300
         nonzero = lambda v: np.where(np.abs(v) < tiny, tiny, v)
         c = np.ones_like(y)
         d = 1 / nonzero(1 - (p + q) * y / (p + 1))
         h = d.copy()
-        for m in range(1, 2000):
+        for m in range(1, MOST_STEPS):
             even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
             d = 1 / nonzero(1 + even * d)
             c = nonzero(1 + even / c)
@@ -86,36 +178,51 @@ def beta_share(x, a, b):
             d = 1 / nonzero(1 + odd * d)
             c = nonzero(1 + odd / c)
             h = h * d * c
-            if np.nanmax(np.abs(d * c - 1), initial=0.0) < 1e-15:
+            last = np.abs(d * c - 1)
+            if np.nanmax(last, initial=0.0) < 1e-15:
                 break
+        h = np.where(last < 1e-9, h, np.nan)
         part = np.where(y > 0, front * h, 0.0)
     return np.where(flip, 1 - part, part)
 
 
 def gamma_tail(a, x):
-    """Regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
-    a, x = np.broadcast_arrays(np.asarray(a, dtype=float), np.asarray(x, dtype=float))
+    """Regularised upper incomplete gamma function: series below a + 1, continued fraction above, uniform expansion for large shapes.
+    NaN where none of them converges."""
+    a, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(np.atleast_1d(np.asarray(a, dtype=float)), np.atleast_1d(np.asarray(x, dtype=float))))
+    large = a > LARGE_SHAPE
+    out = np.full(a.shape, np.nan)
+    if large.any():
+        out[large] = np.where(x[large] <= 0, 1.0, _gamma_uniform(a[large], np.maximum(x[large], 0.0)))
+    if not large.all():
+        out[~large] = _gamma_series(a[~large], x[~large])
+    return out
+
+
+def _gamma_series(a, x):
     with np.errstate(all="ignore"):
         front = np.exp(-x + a * np.log(np.where(x > 0, x, 1)) - _lgamma(a))
         term = 1 / a
         total = term.copy()
-        for k in range(1, 3000):
+        for k in range(1, MOST_STEPS):
             term = term * x / (a + k)
             total = total + term
             if np.nanmax(np.where(x < a + 1, term / total, 0), initial=0.0) < 1e-16:
                 break
-        low = front * total
+        low = np.where(term / total < 1e-9, front * total, np.nan)
         b = x + 1 - a
         c, d = np.full_like(x, 1e300), 1 / np.where(b == 0, 1e-300, b)
         h = d.copy()
-        for k in range(1, 3000):
+        for k in range(1, MOST_STEPS):
             step = -k * (k - a)
             b = b + 2
             d = 1 / np.where(np.abs(step * d + b) < 1e-300, 1e-300, step * d + b)
             c = np.where(np.abs(b + step / c) < 1e-300, 1e-300, b + step / c)
             h = h * d * c
-            if np.nanmax(np.where(x >= a + 1, np.abs(d * c - 1), 0), initial=0.0) < 1e-15:
+            last = np.abs(d * c - 1)
+            if np.nanmax(np.where(x >= a + 1, last, 0), initial=0.0) < 1e-15:
                 break
+        h = np.where(last < 1e-9, h, np.nan)
         return np.where(x <= 0, 1.0, np.where(x < a + 1, 1 - low, front * h))
 
 
@@ -141,12 +248,12 @@ def _rows(f, *series):
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _rows(lambda t, v: beta_share(v / (v + t * t), v / 2, np.full_like(v, 0.5)), t, df)
+    return _rows(lambda t, v: _f_tail(t * t, np.ones_like(v), v), t, df)
 
 
 @F.pandas_udf(T.DoubleType())
 def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _rows(lambda f, m, n: beta_share(n / (n + m * f), n / 2, m / 2), f, df1, df2)
+    return _rows(_f_tail, f, df1, df2)
 
 
 @F.pandas_udf(T.DoubleType())
