@@ -133,7 +133,7 @@ FILES_SQL = """f AS (SELECT '/reads/' || (20200000 + o_custkey % 9000) || '/fast
 
 
 @query("S13 C7", f"""WITH {FILES_SQL} SELECT r1, CASE WHEN o_orderkey % 2 = 0 THEN 'N-' ELSE 'P' END || (10 + o_orderkey) AS sample, CAST(20200000 + o_custkey % 9000 AS VARCHAR) AS library, o_orderstatus AS lane,
- '@RG\\tID:MJ\\tLB:' || (20200000 + o_custkey % 9000) || '-' || o_orderstatus || '\\tPL:ILLUMINA\\tSM:' || CASE WHEN o_orderkey % 2 = 0 THEN 'N-' ELSE 'P' END || (10 + o_orderkey) AS read_group,
+ '@RG\\tID:G1\\tLB:' || (20200000 + o_custkey % 9000) || '-' || o_orderstatus || '\\tPL:ILLUMINA\\tSM:' || CASE WHEN o_orderkey % 2 = 0 THEN 'N-' ELSE 'P' END || (10 + o_orderkey) AS read_group,
  CASE WHEN o_orderstatus <> 'P' THEN replace(r1, 'R1', 'R2') END AS r2 FROM f""")
 def read_manifest(t):
     """Read-file pairs; mates of one lane are missing."""
@@ -141,7 +141,7 @@ def read_manifest(t):
                     F.when(F.col("o_orderkey") % 2 == 0, "N-").otherwise("P"), (10 + F.col("o_orderkey")).cast("string"))
     first = t.orders.select(F.concat(name, F.lit("_R1_001.gz")).alias("path"))
     second = t.orders.filter("o_orderstatus <> 'P'").select(F.concat(name, F.lit("_R2_001.gz")).alias("path"))
-    return manifest.read_manifest(first.unionByName(second))
+    return manifest.read_manifest(first.unionByName(second), "G1")
 
 
 @query("S12 R6", "SELECT c_custkey AS person_id, CASE WHEN c_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, c_mktsegment AS birth_date FROM customer")

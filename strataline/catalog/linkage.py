@@ -40,7 +40,7 @@ SELECT o_orderkey, l.p, n FROM l LEFT JOIN r ON l.p IS NOT DISTINCT FROM r.p""")
 def left_join_missing_keys(t):
     p = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("p")
     left = t.orders.select("o_orderkey", p)
-    return joins.left_join(left, t.orders.groupBy(p).agg(F.count(F.lit(1)).alias("n")), ["p"])
+    return joins.left_join(left, t.orders.groupBy(p).agg(F.count(F.lit(1)).alias("n")), ["p"], na_matches=True)
 
 
 @query("J4", "SELECT c_custkey, c_nationkey FROM customer WHERE (c_nationkey, c_custkey % 25) IN (SELECT s_suppkey % 25, s_nationkey FROM supplier)")
@@ -88,7 +88,7 @@ def registries(t):
 def link_keys(t):
     a, b, k1, k2 = registries(t)
     return joins.link_registries(a, [(b, ["patient_id"]), (k1, ["master_no"]), (k2, ["name", "gender"])],
-                                 ["patient_id", "master_no", "registry_no", "karyotype_no", "ngs_2_no"])
+                                 ["patient_id", "master_no", "registry_no", "karyotype_no", "ngs_2_no"], na_matches=True)
 
 
 MATCH_SQL = """

@@ -6,6 +6,7 @@ from ..operators import accuracy, agreement, models
 from ..operators.sampling import mark_split
 from . import sqltext as Q
 from .registry import query
+from .variants import sets_sql
 from .visits import KAPPA
 
 BOTH = "pairs AS (SELECT 1 AS k, quality AS x, toxic AS y FROM labels)"
@@ -62,9 +63,31 @@ def diagnostic_accuracy(t):
     return accuracy.diagnostics(counts(t)).select("lang", *names, *ratios)
 
 
-@query("T20")
+TAIL = """list_sum(list_transform(range({a}, {b} + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(mid) + (n - j) * ln(1 - mid))))"""
+SHARES = {"apparent_prevalence": ("tp + fp", N), "true_prevalence": ("tp + fn", N), "sensitivity": ("tp", "tp + fn"), "specificity": ("tn", "tn + fp"),
+          "ppv": ("tp", "tp + fp"), "npv": ("tn", "tn + fn"), "accuracy": ("tp + tn", N)}
+
+
+def exact_intervals(*names):
+    """Interval ends by bisection on the binomial sums: 46 halvings of 0 to 1."""
+    rows = " UNION ALL ".join(f"SELECT lang, '{x}' AS name, ({SHARES[x][0]})::BIGINT AS i, ({SHARES[x][1]})::BIGINT AS n FROM k" for x in names)
+    ends = ", ".join(f"round(max(v) FILTER (name = '{x}' AND side = '{s}'), 6) AS {x}_{s}" for x in names for s in ("low", "high"))
+    return f"""WITH RECURSIVE {COUNTS}, q AS ({rows}),
+bis AS (SELECT lang, name, i, n, side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM q, (SELECT unnest(['low', 'high']) AS side)
+ UNION ALL SELECT lang, name, i, n, side, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, step + 1
+ FROM (SELECT *, CASE side WHEN 'low' THEN {TAIL.format(a='i', b='n')} < 0.025 ELSE {TAIL.format(a='0', b='i')} > 0.025 END AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE step < 46))),
+e AS (SELECT lang, name, side, CASE WHEN side = 'low' AND i = 0 THEN 0 WHEN side = 'high' AND i = n THEN 1 ELSE (lo + hi) / 2 END AS v FROM bis WHERE step = 46)
+SELECT lang, {ends} FROM e GROUP BY lang"""
+
+
+@query("T21", exact_intervals("accuracy"))
+def accuracy_interval(t):
+    return accuracy.confusion_summary(counts(t)).select("lang", "accuracy_low", "accuracy_high")
+
+
+@query("T20", exact_intervals("apparent_prevalence", "true_prevalence", "sensitivity", "specificity", "ppv", "npv"))
 def diagnostic_intervals(t):
-    """Exact binomial intervals; checked against closed values in the tests."""
+    """Exact binomial intervals."""
     names = ["apparent_prevalence", "true_prevalence", "sensitivity", "specificity", "ppv", "npv"]
     return accuracy.diagnostics(counts(t)).select("lang", *[f"{n}{s}" for n in names for s in ("_low", "_high")])
 
@@ -146,6 +169,12 @@ def neighbours(t):
     return models.nearest_neighbours(train, validation, "doc_id", "x", "quality")
 
 
+def training(t):
+    """Assembled training side of the split."""
+    from ..operators.sampling import split
+    return models.assemble(split(document_features(t), ["doc_id"])[0], FEATURES)
+
+
 @query("M3", f"WITH {FEATURE_SQL} SELECT doc_id, rank, neighbour, distance, neighbour_label FROM nn")
 def knn_neighbours(t):
     return neighbours(t).withColumn("rank", F.col("rank").cast("bigint"))
@@ -159,26 +188,54 @@ def knn_vote(t):
 @query("M1 M2 M3 M4 M5 T25")
 def four_models_scores(t):
     """Scores of the four classifiers on one split; learners differ from other tools in detail."""
-    predictions = models.compare_models(document_features(t), "doc_id", FEATURES, "quality", trees=20, stages=10)
+    predictions = models.compare_models(document_features(t), "doc_id", FEATURES, "quality")
     return accuracy.scores(accuracy.confusion_counts(predictions, "prediction", "quality", ["model"]))
 
 
 @query("M5 T22 T23")
 def four_models_auc(t):
-    predictions = models.compare_models(document_features(t), "doc_id", FEATURES, "quality", trees=20, stages=10)
+    predictions = models.compare_models(document_features(t), "doc_id", FEATURES, "quality")
     return accuracy.auc(predictions, "score", "quality", ["model"])
 
 
 @query("M1")
 def logistic_coefficients(t):
-    rows = models.assemble(document_features(t), FEATURES)
-    return models.coefficients(t.spark, models.logistic(rows, "quality"), FEATURES)
+    return models.coefficients(t.spark, models.logistic(training(t), "quality"), FEATURES)
+
+
+@query("M1", f"SELECT unnest(['{"', '".join(FEATURES)}']) AS coordinate, 0.0::DOUBLE AS gradient", gradient=3)
+def logistic_gradient(t):
+    """The penalised gradient at the fitted coefficients, per training row: zero at the optimum."""
+    rows = training(t)
+    model = models.logistic(rows, "quality")
+    n = rows.count()
+    margin = F.lit(float(model.intercept))
+    for f, b in zip(FEATURES, model.coefficients.toArray()):
+        margin = margin + F.lit(float(b)) * F.col(f)
+    residual = 1 / (1 + F.exp(-margin)) - F.col("quality")
+    sums = rows.agg(*[((F.sum(residual * F.col(f)) + F.lit(float(b))) / n).alias(f) for f, b in zip(FEATURES, model.coefficients.toArray())])
+    return sums.unpivot([], FEATURES, "coordinate", "gradient")
 
 
 @query("M2 O2 V7")
 def forest_top_importances(t):
-    rows = models.assemble(document_features(t), FEATURES)
-    return models.top_importances(models.importances(t.spark, models.forest(rows, "quality", 20), FEATURES))
+    return models.top_importances(models.importances(t.spark, models.forest(training(t), "quality"), FEATURES))
+
+
+@query("M1 M2 M3 M4 M5 O2 V7", f"""WITH {FEATURE_SQL}, v AS (SELECT english, count(*) AS n FROM x WHERE val GROUP BY english)
+SELECT model, english, english AS prediction, n FROM v, (SELECT unnest(['Logistic_Regression', 'Random_Forest', 'Gradient_Boosting', 'K_Neighbors']) AS model)""")
+def separable_predictions(t):
+    """A label that one of three features states: every learner must get every validation row right."""
+    rows = document_features(t).withColumn("told", F.col("english"))
+    out = models.compare_models(rows, "doc_id", ["told", "digit", "lines"], "english")
+    return out.groupBy("model", "english", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("M2 V7", "SELECT 'told' AS coordinate, 1.0::DOUBLE AS feature_importance")
+def separable_importance(t):
+    """Only the feature that states the label has any importance."""
+    rows = models.assemble(document_features(t).withColumns({"told": F.col("english"), "flat": F.lit(0)}), ["told", "flat"])
+    return models.top_importances(models.importances(t.spark, models.forest(rows, "english"), ["told", "flat"]), 1)
 
 
 def combination_rows(t):
@@ -190,7 +247,11 @@ def combination_rows(t):
     return vectors(rows, None, 5, haplotype=["PROMO", "SMALL"])
 
 
-@query("G3 G4 G5 M5")
+HAPLOTYPE_SETS = sets_sql("CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'haplotype' ELSE p_type END")
+
+
+@query("G3 G4 G5 M5", f"""WITH {HAPLOTYPE_SETS}, s AS (SELECT k, item_set FROM combo GROUP BY ALL HAVING count(*) > 5), c AS (SELECT id, count(*) AS f FROM combo SEMI JOIN s USING (k, item_set) GROUP BY id),
+p AS (SELECT DISTINCT id, dementia FROM pres) SELECT dementia, coalesce(f, 0)::INTEGER AS features, count(*) AS n FROM p LEFT JOIN c USING (id) GROUP BY ALL""")
 def combination_vectors(t):
     """Classifier input from variant combinations: feature counts per subject group."""
     from pyspark.ml.functions import vector_to_array
@@ -203,5 +264,5 @@ def combination_vectors(t):
 def four_models_on_combinations(t):
     """From variant calls to the scores of the four classifiers, end to end."""
     rows, names = combination_rows(t)
-    predictions = models.compare_on_vectors(rows, "id", "dementia", len(names), trees=10, stages=5)
+    predictions = models.compare_on_vectors(rows, "id", "dementia", len(names))
     return accuracy.scores(accuracy.confusion_counts(predictions, "prediction", "dementia", ["model"]))

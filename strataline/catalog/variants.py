@@ -9,7 +9,6 @@ from .registry import query
 from .sqltext import uniform
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 CALLS_SQL = """calls AS (SELECT l_orderkey, p_type, p_brand, p_size, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -113,23 +112,30 @@ def annotated_grid(t):
     return table.groupBy("gene", "coordinate", "exonic_func", "genotype", "Alt", "dementia").agg(F.count(F.lit(1)).alias("n"))
 
 
-SETS_SQL = f"""{PRESENCE_SQL.format(item='p_brand')}, it AS (SELECT DISTINCT id, c FROM pres WHERE present = 1), sz AS (SELECT id, count(*) AS k FROM it GROUP BY id),
+SETS_SQL = """{presence}, it AS (SELECT DISTINCT id, c FROM pres WHERE present = 1), sz AS (SELECT id, count(*) AS k FROM it GROUP BY id),
 combo AS (SELECT a.id, 3 AS k, a.c || '_' || b.c || '_' || d.c AS item_set FROM it a JOIN it b ON a.id = b.id AND a.c < b.c JOIN it d ON d.id = a.id AND b.c < d.c
 UNION ALL SELECT a.id, 2, a.c || '_' || b.c FROM it a JOIN it b ON a.id = b.id AND a.c < b.c JOIN sz ON sz.id = a.id WHERE sz.k = 2
 UNION ALL SELECT it.id, 1, c FROM it JOIN sz ON sz.id = it.id WHERE sz.k = 1)"""
 
 
-@query("G3", f"WITH {SETS_SQL} SELECT id, k, item_set FROM combo")
+def sets_sql(item):
+    return SETS_SQL.format(presence=PRESENCE_SQL.format(item=item))
+
+
+BRAND_SETS = sets_sql("p_brand")
+
+
+@query("G3", f"WITH {BRAND_SETS} SELECT id, k, item_set FROM combo")
 def combos_k123(t):
     return genotype.subject_combinations(presence(t, "p_brand"), "id", "Coordinate")
 
 
-@query("G4 P9", f"WITH {SETS_SQL} SELECT k, item_set, count(*) AS support FROM combo GROUP BY ALL HAVING count(*) > 5")
+@query("G4 P9", f"WITH {BRAND_SETS} SELECT k, item_set, count(*) AS support FROM combo GROUP BY ALL HAVING count(*) > 5")
 def combo_support(t):
     return genotype.combination_support(presence(t, "p_brand"), "id", "Coordinate", 5)
 
 
-@query("G4", f"WITH {SETS_SQL}, s AS (SELECT k, item_set FROM combo GROUP BY ALL HAVING count(*) > 5) SELECT id, k, item_set FROM combo SEMI JOIN s USING (k, item_set)")
+@query("G4", f"WITH {BRAND_SETS}, s AS (SELECT k, item_set FROM combo GROUP BY ALL HAVING count(*) > 5) SELECT id, k, item_set FROM combo SEMI JOIN s USING (k, item_set)")
 def combos_with_support(t):
     return genotype.subject_combinations(presence(t, "p_brand"), "id", "Coordinate", 5)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .skew import own_exchange
+
 
 def choose(df: DataFrame, *items: str | int | slice) -> DataFrame:
     """Columns by name, 1-based position, or 1-based inclusive slice (also between two names)."""
@@ -114,4 +116,4 @@ def drop_rare_features(long: DataFrame, feature: str, threshold: int, value: str
     total = F.sum(value) if value else F.count(F.lit(1))
     support = long.groupBy(feature).agg(total.alias("__n"))
     kept = support.filter(F.col("__n") >= threshold if keep_at else F.col("__n") > threshold)
-    return long.join(kept, feature, "left_semi")
+    return own_exchange(long, kept, [(feature, feature)], "left_semi")

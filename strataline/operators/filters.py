@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_member
+from .skew import own_exchange
 
 
 def where_flag(df: DataFrame, name: str, value: int = 1) -> DataFrame:
@@ -30,7 +31,7 @@ def exclude_listed(df: DataFrame, excluded: DataFrame, key: str, listed: str | N
     Spark broadcasts the list by its size at run time; a large list becomes a shuffled anti join.
     """
     ids = excluded.select(F.regexp_replace(F.col(listed or excluded.columns[0]), "_", "-").alias("__id")).distinct()
-    return df.join(ids, df[key] == ids["__id"], "left_anti")
+    return own_exchange(df, ids, [(key, "__id")], "left_anti")
 
 
 def drop_missing(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def outcome_from_id(subject: str | Column, control_prefix: str = "N") -> Column:
     return F.when(c.startswith(control_prefix), 0).when(c.isNotNull(), 1)
 
 
-def gene_grid(subjects: DataFrame, coordinates: DataFrame, within: Sequence[str] = (), spread: int = 64) -> DataFrame:
+def gene_grid(subjects: DataFrame, coordinates: DataFrame, within: Sequence[str] = (), spread: int | None = None) -> DataFrame:
     """All subjects (also those without any call) at all coordinates."""
     from .joins import grid
     return grid(subjects, coordinates, within, spread)
@@ -78,7 +78,9 @@ def burden_frequencies(calls: DataFrame, subjects: DataFrame, subject: str, gene
     sizes = people.groupBy(outcome).agg(F.count(F.lit(1)).alias("__all"))
     counted = [F.struct(F.lit(v).alias(outcome), F.coalesce(F.sum(F.when(F.col(outcome) == v, F.col("n"))), F.lit(0))
                         .alias("__seen")) for v in levels]
-    zero = seen.groupBy(gene).agg(F.array(*counted).alias("__g")).select(gene, F.explode("__g").alias("__g"))
+    # a gene whose carriers all lack a known outcome has burden 0 for everybody
+    genes = calls.filter(F.col(gene).isNotNull()).select(gene).distinct().withColumns({outcome: F.lit(levels[0]), "n": F.lit(0).cast("bigint")})
+    zero = seen.select(gene, outcome, "n").unionByName(genes).groupBy(gene).agg(F.array(*counted).alias("__g")).select(gene, F.explode("__g").alias("__g"))
     zero = zero.select(gene, "__g.*").join(sizes, outcome).select(
         gene, outcome, F.lit(0).cast("bigint").alias("burden"), (F.col("__all") - F.col("__seen")).alias("n"))
     return materialise(seen.unionByName(zero.filter(F.col("n") > 0)))
@@ -114,9 +116,11 @@ def combinations(sets: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Item sets of size 3, 2 and 1 from rows ``(keep…, size, items)``.
 
     Size 3: any three present items. Sizes 2 and 1: only when the subject has exactly that many.
-    Items are taken one level at a time, so no row ever holds all triples of a subject.
+    Items are taken one level at a time, so no row ever holds all triples of a subject. The text of a set joins
+    its items with "_"; an underscore or backslash inside an item gets a backslash in front, so no two sets share a text.
     """
-    base = sets.select(*keep, "size", "items")
+    marked = F.transform("items", lambda x: F.regexp_replace(x, r"([_\\])", r"\\$1"))
+    base = sets.select(*keep, "size", marked.alias("items"))
     name = lambda *cs: F.concat_ws("_", *cs)
     rest = lambda p: F.slice("items", F.col(p) + 2, F.greatest(F.size("items") - F.col(p) - 1, F.lit(0)))
     first = base.filter(F.size("items") >= 3).select(*keep, "items", F.posexplode("items").alias("p", "a"))
@@ -135,8 +139,10 @@ def subject_combinations(presence: DataFrame, subject: str, item: str, threshold
     if not threshold:
         return combinations(sets, [subject])
     sets = materialise(sets)  # read twice: for the support and for the rows
-    kept = _support(sets, threshold).select("k", "item_set")
-    return combinations(sets, [subject]).join(kept, ["k", "item_set"], "left_semi")
+    kept = _support(sets, threshold).select(F.xxhash64("item_set").alias("__key"), F.col("item_set").alias("__set"))
+    rows = combinations(sets, [subject]).withColumn("__key", F.xxhash64("item_set"))
+    # the computed key gives both sides an exchange of their own, so a very common set can be split at run time
+    return rows.join(kept, (rows["__key"] == kept["__key"]) & (rows["item_set"] == kept["__set"]), "left_semi").drop("__key")
 
 
 def combination_support(presence: DataFrame, subject: str, item: str, threshold: int = 0) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Registry joins: missing keys match by default, overlapping columns are merged."""
+"""Registry joins; overlapping columns are merged. Missing keys match nothing unless ``na_matches=True``, which is how the cohort
+scripts join: with many missing keys on both sides the result then grows with their product."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from .ordered import ordered_scan
 from .skew import attach_size, full_join, same_key
 
 
-def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = True,
+def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = False,
               suffix: tuple[str, str] = (".x", ".y")) -> DataFrame:
     """Left join; keys come once, other shared columns get the suffixes. Spark chooses broadcast or
     shuffle by size and splits hot partitions of the left side."""
@@ -26,7 +27,7 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches
 
 
 def full_join_first_known(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                          shared: Sequence[str] | None = None, na_matches: bool = True) -> DataFrame:
+                          shared: Sequence[str] | None = None, na_matches: bool = False) -> DataFrame:
     """Full outer join; each shared column keeps the left value, else the right one."""
     out = full_join(left, right, keys, na_matches)
     both = [c for c in left.columns if c in right.columns and c not in keys]
@@ -34,7 +35,7 @@ def full_join_first_known(left: DataFrame, right: DataFrame, keys: Sequence[str]
     return out.drop(*[f"{c}{s}" for c in both for s in (".x", ".y")])
 
 
-def coalesce_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = True) -> DataFrame:
+def coalesce_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = False) -> DataFrame:
     """Full outer join that merges each shared column: equal values stay, a missing one is filled
     from the other side, different ones become the union of their lines."""
     both = [c for c in left.columns if c in right.columns and c not in keys]
@@ -60,13 +61,15 @@ def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = No
     return left.join(other, same_key(left, other, [(k, f"__{k}") for k in keys], True), "left_anti")
 
 
-def grid(rows: DataFrame, columns: DataFrame, within: Sequence[str] = (), spread: int = 64) -> DataFrame:
+def grid(rows: DataFrame, columns: DataFrame, within: Sequence[str] = (), spread: int | None = None) -> DataFrame:
     """Every row key with every column key (inside each ``within`` key): the result is the grid.
 
     Rows get one of ``spread`` buckets and the column keys are repeated per bucket, so the cells are
-    produced by many tasks even for one hot ``within`` key. Use it only where the cells themselves
-    are wanted; counts come from the sparse calls (absent = total - present).
+    produced by many tasks even for one hot ``within`` key. Without ``spread`` there are four buckets per
+    shuffle partition, so they grow with the cluster's setting for the data. Use it only where the cells
+    themselves are wanted; counts come from the sparse calls (absent = total - present).
     """
+    spread = spread or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")
     left = rows.withColumn("__bucket", bucket)
     right = columns.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
@@ -96,7 +99,7 @@ def enrich(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def link_registries(first: DataFrame, steps: Sequence[tuple[DataFrame, Sequence[str]]], natural_keys: Sequence[str],
-                    key: str = "key_id", na_matches: bool = True) -> DataFrame:
+                    key: str = "key_id", na_matches: bool = False) -> DataFrame:
     """Cascade of full joins, each on its own keys, then one number per linked person.
 
     Numbers follow the sorted natural keys, so a rerun gives the same ones; the numbering runs over

@@ -25,16 +25,29 @@ def _moments(value: str, test: Column, weight: str | None) -> tuple[Column, Colu
     if weight is None:
         return F.count(v), F.avg(v), F.var_samp(v)
     w = F.when(test & F.col(value).isNotNull(), F.col(weight))
-    n, s, q = F.coalesce(F.sum(w), F.lit(0)), F.sum(w * v), F.sum(w * v * v)
-    mean = F.try_divide(s, n)
-    return n, mean, F.try_divide(F.greatest(q - s * mean, F.lit(0.0)), F.when(n > 1, n - 1))
+    d = v - F.col("__centre")
+    n, s, q = F.coalesce(F.sum(w), F.lit(0)), F.sum(w * d), F.sum(w * d * d)
+    shift = F.try_divide(s, n)
+    centre = F.max(F.when(test, F.col("__centre")))
+    return n, centre + shift, F.try_divide(F.greatest(q - s * shift, F.lit(0.0)), F.when(n > 1, n - 1))
+
+
+def _centred(df: DataFrame, value: str, keys: Sequence[str], weight: str | None) -> DataFrame:
+    """Weighted rows with the mean of their group in ``__centre``: sums of squares around it do not cancel when the mean is
+    large against the spread. One more small aggregate; plain rows do not need it."""
+    if weight is None:
+        return df
+    known = F.when(F.col(value).isNotNull(), F.col(weight))
+    means = df.groupBy(*keys).agg(F.try_divide(F.sum(known * F.col(value).cast("double")), F.sum(known)).alias("__centre"),
+                                  F.count(F.lit(1)).alias("__rows"))
+    return attach(df, means, keys, "__rows", keep_size=False)
 
 
 def two_group_moments(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (),
                       weight: str | None = None) -> DataFrame:
     nx, mx, vx = _moments(value, F.col(group) == x, weight)
     ny, my, vy = _moments(value, F.col(group) == y, weight)
-    return df.groupBy(*by).agg(
+    return _centred(df, value, [*by, group], weight).groupBy(*by).agg(
         nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"), mx.alias("mean_x"), my.alias("mean_y"),
         vx.alias("__vx"), vy.alias("__vy"))
 
@@ -88,7 +101,7 @@ ANOVA = ["df_between", "df_within", "ss_between", "ss_within", "ms_between", "ms
 def group_moments(df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     n, mean, var = _moments(value, F.lit(True), weight)
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    return known.groupBy(*by, group).agg(n.cast("bigint").alias("__n"), mean.alias("__mean"), var.alias("__var"))
+    return _centred(known, value, [*by, group], weight).groupBy(*by, group).agg(n.cast("bigint").alias("__n"), mean.alias("__mean"), var.alias("__var"))
 
 
 def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

@@ -33,9 +33,11 @@ def item_features(item_rows: DataFrame, subjects: DataFrame, subject: str, item:
     bags = item_rows.groupBy(subject).agg(F.collect_set(item).alias("__bag"))
     rows = subjects.join(bags, subject, "left").withColumn("__bag", F.coalesce("__bag", F.array().cast("array<string>")))
     rows = materialise(rows)  # read by the fit and by the result
-    # the vocabulary is bounded by the number of supported items, not by subjects
+    # the vocabulary holds every supported item: their number is counted, nothing is cut off
+    pairs = item_rows.select(subject, item).distinct().groupBy(item).agg(F.count(F.lit(1)).alias("__n"))
+    supported = pairs.filter(F.col("__n") > threshold).count()
     model: CountVectorizerModel = CountVectorizer(inputCol="__bag", outputCol="features", binary=True,
-                                                  minDF=float(threshold + 1), vocabSize=1 << 20).fit(rows)
+                                                  minDF=float(threshold + 1), vocabSize=max(1, supported)).fit(rows)
     return model.transform(rows).drop("__bag"), list(model.vocabulary)
 
 

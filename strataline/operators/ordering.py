@@ -34,13 +34,13 @@ def in_coordinate_order(df: DataFrame, *order: str, partitions: int | None = Non
 
 
 def flag_duplicates(df: DataFrame, position: Sequence[str], quality: str, tie: str) -> DataFrame:
-    """Mark all rows of a position but the one of best quality (lowest ``tie`` among equals).
+    """Mark all rows of a position but the one of best quality (lowest ``tie`` among equals; a missing quality ranks last).
 
     The best row per position is an aggregate that combines before the shuffle; rows of hot
     positions are spread before it is joined back.
     """
     best = df.groupBy(*position).agg(
-        F.min_by(tie, F.struct((-F.col(quality)).alias("q"), F.col(tie).alias("t"))).alias("__best"),
+        F.min_by(tie, F.struct(F.col(quality).isNull().alias("m"), (-F.col(quality)).alias("q"), F.col(tie).alias("t"))).alias("__best"),
         F.count(F.lit(1)).alias("__size"))
     out = attach(df, best, position, "__size", keep_size=False)
     return out.withColumn("duplicate", (F.col(tie) != F.col("__best")).cast("int")).drop("__best")

@@ -26,6 +26,24 @@ def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return reduce(lambda x, y: x & y, tests)
 
 
+def own_exchange(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
+    """Semi or anti join on equal keys where ``right`` comes out of an aggregate.
+
+    Joined on the plain keys Spark reuses the aggregate's partitioning and then cannot split a hot key of ``left``. The hash of the
+    keys is a partitioning of its own, so both sides are dealt anew and adaptive execution can split. Missing keys match nothing.
+    """
+    hashed = right.select(F.xxhash64(*[F.col(f"`{b}`") for _, b in pairs]).alias("__hash"), *[F.col(f"`{b}`").alias(f"__o_{i}") for i, (_, b) in enumerate(pairs)])
+    marked = left.withColumn("__mine", F.xxhash64(*[F.col(f"`{a}`") for a, _ in pairs]))
+    on = marked["__mine"] == hashed["__hash"]
+    for i, (a, _) in enumerate(pairs):
+        on = on & (marked[f"`{a}`"] == hashed[f"__o_{i}"])
+    return marked.join(hashed, on, how).drop("__mine")
+
+
+def without_partner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return own_exchange(left, right.select(*keys).distinct(), [(k, k) for k in keys], "left_anti")
+
+
 def hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows in one of the frames, or None. One job over the key columns."""
     counted = [f.select(*[F.col(f"`{k}`").alias(f"__h_{k}") for k in keys], F.lit(i).alias("__side"))
@@ -36,7 +54,7 @@ def hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], limit: int) -> Da
     return None if many.isEmpty() else materialise(many)
 
 
-def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = True,
+def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str], na_matches: bool = False,
               suffix: tuple[str, str] = (".x", ".y")) -> DataFrame:
     """Full outer join; keys come once, other shared columns get the suffixes.
 

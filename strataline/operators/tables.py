@@ -74,6 +74,9 @@ def presence_chi_squared(calls: DataFrame, subjects: DataFrame, subject: str, si
     carriers = calls.select(subject, *site).distinct().join(people, subject)
     out = carriers.groupBy(*site).agg(F.count_if(F.col(outcome) == 0).alias("carrier_normal"),
                                       F.count_if(F.col(outcome) == 1).alias("carrier_patient"))
+    # a site whose carriers all lack a known outcome stays, with no carriers
+    sites = calls.select(*site).distinct().withColumns({"carrier_normal": F.lit(0).cast("bigint"), "carrier_patient": F.lit(0).cast("bigint")})
+    out = out.unionByName(sites).groupBy(*site).agg(F.max("carrier_normal").alias("carrier_normal"), F.max("carrier_patient").alias("carrier_patient"))
     size = lambda v: people.agg(F.count_if(F.col(outcome) == v)).scalar()
     out = out.withColumns({"absent_normal": size(0) - F.col("carrier_normal"),
                            "absent_patient": size(1) - F.col("carrier_patient")})

@@ -78,11 +78,11 @@ def with_key(rows: DataFrame, keys: DataFrame, number_column: str) -> DataFrame:
 
 
 def master_table(first: DataFrame, others: Sequence[DataFrame], key: str = "key_id", front: Sequence[str] = (),
-                 na_matches: bool = True, write_steps: bool = True) -> DataFrame:
+                 na_matches: bool = False, write_steps: bool = True) -> DataFrame:
     """Merge all sources into the first one by person key and put the id columns first.
 
-    Rows without a key match rows without a key, as in the scripts; ``na_matches=False`` keeps them
-    apart (their number of pairs grows with the product). Each step is written once to the shared
+    Rows without a key stay apart; ``na_matches=True`` matches them with each other, as in the scripts
+    (their number of pairs grows with the product). Each step is written once to the shared
     folder, because the next one reads it twice (measured, then joined).
     """
     def step(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extract, replace_first
+from ..operators.skew import without_partner
 
 SAMPLE_PATTERN = r"(N|P|AG|GM)-?\d{2,}"  # fixed value: sample ids in read-file names
 LIBRARY_PATTERN = r"\d{8}"  # fixed value: library date in the folder name
-GROUP_ID = "MJ"  # fixed value: id in the read-group text
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -20,7 +20,7 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         "pathGlobFilter", glob).load(root).select("path", "length")
 
 
-def read_manifest(files: DataFrame, group_id: str = GROUP_ID) -> DataFrame:
+def read_manifest(files: DataFrame, group_id: str) -> DataFrame:
     """Pairs of read files with sample, library, lane and read-group text."""
     first = files.filter(F.col("path").contains("_R1_")).select(F.col("path").alias("r1"))
     first = first.withColumns({
@@ -43,4 +43,4 @@ def completed(outputs: DataFrame, keys: Sequence[str], kind: str, required: Sequ
 
 def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work whose keys are not completed yet."""
-    return work.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return without_partner(work, done, keys)

@@ -43,9 +43,11 @@ def read_typed_csv(spark: SparkSession, path: str | list[str], schema: T.StructT
         "nullValue", MISSING).option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).csv(path)
 
 
-def read_positional(spark: SparkSession, path: str | list[str], names: Sequence[str], sep: str = ",") -> DataFrame:
-    """First line skipped, columns named by position, all text."""
-    return spark.read.schema(text_schema(names)).option("header", True).option("sep", sep).option(
+def read_positional(spark: SparkSession, path: str | list[str], names: Sequence[str], sep: str = ",", skip: int = 1) -> DataFrame:
+    """Columns named by position, all text. ``skip=1`` leaves out the first line of each file, ``skip=0`` reads it as a row."""
+    if skip not in (0, 1):
+        raise ValueError("skip is 0 or 1")
+    return spark.read.schema(text_schema(names)).option("header", bool(skip)).option("sep", sep).option(
         "nullValue", MISSING).csv(path).replace("", None)
 
 

@@ -29,8 +29,8 @@ def test_membership(spark):
 def test_missing_keys_match_in_joins(spark):
     a = spark.createDataFrame([(None, 1), ("k", 2)], "k string, v int")
     b = spark.createDataFrame([(None, 10)], "k string, w int")
-    assert {(r.k, r.w) for r in joins.left_join(a, b, ["k"]).collect()} == {(None, 10), ("k", None)}
-    assert {(r.k, r.w) for r in joins.left_join(a, b, ["k"], na_matches=False).collect()} == {(None, None), ("k", None)}
+    assert {(r.k, r.w) for r in joins.left_join(a, b, ["k"], na_matches=True).collect()} == {(None, 10), ("k", None)}
+    assert {(r.k, r.w) for r in joins.left_join(a, b, ["k"]).collect()} == {(None, None), ("k", None)}
 
 
 def test_propagating_mean_and_sum(spark):

@@ -224,9 +224,75 @@ def test_path_model_matches_numpy(spark):
 
 def test_manifest(spark):
     files = [("/d/20200101/fastq/L1/P-12_R1_001.gz", 5), ("/d/20200101/fastq/L1/P-12_R2_001.gz", 5), ("/d/20200102/fastq/L2/AG33_R1_x.gz", 5)]
-    out = {r["sample"]: r for r in rows(manifest.read_manifest(spark.createDataFrame(files, "path string, length long")))}
+    out = {r["sample"]: r for r in rows(manifest.read_manifest(spark.createDataFrame(files, "path string, length long"), "G1"))}
     assert out["P-12"]["r2"].endswith("P-12_R2_001.gz") and out["P-12"]["library"] == "20200101" and out["P-12"]["lane"] == "L1"
     assert out["AG33"]["r2"] is None and out["AG33"]["read_group"].endswith("SM:AG33")
     outputs = spark.createDataFrame([("a", "bam", 3), ("a", "txt", 1), ("b", "bam", 3), ("b", "txt", 0)], "s string, kind string, length long")
     done = manifest.completed(outputs, ["s"], "kind", ["bam", "txt"])
     assert [r["s"] for r in manifest.pending(spark.createDataFrame([("a",), ("b",), ("c",)], "s string"), done, ["s"]).orderBy("s").collect()] == ["b", "c"]
+
+
+def test_missing_quality_never_wins(spark):
+    from strataline.operators import ordering
+    df = spark.createDataFrame([(1, 10.0, "a"), (1, None, "b"), (1, 5.0, "c"), (2, None, "d"), (2, None, "e")], "pos int, q double, id string")
+    out = {r["id"]: r["duplicate"] for r in rows(ordering.flag_duplicates(df, ["pos"], "q", "id"))}
+    assert out == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+
+
+def test_gene_and_site_without_known_outcome(spark):
+    from strataline.operators import genotype, tables
+    calls = spark.createDataFrame([("s1", "g1", 1), ("s3", "g2", 2)], "id string, gene string, site int")
+    people = spark.createDataFrame([("s1", 0), ("s2", 1), ("s3", None)], "id string, outcome int")
+    freq = {(r["gene"], r["outcome"], r["burden"]): r["n"] for r in rows(genotype.burden_frequencies(calls, people, "id", "gene", "outcome", [0, 1]))}
+    assert freq == {("g1", 0, 1): 1, ("g1", 1, 0): 1, ("g2", 0, 0): 1, ("g2", 1, 0): 1}
+    sites = {r["site"]: r for r in rows(tables.presence_chi_squared(calls, people, "id", ["site"], "outcome"))}
+    assert sites[2]["note"] == "single level" and (sites[2]["absent_normal"], sites[2]["absent_patient"]) == (1, 1)
+
+
+def test_weighted_variance_of_large_values(spark):
+    import pytest
+
+    from strataline.operators import means
+    df = spark.createDataFrame([("x", 1e8 + v, 1) for v in (0.0, 1.0, 2.0)] + [("y", 1e8 + 10 + v, 2) for v in (0.0, 1.0, 2.0)], "g string, v double, n int")
+    got = rows(means.t_test(df, "v", "g", "x", "y", weight="n"))[0]
+    assert got["sd_x"] == pytest.approx(1.0) and got["sd_y"] == pytest.approx((4 / 5) ** 0.5) and got["mean_y"] == pytest.approx(1e8 + 11) and got["statistic"] is not None
+
+
+def test_item_sets_with_separators(spark):
+    from strataline.operators import genotype
+    sets = [("p", ["a_b", "c", "d"]), ("q", ["a", "b_c", "d"]), ("r", ["a_b", "c", "d"])]
+    presence = spark.createDataFrame([(s, i, 1) for s, items in sets for i in items], "id string, item string, present int")
+    support = {r["item_set"]: r["support"] for r in rows(genotype.combination_support(presence, "id", "item"))}
+    assert sorted(support.values()) == [1, 2] and len(support) == 2
+    assert {r["id"] for r in rows(genotype.subject_combinations(presence, "id", "item", 1))} == {"p", "r"}
+
+
+def test_read_without_header(spark, tmp_path):
+    from strataline.sources import readers
+    (tmp_path / "x.csv").write_text("p1,a\np2,b\n")
+    assert [r["id"] for r in readers.read_positional(spark, str(tmp_path), ["id", "v"], skip=0).orderBy("id").collect()] == ["p1", "p2"]
+    assert [r["id"] for r in readers.read_positional(spark, str(tmp_path), ["id", "v"]).collect()] == ["p2"]
+
+
+def test_unpack_one_very_long_cell(spark):
+    from strataline.operators import reshape
+    n = 100_000
+    df = spark.createDataFrame([("p", "\n".join(str(k) for k in range(n)), "\n".join(str(k) for k in range(n)))], "id string, day string, v string")
+    out = reshape.unpack(df, ["day", "v"])
+    assert out.count() == n and out.filter("day <> v").count() == 0
+
+
+def test_hot_keys_get_their_own_exchange(spark):
+    """With broadcasting off both sides of the join are dealt by the hash of the key, not by the aggregate's partitioning."""
+    from strataline.operators import columns, filters
+    from strataline.sources import manifest
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select((F.col("id") % 7).cast("string").alias("k"), "id")
+        plans = [columns.drop_rare_features(df, "k", 3), filters.exclude_listed(df, df.select("k"), "k"), manifest.pending(df, df.filter("id < 5"), ["k"])]
+        for d in plans:
+            text = d._jdf.queryExecution().executedPlan().toString()
+            assert text.count("hashpartitioning(__mine") == 1 and text.count("hashpartitioning(__hash") == 1
+        assert [d.count() for d in plans] == [100, 0, 100 - sum(1 for k in range(100) if k % 7 < 5)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

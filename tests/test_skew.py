@@ -64,7 +64,7 @@ def check_full_join(spark):
     y = spark.createDataFrame([(2, "B"), (2, "BB"), (3, "C"), (None, "N")], "k int, v string")
     key = lambda t: tuple(str(a) for a in t)
     got = sorted(((r["k"], r["v.x"], r["v.y"]) for r in
-                  full_join(x, y, ["k"]).withColumnsRenamed({}).collect()), key=key)
+                  full_join(x, y, ["k"], na_matches=True).withColumnsRenamed({}).collect()), key=key)
     assert got == sorted([(1, "a", None), (2, "b", "B"), (2, "b", "BB"), (3, None, "C"), (None, "n", "N")], key=key)
     never = full_join(x, y, ["k"], na_matches=False)
     assert never.count() == 6
