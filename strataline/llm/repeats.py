@@ -1,12 +1,13 @@
 """Substring dedup by hashing lines cut into sentences.
 
 Units are the sentences of every line (a line without sentence ends is one unit), so a passage keeps most of its units where it is
-pasted into the middle of a line. Units are normalised (case, white space) and hashed to 128 bits; digests are grouped over all
+pasted into the middle of a line. Units are normalised (case, white space) and hashed to 96 bits; digests are grouped over all
 documents; the earliest occurrence by (doc_id, place in the text) stays. Runs of consecutive repeated units are removed when they hold
 ``min_words`` words or more; offsets of the original text are kept.
 
-How it runs: a first pass counts 64-bit keys only; the units whose key occurs more than once (few of all) then go through the exact
-grouping. Counts combine before the shuffle, and the joins are on keys that adaptive execution can split, so one line on a third of
+How it runs: a first pass counts 64-bit keys only; the units whose key occurs more than once then go, with 96 bits and their place but
+without text or offsets, through the exact grouping; they are written once. Offsets are found again where the text is cut. Counts
+combine before the shuffle, and the joins are on keys that adaptive execution can split, so one line on a third of
 all documents does not end in one task. Nothing is collected per digest.
 
 Defined results
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import prepare, rows_of, ship, table
 
 #: Runs of repeated units shorter than this many words stay.
@@ -68,34 +70,33 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=_KEYS)
 
 
-_UNITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32()),
-                    ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32())])
+_UNITS = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32())])
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in _UNITS]
         for doc, tie, text in rows_of([b], "doc", "tie", "text"):
-            for place, (start, stop, words) in enumerate(units(text or "")):
+            for place, (_, _, words) in enumerate(units(text or "")):
                 said = " ".join(words).encode("utf-8", "surrogatepass")
-                for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(said)), _signed(xxhash.xxh64_intdigest(said, 7)), doc, tie, place, start, stop, len(words))):
+                for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(said)), xxhash.xxh32_intdigest(said, 7) - (1 << 31), doc, tie, place)):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
 
 
-def cut(text: str | None, found: list[dict], min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
-    """The text without the long enough runs, their spans in the original, and the number of units removed."""
-    if text is None or not found:
+def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
+    """The text without the long enough runs of the units at ``places``, their spans in the original, and the number of units removed."""
+    if text is None or not places:
         return text, [], 0
-    spans, removed, run = [], 0, []
-    for u in [*sorted(found, key=lambda x: x["place"]), None]:
-        if run and (u is None or u["place"] != run[-1]["place"] + 1):
-            if sum(x["words"] for x in run) >= min_words:
-                spans.append((run[0]["start"], run[-1]["stop"]))
+    spans, removed, run, repeated = [], 0, [], set(places)
+    for k, u in enumerate([*units(text), None]):
+        if u is not None and k in repeated:
+            run.append(u)
+        elif run:
+            if sum(len(words) for _, _, words in run) >= min_words:
+                spans.append((run[0][0], run[-1][1]))
                 removed += len(run)
             run = []
-        if u is not None:
-            run.append(u)
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
@@ -107,26 +108,28 @@ ship(__name__)
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """Units that are not the earliest occurrence of their digest: doc, tie, place, start, stop, words."""
+    """Units that are not the earliest occurrence of their digest: doc, tie, place."""
     # few distinct keys leave each batch; the counts combine again before the shuffle
     keys = docs.select("text").mapInArrow(_keys, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     again = keys.filter("n > 1").select(F.xxhash64("a").alias("key"))
-    every = docs.select("doc", "tie", "text").mapInArrow(_units, "a long, b long, doc long, tie long, place int, start int, stop int, words int")
-    many = every.withColumn("key", F.xxhash64("a")).join(again, "key", "left_semi").drop("key")
+    every = docs.select("doc", "tie", "text").mapInArrow(_units, "a long, b int, doc long, tie long, place int")
+    many = materialise(every.withColumn("key", F.xxhash64("a")).join(again, "key", "left_semi").drop("key"))  # read twice below
     rank = F.struct("doc", "tie", "place")
     first = many.groupBy("a", "b").agg(F.min(rank).alias("first")).select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
     later = many.withColumn("key", F.xxhash64("a", "b")).join(first, "key").filter((F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (rank != F.col("first")))
-    return later.select("doc", "tie", "place", "start", "stop", "words")
+    return later.select("doc", "tie", "place")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns and rows of ``docs`` with repeated passages cut out of ``text``, and ``__spans`` (array of start, stop in the
     original text) and ``__n_removed``."""
     doc = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST))
-    tie = F.xxhash64(F.col(f"`{text}`"))
+    # only rows that share a doc_id need the hash of their text to tell them apart
+    shared = not docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    tie = F.xxhash64(F.col(f"`{text}`")) if shared else F.lit(0).cast("bigint")
     later = repeated_units(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(f"`{text}`").alias("text")))
     # repeated rows give the same units twice: a set
-    by_doc = later.groupBy("doc", "tie").agg(F.collect_set(F.struct("place", "start", "stop", "words")).alias("__found"))
+    by_doc = later.groupBy("doc", "tie").agg(F.collect_set("place").alias("__found"))
     by_doc = by_doc.withColumnsRenamed({"doc": "__doc", "tie": "__tie"})
     joined = docs.withColumns({"__d": doc, "__t": tie}).join(by_doc, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__tie")), "left")
     joined = joined.drop("__d", "__t", "__doc", "__tie")
