@@ -145,3 +145,38 @@ def incremental_anti(t):
     from ..sources.manifest import completed, pending
     outputs = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", F.col("l_quantity").alias("length"))
     return pending(t.orders.select("o_orderkey"), completed(outputs, ["o_orderkey"], "l_returnflag", ["A", "R"]), ["o_orderkey"])
+
+
+@query("P3 L5 L9 C3 C6 C14 C26", """SELECT 'K-' || c_custkey AS karyotype_no, CASE WHEN c_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, (20 + c_custkey % 60)::INTEGER AS age, true AS karyotype,
+ CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END::DOUBLE AS turner FROM customer WHERE c_custkey % 10 <> 0""")
+def karyotype_list(t):
+    """Karyotype rows: sex and age in one cell, ids behind a quote, flags with gaps, rows without an id."""
+    from ..plans.cohort import karyotype_rows
+    key = F.col("c_custkey")
+    raw = t.customer.select(
+        F.when(F.pmod(key, F.lit(10)) != 0, F.concat(F.lit("'K-"), key.cast("string"))).alias("code"),
+        F.concat(F.when(F.pmod("c_nationkey", F.lit(2)) == 0, "M").otherwise("F"), F.lit("/"), (20 + F.pmod(key, F.lit(60))).cast("string")).alias("sa"),
+        F.when(F.pmod(key, F.lit(3)) == 0, "1").alias("turner"))
+    return karyotype_rows(raw, {"code": "karyotype_no", "sa": "sex_age"}, ["turner"], "karyotype_no")
+
+
+@query("J1", """SELECT o_orderkey, n, CASE WHEN n IS NOT NULL AND c_custkey IS NOT NULL THEN c_custkey::VARCHAR END AS key_id
+ FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'R' || o_custkey END AS n FROM orders) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 20) ON n = 'R' || c_custkey""")
+def person_key_by_number(t):
+    """The person key by registry number: unknown and missing numbers keep none."""
+    from ..plans.cohort import with_key
+    number = lambda c: F.concat(F.lit("R"), F.col(c).cast("string"))
+    keys = t.customer.select(F.when(F.col("c_nationkey") < 20, number("c_custkey")).alias("n"), F.col("c_custkey").cast("string").alias("key_id"))
+    return with_key(t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", number("o_custkey")).alias("n")), keys, "n")
+
+
+@query("L8 L9 J2 C6", """WITH s AS (SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer WHERE c_nationkey % 5 = 0 OR c_custkey IN (7, 8)),
+a AS (SELECT c_custkey::VARCHAR AS id FROM customer WHERE c_acctbal > 5000)
+SELECT coalesce(s.id, a.id) AS id, name, CASE WHEN a.id IS NULL THEN '0' ELSE '1' END AS receive, CASE WHEN a.id IS NULL THEN '0' ELSE '1' END AS answer FROM s FULL JOIN a USING (id)""")
+def staff_survey(t):
+    """Staff by position or listed id, joined with who received and answered."""
+    from ..plans.cohort import survey_staff
+    key = F.col("c_custkey").cast("string")
+    staff = t.customer.select(key.alias("id"), F.col("c_name").alias("name"), F.when(F.pmod("c_nationkey", F.lit(5)) == 0, "부교수").otherwise("직원").alias("position"), F.lit("없음").alias("duty"))
+    answers = t.customer.filter("c_acctbal > 5000").select(F.concat(key, F.lit(".0")).alias("id"))
+    return survey_staff(staff, answers, ["7", "8"]).select("id", "name", "receive", "answer")

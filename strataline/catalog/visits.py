@@ -79,8 +79,8 @@ lon AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, event_type ORDER BY d
 SELECT user_id, event_type AS measurement, CAST(d AS VARCHAR) AS measurement_date, value AS measurement_value, rank, days AS diff_btw_re_and_me, gap::DOUBLE AS diff_btw_me,
  round(delta, 6) AS delta, round(CASE WHEN gap <> 0 THEN delta / (gap / 365.0) END, 5) AS delta_per_year FROM lon""", delta_per_year=5)
 def packed_longitudinal(t):
-    """Packed master rows per user and id block: dates and values of two event types; low clicks are 'ND'."""
-    e = t.events.filter(F.col("event_type").isin("click", "error"))
+    """Packed master rows per user and id block, all events: in the column of an event type the others, and low clicks, are 'ND'."""
+    e = t.events
     shown = F.when((F.col("event_type") == "click") & (F.col("value") < 10), "ND").otherwise(F.col("value").cast("string"))
     cells = e.groupBy("user_id", block()).agg(F.sort_array(F.collect_list(F.struct(
         F.col("event_id"), F.date_format("ts", "yyyy/MM/dd").alias("d"), F.col("event_type").alias("k"), shown.alias("v")))).alias("x"))

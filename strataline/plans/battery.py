@@ -16,11 +16,13 @@ from ..operators.means import anova, bartlett_test, levene_test, t_test
 from ..operators.normality import shapiro_wilk
 from ..operators.reshape import stack, to_long
 from ..operators.tables import chi_squared
+from ..session import materialise
 
 
 def variance_battery(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
     """Levene, Bartlett, ANOVA and Shapiro-Wilk for every variable: one tidy table."""
-    long = to_long(df.select(group, *[F.col(v).cast("double") for v in variables]), [group], variables)
+    # read by four tests: what lies behind it is computed once
+    long = materialise(to_long(df.select(group, *[F.col(v).cast("double") for v in variables]), [group], variables))
     key = ["variable"]
     f = lambda d, name: d.select("variable", F.lit(name).alias("test"), "statistic",
                                  F.col("df_between").cast("double").alias("df1"), F.col("df_within").cast("double").alias("df2"), "p_value")

@@ -40,9 +40,25 @@ def _checkpoint_base(spark: SparkSession) -> str:
     return base
 
 
+_handed_out: list[str] = []
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's checkpoint folder (a local one only under ``local[*]``)."""
-    return f"{_checkpoint_base(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_base(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far in this process; returns their number. Call it when the results that read
+    them are consumed: a DataFrame over a deleted table fails."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _handed_out:
+        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def materialise(df: DataFrame) -> DataFrame:

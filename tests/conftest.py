@@ -22,6 +22,8 @@ def spark(tmp_path_factory):
     from strataline.session import configure
     configure(session)
     yield session
+    from strataline.session import clean_up
+    clean_up(session)
     session.stop()
 
 

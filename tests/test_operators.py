@@ -296,3 +296,15 @@ def test_hot_keys_get_their_own_exchange(spark):
         assert [d.count() for d in plans] == [100, 0, 100 - sum(1 for k in range(100) if k % 7 < 5)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_intermediates_can_be_deleted(spark):
+    import os
+
+    from strataline import session
+    session.clean_up(spark)
+    base = session.shared_dir(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(base))
+    t = session.materialise(spark.range(5).toDF("id"))
+    assert t.count() == 5 and len(set(os.listdir(base)) - before) == 1
+    assert session.clean_up(spark) == 1 and set(os.listdir(base)) == before
