@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import prepare, rows_of, ship, table
 
-#: Runs of repeated units shorter than this many words stay.
-MIN_WORDS = 10
+#: Runs of repeated units shorter than this many words stay: a passage of 50 words keeps more even if it loses its first and last
+#: sentence to the text around it, and single common lines (they are for line dedup) have fewer.
+MIN_WORDS = 25
 LAST = (1 << 63) - 1
 
 _CUT = re.compile(r"[.!?]+\s+|\n\s*")
