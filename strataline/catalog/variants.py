@@ -94,24 +94,39 @@ def carrier_table(t):
     return genotype.carrier_table(table, "1-URGENT")
 
 
-@query("G2 J6 C4", f"""WITH p AS (SELECT o_orderkey, (CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE 'P' END) || o_custkey AS m FROM orders),
+GRID_SQL = f"""WITH p AS (SELECT o_orderkey, (CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE 'P' END) || o_custkey AS m FROM orders),
 c AS (SELECT m AS master_no, l_returnflag AS gene, l_linenumber AS coordinate, max(CASE WHEN l_quantity > 40 THEN '.' ELSE 'exon' END) AS ef, max(CASE WHEN l_discount > 0.05 THEN 'hom' ELSE 'het' END) AS gt
  FROM lineitem JOIN p ON l_orderkey = o_orderkey GROUP BY ALL),
 g AS (SELECT master_no, gene, coordinate FROM (SELECT DISTINCT master_no FROM c) CROSS JOIN (SELECT DISTINCT gene, coordinate FROM c))
 SELECT gene, coordinate, exonic_func, genotype, "Alt", dementia, count(*) AS n FROM (SELECT gene, coordinate, CASE WHEN ef = '.' THEN 'intronic SNV' ELSE coalesce(ef, 'normal') END AS exonic_func,
  CASE gt WHEN 'hom' THEN 'homozygous mutant type' WHEN 'het' THEN 'heterozygous mutant type' ELSE 'homozygous wild type' END AS genotype,
- CASE WHEN ef IS NULL THEN 'A' ELSE 'T' END AS "Alt", CASE WHEN master_no LIKE 'N%' THEN 0 ELSE 1 END AS dementia FROM g LEFT JOIN c USING (master_no, gene, coordinate)) GROUP BY ALL""")
-def annotated_grid(t):
+ CASE WHEN ef IS NULL THEN 'A' ELSE 'T' END AS "Alt", CASE WHEN master_no LIKE 'N%' THEN 0 ELSE 1 END AS dementia FROM g LEFT JOIN c USING (master_no, gene, coordinate)) GROUP BY ALL"""
+
+
+def annotated_calls(t):
     people = t.orders.select("o_orderkey", F.concat(F.when(F.col("o_orderstatus") == "O", "N").otherwise("P"), F.col("o_custkey").cast("string")).alias("master_no"))
     rows = t.lineitem.join(people, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.groupBy("master_no", F.col("l_returnflag").alias("gene"), F.col("l_linenumber").alias("coordinate")).agg(
         F.max(F.when(F.col("l_quantity") > 40, ".").otherwise("exon")).alias("exonic_func"),
         F.max(F.when(F.col("l_discount") > 0.05, "hom").otherwise("het")).alias("genotype"))
     rows = rows.withColumns({"Ref": F.lit("A"), "Alt": F.lit("T"), "func": F.lit("f")})
+    return rows
+
+
+@query("G2 J6 C4", GRID_SQL)
+def annotated_grid(t):
+    rows = annotated_calls(t)
     table = genotype.annotated_table(rows, rows.select("master_no"))
     return table.groupBy("gene", "coordinate", "exonic_func", "genotype", "Alt", "dementia").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("G2 A3 C4", GRID_SQL)
+def annotated_counts(t):
+    """The same counts from the sparse calls."""
+    rows = annotated_calls(t)
+    return genotype.annotated_counts(rows, rows.select("master_no"))
+
+
 SETS_SQL = """{presence}, it AS (SELECT DISTINCT id, c FROM pres WHERE present = 1), sz AS (SELECT id, count(*) AS k FROM it GROUP BY id),
 combo AS (SELECT a.id, 3 AS k, a.c || '_' || b.c || '_' || d.c AS item_set FROM it a JOIN it b ON a.id = b.id AND a.c < b.c JOIN it d ON d.id = a.id AND b.c < d.c
 UNION ALL SELECT a.id, 2, a.c || '_' || b.c FROM it a JOIN it b ON a.id = b.id AND a.c < b.c JOIN sz ON sz.id = a.id WHERE sz.k = 2

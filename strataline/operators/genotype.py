@@ -64,6 +64,32 @@ def annotated_table(calls: DataFrame, subjects: DataFrame) -> DataFrame:
         label.alias("exonic_func"), outcome_from_id("master_no").alias("dementia"))
 
 
+def annotated_counts(calls: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Cells of ``annotated_table`` per site, kind, genotype, allele and outcome, without building the grid.
+
+    Cells with a call are counted from the calls; normal cells are subjects minus carriers.
+    """
+    people = subjects.select("master_no").distinct().withColumn("dementia", outcome_from_id("master_no"))
+    sites = calls.select("gene", "coordinate", "Ref", "func").distinct()
+    seen = calls.select("master_no", "gene", "coordinate", "Alt", "exonic_func", "genotype").join(people, "master_no")
+    genotype = F.when(F.col("genotype") == "hom", V.GENOTYPE_NAMES["hom"]).when(
+        F.col("genotype") == "het", V.GENOTYPE_NAMES["het"]).otherwise(V.WILD_TYPE)
+    kind = F.coalesce(F.col("exonic_func"), F.lit(V.NORMAL))
+    label = F.when(kind == V.INTRONIC[0], V.INTRONIC[1]).otherwise(kind)
+    keys = ["gene", "coordinate", "exonic_func", "genotype", "Alt", "dementia"]
+    counted = seen.join(sites, ["gene", "coordinate"]).select(
+        "gene", "coordinate", label.alias("exonic_func"), genotype.alias("genotype"),
+        F.when(kind == V.NORMAL, F.col("Ref")).otherwise(F.col("Alt")).alias("Alt"), "dementia").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    size = lambda v: people.agg(F.count_if(F.col("dementia") == v)).scalar()
+    carriers = seen.select("master_no", "gene", "coordinate", "dementia").distinct().groupBy("gene", "coordinate").agg(
+        F.count_if(F.col("dementia") == 0).alias("c0"), F.count_if(F.col("dementia") == 1).alias("c1"))
+    left = lambda v: F.struct(F.lit(v).alias("dementia"), (size(v) - F.coalesce(F.col(f"c{v}"), F.lit(0))).alias("n"))
+    absent = sites.join(carriers, ["gene", "coordinate"], "left").select(
+        "gene", "coordinate", F.lit(V.NORMAL).alias("exonic_func"), F.lit(V.WILD_TYPE).alias("genotype"), F.col("Ref").alias("Alt"),
+        F.explode(F.array(left(0), left(1))).alias("x")).select(*keys[:5], "x.dementia", "x.n")
+    return counted.unionByName(absent.filter("n > 0")).groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def burden_frequencies(calls: DataFrame, subjects: DataFrame, subject: str, gene: str, outcome: str,
                        levels: Sequence) -> DataFrame:
     """How many subjects of each outcome carry 0, 1, 2 … variants of each gene: ``(gene, outcome, burden, n)``.
