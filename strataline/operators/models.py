@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .ordering import top
 from .sampling import split
-from .skew import attach
+from .skew import attach, own_exchange
 
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 256
@@ -29,16 +29,19 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "features") ->
 
 def item_features(item_rows: DataFrame, subjects: DataFrame, subject: str, item: str = "item_set",
                   threshold: int = 0) -> tuple[DataFrame, list[str]]:
-    """Sparse 0/1 vectors from long item rows; items with support at most ``threshold`` are left out."""
-    bags = item_rows.groupBy(subject).agg(F.collect_set(item).alias("__bag"))
-    rows = subjects.join(bags, subject, "left").withColumn("__bag", F.coalesce("__bag", F.array().cast("array<string>")))
+    """Sparse 0/1 vectors from long item rows, and the sorted ``items`` behind them; items with support at most ``threshold``
+    are left out."""
+    pairs = item_rows.select(subject, F.col(item).alias("__item")).distinct()
+    pairs = pairs.join(subjects.select(F.col(subject).alias("__s")), F.col(subject) == F.col("__s"), "left_semi")
+    support = pairs.groupBy("__item").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > threshold)
+    bags = own_exchange(pairs, support, [("__item", "__item")], "left_semi").groupBy(subject).agg(
+        F.sort_array(F.collect_set("__item")).alias("items"))
+    rows = subjects.join(bags, subject, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     rows = materialise(rows)  # read by the fit and by the result
     # the vocabulary holds every supported item: their number is counted, nothing is cut off
-    pairs = item_rows.select(subject, item).distinct().groupBy(item).agg(F.count(F.lit(1)).alias("__n"))
-    supported = pairs.filter(F.col("__n") > threshold).count()
-    model: CountVectorizerModel = CountVectorizer(inputCol="__bag", outputCol="features", binary=True,
-                                                  minDF=float(threshold + 1), vocabSize=max(1, supported)).fit(rows)
-    return model.transform(rows).drop("__bag"), list(model.vocabulary)
+    model: CountVectorizerModel = CountVectorizer(inputCol="items", outputCol="features", binary=True, minDF=1.0,
+                                                  vocabSize=max(1, support.count())).fit(rows)
+    return model.transform(rows), list(model.vocabulary)
 
 
 def _predict(model: Model, rows: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
@@ -77,16 +80,34 @@ def top_importances(table: DataFrame, n: int = 10) -> DataFrame:
     return top(table, ["-feature_importance", "coordinate"], n)
 
 
+def _set_distances(queries: list, block: pd.Series) -> np.ndarray:
+    """Squared distances of 0/1 vectors given as sets of items: sizes of both minus twice what they share."""
+    sizes = np.array([len(b) for b in block])
+    number: dict = {}
+    items = np.array([number.setdefault(i, len(number)) for b in block for i in b], np.int64)
+    rows = np.repeat(np.arange(len(block)), sizes)
+    order = np.argsort(items, kind="stable")
+    rows, ends = rows[order], np.searchsorted(items[order], np.arange(len(number) + 1))
+    out = np.empty((len(queries), len(block)))
+    for k, q in enumerate(queries):
+        hit = [rows[ends[number[i]]:ends[number[i] + 1]] for i in q if i in number]
+        shared = np.bincount(np.concatenate(hit), minlength=len(block)) if hit else 0
+        out[k] = sizes + len(q) - 2 * shared
+    return out
+
+
 def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, features: str, label: str, k: int = 5,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       block_rows: int = BLOCK_ROWS, sets: bool = False) -> DataFrame:
     """k nearest training rows of every validation row (squared distance, then id): exact.
 
-    ``features`` is an array column. Equal vectors are handled once: of training rows with the same
+    ``features`` is an array column; with ``sets`` it holds the sorted items of a 0/1 vector, so keys and blocks stay as
+    small as the rows are, however many items there are in all. Equal vectors are handled once: of training rows with the same
     vector only the k smallest ids can ever be chosen, and validation rows with the same vector share
     their answer. Both sides are cut into blocks of bounded size; every pair of blocks is one task
     that hands on only its k best rows per vector, so neither side is ever held whole.
     """
-    x = F.col(features).cast("array<double>").alias("__x")
+    kind = train.schema[features].dataType.simpleString() if sets else "array<double>"
+    x = F.col(features).cast(kind).alias("__x")
     id_kind = train.schema[subject].dataType.simpleString()
     same = Window.partitionBy("__x").orderBy("__id")
     known = train.select(F.col(subject).alias("__id"), x, F.col(label).cast("int").alias("__label"))
@@ -106,14 +127,17 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
         parts = []
         if len(queries) and len(block):
             block = block.sort_values("__id", kind="stable")
-            b = np.stack(block["__x"].to_numpy())
+            b = None if sets else np.stack(block["__x"].to_numpy())
             ids, labels = block["__id"].to_numpy(), block["__label"].to_numpy()
             vectors = queries["__x"].to_numpy()
             for start in range(0, len(vectors), CHUNK_ROWS):
-                part = np.stack(vectors[start:start + CHUNK_ROWS])
-                distance = np.zeros((len(part), len(b)))
-                for j in range(b.shape[1]):
-                    distance += (part[:, j, None] - b[None, :, j]) ** 2
+                if sets:
+                    distance = _set_distances(list(vectors[start:start + CHUNK_ROWS]), block["__x"])
+                else:
+                    part = np.stack(vectors[start:start + CHUNK_ROWS])
+                    distance = np.zeros((len(part), len(b)))
+                    for j in range(b.shape[1]):
+                        distance += (part[:, j, None] - b[None, :, j]) ** 2
                 order = np.argsort(distance, axis=1, kind="stable")[:, :k]
                 parts.append(pd.DataFrame({
                     "__x": np.repeat(vectors[start:start + CHUNK_ROWS], order.shape[1]),
@@ -123,7 +147,7 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
 
     found = left.groupBy("__v", "__t").cogroup(right.groupBy("__v", "__t")).applyInPandas(
-        best, f"__x array<double>, __id {id_kind}, __label int, __distance double")
+        best, f"__x {kind}, __id {id_kind}, __label int, __distance double")
     # at most k rows per vector and block of training rows
     w = Window.partitionBy("__x").orderBy("__distance", "__id")
     nearest = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -162,16 +186,18 @@ def compare_models(df: DataFrame, subject: str, features: Sequence[str], label:
 
 def compare_on_vectors(rows: DataFrame, subject: str, label: str, size: int, validation_share: float = 0.25,
                        seed: int = 28, trees: int = 100, stages: int = 100) -> DataFrame:
-    """The same for rows that already carry a ``features`` vector of the given size."""
-    rows = materialise(rows.select(subject, label, "features"))  # every learner reads it several times
+    """The same for rows that already carry a ``features`` vector of the given size, and perhaps the ``items`` of a 0/1 vector
+    (see ``item_features``), which the neighbours then go by."""
+    sets = "items" in rows.columns
+    rows = materialise(rows.select(subject, label, "features", *["items"] * sets))  # every learner reads it several times
     train, validation = split(rows, [subject], validation_share, seed)
     keep = [subject, label]
     out = _predict(logistic(train, label), validation, keep, "Logistic_Regression")
     out = out.unionByName(_predict(forest(train, label, trees, seed), validation, keep, "Random_Forest"))
     out = out.unionByName(_predict(boosting(train, label, stages), validation, keep, "Gradient_Boosting"))
-    arrays = lambda d: d.withColumn("__a", vector_to_array("features"))
-    block = max(CHUNK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(size, 1)))
-    votes = knn_vote(nearest_neighbours(arrays(train), arrays(validation), subject, "__a", label, block_rows=block), subject)
+    arrays = lambda d: d.withColumn("__a", F.col("items") if sets else vector_to_array("features"))
+    block = BLOCK_ROWS if sets else max(CHUNK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(size, 1)))
+    votes = knn_vote(nearest_neighbours(arrays(train), arrays(validation), subject, "__a", label, block_rows=block, sets=sets), subject)
     near = validation.select(*keep).join(votes, subject).select(
         *keep, F.lit("K_Neighbors").alias("model"), "prediction", "score")
     return out.unionByName(near)

@@ -308,3 +308,15 @@ def test_intermediates_can_be_deleted(spark):
     t = session.materialise(spark.range(5).toDF("id"))
     assert t.count() == 5 and len(set(os.listdir(base)) - before) == 1
     assert session.clean_up(spark) == 1 and set(os.listdir(base)) == before
+
+
+def test_neighbours_by_sets_equal_dense_vectors(spark):
+    r = random.Random(4)
+    items = [f"i{k}" for k in range(9)]
+    data = [(f"s{k:03d}", sorted(r.sample(items, r.randrange(5))), r.randrange(2)) for k in range(90)]
+    df = spark.createDataFrame([(s, x, [float(i in x) for i in items], y) for s, x, y in data], "id string, items array<string>, v array<double>, y int")
+    train, asked = df.filter("id < 's060'"), df.filter("id >= 's060'")
+    for rows_per_block in (1000, 7):
+        a = models.nearest_neighbours(train, asked, "id", "v", "y", 3, rows_per_block)
+        b = models.nearest_neighbours(train, asked, "id", "items", "y", 3, rows_per_block, sets=True)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
