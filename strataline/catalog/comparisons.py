@@ -341,11 +341,12 @@ def user_cohort(t):
     mark = dict(odd=F.pmod("user_id", F.lit(2)).cast("int"), third=(F.pmod("user_id", F.lit(3)) == 0).cast("int"), outcome=(F.pmod("user_id", F.lit(5)) < 2).cast("int"))
     users = t.events.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("seen"), F.max((F.col("value") > 90).cast("int")).alias("high")).withColumns(
         {**mark, "arm": F.concat(F.lit("arm "), F.pmod("user_id", F.lit(4)).cast("string"))})
-    visits = visit_rows(t).withColumns(mark).withColumnsRenamed({"event_type": "measurement", "value": "measurement_value"})
+    visits = visit_rows(t).withColumns(mark).withColumnRenamed("event_type", "measurement").withColumn(
+        "measurement_value", F.col("value") / 7)  # a unit in which means of few values do not end on the digit that is rounded
     return users, visits
 
 
-@query("T11 W5", f"""WITH {USERS}, num AS (SELECT 'seen' AS variable, odd, seen AS v FROM users UNION ALL SELECT event_type, odd, value FROM seen WHERE rank = 1),
+@query("T11 W5", f"""WITH {USERS}, num AS (SELECT 'seen' AS variable, odd, seen AS v FROM users UNION ALL SELECT event_type, odd, value / 7 FROM seen WHERE rank = 1),
 tt AS (WITH d AS (SELECT variable, CASE odd WHEN 1 THEN 'x' ELSE 'y' END AS g, v FROM num), {T_FORMULA.format(by='variable')} {T_ROWS.format(by='variable')}),
 cc AS (WITH d AS (SELECT 'high' AS variable, odd AS r, high::VARCHAR AS c FROM users UNION ALL SELECT 'arm', odd, arm FROM users), {CHI.format(by='variable')} {CHI_ROWS.format(by='variable')})
 SELECT * FROM tt UNION ALL SELECT * FROM cc""", **BATTERY_DIGITS)
@@ -357,7 +358,7 @@ def condition_battery_visits(t):
 
 @query("T12 W3 W5", f"""WITH {USERS}, st AS (SELECT *, 'All' AS stratum FROM users UNION ALL SELECT *, arm FROM users),
 rows AS (SELECT 'odd' AS condition, odd AS s, outcome, stratum, 'seen' AS variable, seen AS v FROM st UNION ALL SELECT 'third', third, outcome, stratum, 'seen', seen FROM st
- UNION ALL SELECT 'odd', odd, outcome, 'All', event_type, value FROM seen WHERE rank = 1 UNION ALL SELECT 'third', third, outcome, 'All', event_type, value FROM seen WHERE rank = 1
+ UNION ALL SELECT 'odd', odd, outcome, 'All', event_type, value / 7 FROM seen WHERE rank = 1 UNION ALL SELECT 'third', third, outcome, 'All', event_type, value / 7 FROM seen WHERE rank = 1
  UNION ALL SELECT 'odd', odd, outcome, 'All', 'change in ' || event_type, change FROM seen UNION ALL SELECT 'third', third, outcome, 'All', 'change in ' || event_type, change FROM seen),
 cond AS (SELECT 'odd' AS condition, odd AS s, * FROM st UNION ALL SELECT 'third', third, * FROM st),
 tt AS (WITH d AS (SELECT condition, outcome, stratum, variable, CASE s WHEN 1 THEN 'x' ELSE 'y' END AS g, v FROM rows WHERE v IS NOT NULL),
