@@ -73,7 +73,7 @@ def exact_intervals(*names):
     rows = " UNION ALL ".join(f"SELECT lang, '{x}' AS name, ({SHARES[x][0]})::BIGINT AS i, ({SHARES[x][1]})::BIGINT AS n FROM k" for x in names)
     ends = ", ".join(f"round(max(v) FILTER (name = '{x}' AND side = '{s}'), 6) AS {x}_{s}" for x in names for s in ("low", "high"))
     return f"""WITH RECURSIVE {COUNTS}, q AS ({rows}),
-bis AS (SELECT lang, name, i, n, side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM q, (SELECT unnest(['low', 'high']) AS side)
+bis AS (SELECT lang, name, i, n, side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM (SELECT * FROM q WHERE n > 0), (SELECT unnest(['low', 'high']) AS side)
  UNION ALL SELECT lang, name, i, n, side, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, step + 1
  FROM (SELECT *, CASE side WHEN 'low' THEN {TAIL.format(a='i', b='n')} < 0.025 ELSE {TAIL.format(a='0', b='i')} > 0.025 END AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE step < 46))),
 e AS (SELECT lang, name, side, CASE WHEN side = 'low' AND i = 0 THEN 0 WHEN side = 'high' AND i = n THEN 1 ELSE (lo + hi) / 2 END AS v FROM bis WHERE step = 46)
