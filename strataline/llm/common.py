@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,6 +43,17 @@ def share(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """A compiled value that later tasks of the same Python worker use again (Spark reuses workers). The last one only; what it
+    remembers must be bounded. A lost worker just makes it anew."""
+    home = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker"))
+    if getattr(home, "key", None) != key:
+        home.key, home.value = None, None
+        home.value = make()
+        home.key = key
+    return home.value
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of the named columns, in order, one batch in memory at a time."""
     for b in batches:

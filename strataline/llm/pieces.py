@@ -8,8 +8,8 @@ Three machines are compiled from a model file and composed with each input, lazi
   pieces is what the merges give exactly if every two neighbours are what the merges give for these two alone; the acceptor lets
   only such pairs pass. Its arcs are compiled when they are first needed.
 
-The output is the shortest path in the tropical semiring (costs add along a path, the least cost wins). The cost of a piece is its rank;
-the neighbour acceptor leaves one path for BPE, so the result equals the merges whatever the costs. No piece spans the start of a word
+The output is the shortest path in the tropical semiring (costs add along a path, the least cost wins). The cost of a piece is its rank,
+that of an arc the acceptor refuses is infinite. For BPE one path of finite cost is left, so the result equals the merges. No piece spans the start of a word
 (checked when the model is compiled), so inputs are composed word by word, and words seen before are remembered within a bound.
 
 Decoding is the inverse: pieces to bytes, the mark to a blank, the dummy prefix taken off, invalid UTF-8 replaced.
@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, prepare, rows_of, ship, table
+from .common import BATCH_ROWS, kept_in_worker, prepare, rows_of, ship, table
 
 #: Model file; its bytes are read on the driver and broadcast (refused above MOST_BYTES).
 MODEL = os.environ.get("STRATALINE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -39,6 +40,8 @@ MOST_BYTES = 64 << 20
 #: Words and neighbour pairs that a task remembers at most.
 REMEMBERED = 400_000
 MARK = "▁"
+#: Costs of an arc that does not exist, and of one that falls back to bytes.
+NEVER, BYTES = float("inf"), 1e9
 # fixed values of the model file format
 BPE, NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 1, 2, 3, 4, 5, 6
 
@@ -110,7 +113,8 @@ class Transducer:
                 self.trie.setdefault(p[:k], False)
             self.trie[p] = True
         self.word = self._words()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.arcs = 0
         self.known: dict[str, bytes] = {}
 
     def _words(self) -> re.Pattern:
@@ -134,52 +138,65 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What merging by rank makes of a short text: the rule that the neighbour acceptor is compiled from."""
-        parts, cost = list(text), self.model.cost
+        parts, rank = list(text), self.model.cost.get
         while True:
-            best = min(((cost[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in cost), default=None)
-            if best is None:
+            least, at = NEVER, -1
+            for k in range(len(parts) - 1):
+                r = rank(parts[k] + parts[k + 1], NEVER)
+                if r < least:
+                    least, at = r, k
+            if at < 0:
                 return parts
-            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _arc(self, pair: tuple[str, str]) -> bool:
-        if len(self.pairs) >= REMEMBERED:
+    def _arc(self, last: str, piece: str) -> bool:
+        """Compile one arc of the neighbour acceptor."""
+        if self.arcs >= REMEMBERED:
             self.pairs.clear()
-        ok = self.pairs[pair] = self.merged(pair[0] + pair[1]) == [x for x in pair if x]
+            self.arcs = 0
+        self.arcs += 1
+        ok = self.merged(last + piece) == ([last, piece] if last else [piece])
+        self.pairs.setdefault(last, {})[piece] = ok
         return ok
 
     def shortest(self, word: str) -> list[str]:
-        """Pieces on the cheapest path through the composition with one word."""
-        n, trie, pairs, cost = len(word), self.trie, self.pairs, self.model.cost
-        # best[i]: pieces that end at i on allowed paths, with cost and the state they came from
-        best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, -1, "")
+        """Pieces on the cheapest path through the composition with one word.
+
+        The neighbour acceptor leaves one path to every position (the pieces of a beginning of the word are themselves what the
+        merges make of it), so a position that has been reached keeps its state and the costs of other arcs to it are infinite.
+        """
+        n, trie, pairs, rank = len(word), self.trie, self.pairs, self.model.cost.get
+        cost = [NEVER] * (n + 1)  # of the cheapest path to here, the piece that ends it, and where that starts
+        last, start = [""] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
         for i in range(n):
-            here = best[i]
-            if not here:
+            if cost[i] == NEVER:
                 continue
-            for j in range(i + 1, n + 1):
+            before = last[i]
+            allowed = pairs.get(before)
+            if allowed is None:
+                allowed = pairs[before] = {}
+            j = i + 1
+            while j <= n:
                 piece = word[i:j]
                 whole = trie.get(piece)
                 if whole is None and j > i + 1:
                     break
-                if whole or j == i + 1:
-                    add = cost.get(piece, 1e9)  # a character that is no piece falls back to bytes
-                    for last, (c, _, _) in here.items():
-                        pair = (last, piece)
-                        ok = pairs.get(pair)
-                        if ok is None:
-                            ok = self._arc(pair)
-                        if ok:
-                            old = best[j].get(piece)
-                            if old is None or c + add < old[0]:
-                                best[j][piece] = (c + add, i, last)
+                # a single character that is no piece is an arc too: it falls back to bytes
+                if (whole or j == i + 1) and cost[j] == NEVER:
+                    ok = allowed.get(piece)
+                    if ok is None:
+                        ok = self._arc(before, piece)
+                        allowed = pairs.setdefault(before, {})
+                    if ok:
+                        cost[j], last[j], start[j] = cost[i] + rank(piece, BYTES), piece, i
                 if whole is None:
                     break
-        piece, i = min(best[n], key=lambda p: best[n][p][0]), n
-        path = []
+                j += 1
+        path, i = [], n
         while i:
-            path.append(piece)
-            _, i, piece = best[i][piece]
+            path.append(last[i])
+            i = start[i]
         return path[::-1]
 
     def ids_of(self, word: str) -> bytes:
@@ -240,10 +257,11 @@ ship(__name__)
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, and the text decoded from the ids, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+    model = model_bytes(path)
+    shared, digest = docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(Model(shared.value))
+        t = kept_in_worker(("pieces", digest), lambda: Transducer(Model(shared.value)))
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
         for b in batches:
             for k in range(0, b.num_rows, BATCH_ROWS):
