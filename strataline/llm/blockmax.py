@@ -98,10 +98,12 @@ class BlockMax:
         posting = ranges(self.start[term], size)
         if not len(posting):
             return []
-        block, bound = sum_by(self.own[posting], np.repeat(weight, size) * self.top[posting])
+        bounds = np.bincount(self.own[posting], np.repeat(weight, size) * self.top[posting], self.blocks)
+        block = np.flatnonzero(bounds)
+        bound = bounds[block]
         items, scores = np.zeros(0, np.int64), np.zeros(0)
         left = np.lexsort((block, -bound))
-        step = 4
+        step = 8
         while len(left):
             part, left, step = left[:step], left[step:], step * 2
             want = (term[:, None] * self.blocks + block[part][None, :]).ravel()
@@ -110,7 +112,12 @@ class BlockMax:
             spot, w = spot[hit], np.repeat(weight, len(part))[hit]
             n = self.at[spot + 1] - self.at[spot]
             p = ranges(self.at[spot], n)
-            more, score = sum_by(self.item[p], np.repeat(w, n) * self.weight[p])
+            every = np.bincount(self.item[p], np.repeat(w, n) * self.weight[p], self.items)
+            more = np.flatnonzero(every)
+            score = every[more]
+            if len(more) > k:  # only what reaches the k-th best can stay
+                enough = score >= np.partition(score, len(score) - k)[len(score) - k]
+                more, score = more[enough], score[enough]
             items, scores = np.concatenate([items, more]), np.concatenate([scores, score])
             order = np.lexsort((items, -scores))[:k]
             items, scores = items[order], scores[order]

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
 Terms are words and beginnings of words (4 to 6 letters, so that inflected forms meet). The vocabulary is learned: terms that differ most
-between the labels, by the z-score of their document shares, up to ``MOST_TERMS``. Examples are vectors (1 + log tf) * idf of length 1
+between the labels, by the z-score of their document shares, up to ``MOST_TERMS``. Besides the z-score a term needs an effect (the
+correlation of its presence with the label) that does not depend on the size of the sample. Examples are vectors (1 + log tf) * idf of length 1
 over this vocabulary. Every text finds its ``NEIGHBOURS`` nearest examples exactly; the score is the vote of their labels, weighted by
 the square of the cosine and by how many labelled rows an example stands for, with the share of toxic rows among the examples without
 any term as prior. A text without any term of the vocabulary gets that prior. The nearest examples are returned as evidence.
@@ -11,7 +12,7 @@ Bound on learning: at most ``SAMPLE_ROWS`` labelled rows of each label, chosen b
 Defined results
 * Null and empty texts get the prior. Without labelled rows every score is 0. Several labels of one doc_id: toxic if one of them is.
 * Labels that are null, or of held-out rows, teach nothing. Repeated rows each give a row. Extra columns are ignored.
-* Ties between examples are decided by a hash of their texts. An empty table gives no rows.
+* Ties between examples are decided by their place in the index: label, heaviest term, hash of the text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ SAMPLE_ROWS = 6000
 MOST_TERMS = 4096
 LEAST_DOCS = 3
 LEAST_Z = 4.0
+LEAST_EFFECT = 0.07
 NEIGHBOURS = 15
 #: Weight of the prior among the votes.
-PRIOR_WEIGHT = 0.3
+PRIOR_WEIGHT = 4.0
 CUT = 0.3
 EVIDENCE = 3
 REMEMBERED = 300_000
@@ -164,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     shares = sample.mapInArrow(_shares, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     both = (F.col("toxic") + F.col("clean") + 1) / float(p + n + 2)
     z = F.abs(F.col("toxic") / float(p) - F.col("clean") / float(n)) / F.sqrt(both * (1 - both) * (1 / p + 1 / n))
-    chosen = shares.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    chosen = shares.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("z", z).filter(
+        F.col("z") >= max(LEAST_Z, LEAST_EFFECT * math.sqrt(p + n)))
     found = chosen.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
     vocabulary = [r["term"] for r in found]
     total = p * stands.get(1, 0) + n * stands.get(0, 0)
@@ -182,7 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return batched(rows(), schema)
     tied = sample.select("doc_id", "toxic", F.xxhash64("text").alias("tie"), "text")
     rows = tied.mapInArrow(vectors, "doc_id long, toxic int, tie long, terms array<int>, n array<int>").collect()  # at most 2 * sample_rows
-    rows.sort(key=lambda r: (r["toxic"], r["tie"], r["doc_id"]))
+    # neighbours in the index share their heaviest term, which keeps the maxima of a block close to its members
+    rows.sort(key=lambda r: (r["toxic"], max(r["terms"], key=lambda t: (idf[t], t), default=-1), r["tie"], r["doc_id"]))
     return Neighbours(vocabulary, idf, [(r["doc_id"], r["toxic"], stands[r["toxic"]], dict(zip(r["terms"], r["n"]))) for r in rows])
 
 
