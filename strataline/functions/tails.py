@@ -13,7 +13,20 @@ from pyspark.sql import types as T
 
 from .missing import column
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(f, x):
+    """A scalar function over an array (a plain function, so that it can travel with the tasks)."""
+    x = np.asarray(x, dtype=float)
+    return np.array([f(v) for v in x.ravel().tolist()], dtype=float).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
+
 
 # Rational approximation of the normal quantile (Wichura 1988, algorithm AS 241),
 # lowest power first.
@@ -90,9 +103,6 @@ def _log_ratio(a, b):
     return np.where(small, plain, large)
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-
-
 def _gamma_uniform(a, x):
     """Upper incomplete gamma share for large shapes."""
     d = (x - a) / a
