@@ -5,6 +5,11 @@ pasted into the middle of a line. Units are normalised (case, white space) and h
 documents; the earliest occurrence by (doc_id, place in the text) stays. Runs of consecutive repeated units are removed when they hold
 ``min_words`` words or more; offsets of the original text are kept.
 
+Passages (``passages``): units say nothing about text that is shared inside a unit or that ends in the middle of one. Therefore windows of
+``GRAM`` words at every place are compared as well: where each window of a run of ``PASSAGE`` words or more has occurred earlier, the run
+goes, to the word. Every such run holds a sampled window (the least hash of each ``PASSAGE - GRAM + 1`` windows that follow each other), so
+only the windows around sampled ones that repeat are shuffled.
+
 How it runs: a first pass counts 64-bit keys only; the units whose key occurs more than once then go, with 96 bits and their place but
 without text or offsets, through the exact grouping; they are written once. Offsets are found again where the text is cut. Counts
 combine before the shuffle, and the joins are on keys that adaptive execution can split, so one line on a third of
@@ -22,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +36,15 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import prepare, rows_of, ship, table
 
-#: Runs of repeated units shorter than this many words stay: a passage of 50 words keeps more even if it loses its first and last
-#: sentence to the text around it, and single common lines (they are for line dedup) have fewer.
-MIN_WORDS = 25
+#: Runs of repeated units shorter than this many words stay.
+MIN_WORDS = 10
+#: Repeated passages of this many words are found wherever they begin and end, by windows of GRAM words.
+PASSAGE = 50
+GRAM = 25
+REACH = PASSAGE - GRAM + 1
 LAST = (1 << 63) - 1
+#: Places from here on number the windows of a text, those below its units.
+WINDOW = 1 << 30
 
 _CUT = re.compile(r"[.!?]+\s+|\n\s*")
 
@@ -58,23 +69,64 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def windows(text: str) -> np.ndarray:
+    """Hash of the GRAM words that begin at each word; nothing if the text is shorter than a passage."""
+    words = " ".join(text.lower().split()).encode("utf-8", "surrogatepass").split(b" ")
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh3_64_digest
+    part = {1: np.frombuffer(b"".join([digest(w) for w in words]), np.uint64)}
+    for n in (1, 2, 4, 8):
+        part[2 * n] = part[n][:-n] * np.uint64(pow(_BASE, n, 1 << 64)) + part[n][n:]
+    total = len(words) - GRAM + 1  # 25 = 16 + 8 + 1
+    x = part[16][:total] * np.uint64(pow(_BASE, 9, 1 << 64)) + part[8][16:16 + total] * np.uint64(_BASE) + part[1][24:]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _sliding(x: np.ndarray, better: np.ufunc) -> np.ndarray:
+    """The best of each REACH neighbours."""
+    n = 1
+    out = x
+    while 2 * n <= REACH:
+        out = better(out[:-n], out[n:])
+        n *= 2
+    rest = REACH - n
+    return better(out[:len(out) - rest], out[rest:]) if rest else out
+
+
+def sampled(window: np.ndarray) -> np.ndarray:
+    """Places of the windows that are the least of some REACH windows that follow each other."""
+    if len(window) < REACH:
+        return np.zeros(0, np.int64)
+    none = np.zeros(REACH - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([none, _sliding(window, np.minimum), none]), np.maximum) == window)
+
+
 _KEYS = pa.schema([("a", pa.int64()), ("n", pa.int64())])
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterable[pa.RecordBatch], passages: bool = False) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen: dict[int, int] = {}
         for (text,) in rows_of([b], "text"):
             for _, _, words in units(text or ""):
                 a = _signed(xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
                 seen[a] = seen.get(a, 0) + 1
+            if passages:
+                every = windows(text or "")
+                for a in every[sampled(every)].view(np.int64).tolist():
+                    seen[a] = seen.get(a, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=_KEYS)
 
 
 _UNITS = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32())])
 
 
-def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterable[pa.RecordBatch], passages: bool = False) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in _UNITS]
         for doc, tie, text in rows_of([b], "doc", "tie", "text"):
@@ -82,14 +134,46 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 said = " ".join(words).encode("utf-8", "surrogatepass")
                 for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(said)), xxhash.xxh32_intdigest(said, 7) - (1 << 31), doc, tie, place)):
                     c.append(v)
+            if passages:
+                every = windows(text or "")
+                _add(cols, every, sampled(every), doc, tie)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
 
 
+def _add(cols: list[list], every: np.ndarray, at: np.ndarray, doc: int, tie: int) -> None:
+    for c, v in zip(cols, (every[at].view(np.int64).tolist(), [0] * len(at), [doc] * len(at), [tie] * len(at), (at + WINDOW).tolist())):
+        c.extend(v)
+
+
+def _around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows that can belong to a passage with one of the ``found`` sampled windows."""
+    for b in batches:
+        for doc, tie, text, found in rows_of([b], "doc", "tie", "text", "found"):
+            cols: list[list] = [[] for _ in _UNITS]
+            every = windows(text)
+            near = np.zeros(len(every) + 1, np.int64)
+            at = np.array(found, np.int64) - WINDOW
+            np.add.at(near, np.maximum(at - REACH + 1, 0), 1)
+            np.add.at(near, np.minimum(at + REACH, len(every)), -1)
+            _add(cols, every, np.flatnonzero(np.cumsum(near)[:-1] > 0), doc, tie)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
+
+
+def passage_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Start and end of the runs of PASSAGE words or more whose windows are all at ``places``."""
+    at = np.unique(np.array(places, np.int64))
+    runs = [(int(r[0]), int(r[-1])) for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(r) >= REACH]
+    if not runs:
+        return []
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    return [(words[a][0], words[z + GRAM - 1][1]) for a, z in runs]
+
+
 def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
     """The text without the long enough runs of the units at ``places``, their spans in the original, and the number of units removed."""
     if text is None or not places:
         return text, [], 0
-    spans, removed, run, repeated = [], 0, [], set(places)
+    spans, removed, run, repeated = [], 0, [], {k for k in places if k < WINDOW}
     for k, u in enumerate([*units(text), None]):
         if u is not None and k in repeated:
             run.append(u)
@@ -98,6 +182,19 @@ def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str
                 spans.append((run[0][0], run[-1][1]))
                 removed += len(run)
             run = []
+    longer = passage_spans(text, [k - WINDOW for k in places if k >= WINDOW])
+    if longer:
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted([*spans, *longer]):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(b, joined[-1][1])
+            else:
+                joined.append((a, b))
+        spans, k, removed = joined, 0, 0
+        for a, b, _ in units(text):  # units that lose words
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            removed += k < len(spans) and spans[k][0] < b
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
@@ -105,30 +202,36 @@ def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str
     return "".join([*out, text[at:]]), spans, removed
 
 
+_UNITS_DDL = "a long, b int, doc long, tie long, place int"
+
 ship(__name__)
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """Units that are not the earliest occurrence of their digest: doc, tie, place."""
+def repeated_units(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """Units (and windows, numbered from WINDOW on) that are not the earliest occurrence of their digest: doc, tie, place."""
     # few distinct keys leave each batch; the counts combine again before the shuffle
-    keys = docs.select("text").mapInArrow(_keys, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    keys = docs.select("text").mapInArrow(lambda batches: _keys(batches, passages), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     again = keys.filter("n > 1").select(F.xxhash64("a").alias("key"))
-    every = docs.select("doc", "tie", "text").mapInArrow(_units, "a long, b int, doc long, tie long, place int")
+    every = docs.select("doc", "tie", "text").mapInArrow(lambda batches: _units(batches, passages), _UNITS_DDL)
     many = materialise(every.withColumn("key", F.xxhash64("a")).join(again, "key", "left_semi").drop("key"))  # read twice below
+    if passages:
+        found = many.filter(F.col("place") >= WINDOW).groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_set("place").alias("found"))
+        texts = docs.join(found, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t"))).select("doc", "tie", "text", "found")
+        many = many.filter(F.col("place") < WINDOW).unionByName(materialise(texts.mapInArrow(_around, _UNITS_DDL)))
     rank = F.struct("doc", "tie", "place")
     first = many.groupBy("a", "b").agg(F.min(rank).alias("first")).select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
     later = many.withColumn("key", F.xxhash64("a", "b")).join(first, "key").filter((F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (rank != F.col("first")))
     return later.select("doc", "tie", "place")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns and rows of ``docs`` with repeated passages cut out of ``text``, and ``__spans`` (array of start, stop in the
-    original text) and ``__n_removed``."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
+    """All columns and rows of ``docs`` with repeated runs of units (and ``passages`` to the word) cut out of ``text``, and ``__spans``
+    (array of start, stop in the original text) and ``__n_removed`` (units that lose words)."""
     doc = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST))
     # only rows that share a doc_id need the hash of their text to tell them apart
     shared = not docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     tie = F.xxhash64(F.col(f"`{text}`")) if shared else F.lit(0).cast("bigint")
-    later = repeated_units(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(f"`{text}`").alias("text")))
+    later = repeated_units(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(f"`{text}`").alias("text")), passages)
     # repeated rows give the same units twice: a set
     by_doc = later.groupBy("doc", "tie").agg(F.collect_set("place").alias("__found"))
     by_doc = by_doc.withColumnsRenamed({"doc": "__doc", "tie": "__tie"})
@@ -151,7 +254,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, folder, "documents", "doc_id", "text")
-    cutout = remove_repeats(docs)
+    cutout = remove_repeats(docs, passages=True)
     spans = F.array_join(F.transform("__spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
     return cutout.select("doc_id", F.col("__n_removed").alias("n_removed"),
                          F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"]).alias("removed_chars"),

@@ -59,3 +59,31 @@ def test_query(spark, sf_dir):
     for r in R.op6_substring_dedup(spark, sf_dir).collect():
         assert (r["text"], r["spans"]) == (want[r["doc_id"]][0], ",".join(f"{a}:{b}" for a, b in want[r["doc_id"]][1]))
         assert r["removed_chars"] == len(texts[r["doc_id"]]) - len(r["text"])
+
+
+def test_passages_pasted_into_lines_and_repeated_lines(spark):
+    # 51 words in one, two and three sentences, without a sentence end where they are pasted
+    word = lambda k: [f"w{k}x{i}" for i in range(51)]
+    said = []
+    for k in range(3):
+        w = word(k)
+        for cut in ([], [25], [16, 33])[k]:
+            w[cut] += "."
+        said.append(" ".join(w))
+    line = "this line of just twelve words is found again in every text."
+    rows = [(10 * k + n, f"{prose(50 + 10 * k + n, 20)} before{n} {p} after{n} {prose(80 + 10 * k + n, 20)}\n{line}", "en", "s") for k, p in enumerate(said) for n in range(4)]
+    for r in R.remove_repeats(documents(spark, rows, True), passages=True).collect():
+        k, n = divmod(r["doc_id"], 10)
+        whole = rows[4 * k + n][1]
+        want = whole if n == 0 else whole.replace(said[k], "")
+        assert r["text"] == (want if r["doc_id"] == 0 else want.replace(line, ""))
+        assert "".join(whole[a:b] for (a, b) in zip([0, *[s["stop"] for s in r["__spans"]]], [*[s["start"] for s in r["__spans"]], len(whole)])) == r["text"]
+
+
+def test_every_passage_holds_a_sampled_window():
+    text = prose(1, 400)
+    every = R.windows(text)
+    at = set(R.sampled(every).tolist())
+    assert len(every) == 376 and len(at) < 100 and all(at & set(range(p, p + R.REACH)) for p in range(len(every) - R.REACH + 1))
+    shared = R.windows("other words " + text)
+    assert (shared[2:] == every).all() and not len(R.windows(prose(1, 49)))
