@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages 1 to 4 return the columns of ``documents``. Between stages the
 rows are written as Parquet and read again.
 
-Defined results for hard rows: null and letterless texts go in stage 1; later stages keep what their operators state. ``n_chars`` follows
+Defined results for hard rows: null and letterless texts go in stage 1, and only these if there is no label to learn a language from; later stages keep what their operators state. ``n_chars`` follows
 the text. Rows that repeat a doc_id: one of them stays in stage 3. An empty table gives an empty result.
 """
 

@@ -164,13 +164,14 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language: rejected is what predicts as ``und``."""
+    """Rows of ``docs``, all columns, whose text has a language: rejected are null texts and texts without a letter, also when nothing was
+    learned."""
     shared = docs.sparkSession.sparkContext.broadcast(logp)
     at = docs.columns.index("text")
 
     def work(batches):
         for b in batches:
-            keep = pa.array([bool(t) and bool(mixture(shared.value, t)) for t in b.column(at).to_pylist()], pa.bool_())
+            keep = pa.array([bool(t) and bool(mixture(shared.value, t) if langs else _WORD.search(t.lower())) for t in b.column(at).to_pylist()], pa.bool_())
             yield b.filter(keep)
     return docs.mapInArrow(work, docs.schema)
 

@@ -56,3 +56,9 @@ def test_run_and_empty(spark, sf_dir):
     for _, f in C.STAGES:
         docs = f(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_language_without_labels(spark, sf_dir):
+    docs = documents(spark, [(i, t, None, s) for i, t, _, s in HARD])
+    got = sorted((r["doc_id"] or 0 for r in C.known_language(spark, docs, sf_dir).collect()))
+    assert got == [0, 5, 5, 6, 7, 8]
