@@ -29,9 +29,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def site_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than the boilerplate share of a source's documents are taken out of the texts."""
+    """Lines in more than the boilerplate share of a source's different texts are taken out of the texts."""
     prepare(spark)
-    out = site_lines.drop_boilerplate(documents_like(docs, COLUMNS), "source")
+    out = site_lines.drop_boilerplate(documents_like(docs, COLUMNS), "source", distinct_texts=True)
     return documents_like(out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars"))), COLUMNS)
 
 

@@ -5,7 +5,8 @@ the pages of that site. Lines travel as 128-bit hashes, never as text.
 
 Defined results
 * A line counts once per page. Lines are compared without leading and trailing spaces; blank lines are never dropped.
-* A row is a page: repeated rows count as several pages and get the same result. A null site is a site of its own.
+* A row is a page: repeated rows count as several pages and get the same result. With ``distinct_texts`` equal texts of a site count as
+  one page, so that copies of a text do not make its lines boilerplate. A null site is a site of its own.
 * Null text stays null and has no lines; empty text has one blank line. A page may end up empty; it is kept.
 * Extra columns pass through unchanged.
 * An empty table gives an empty table.
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import prepare, row_key, table
 
 #: A line on more than this share of a site's pages is boilerplate.
@@ -42,26 +44,43 @@ def site_totals(pages: DataFrame, site: str = "site") -> DataFrame:
     return pages.groupBy(F.col(site).alias("site")).agg(F.count(F.lit(1)).alias("site_pages"))
 
 
-def boilerplate(keyed: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """Site, line hash, pages with it and pages of the site, for the lines to drop. ``keyed``: site, text."""
+def distinct_totals(keyed: DataFrame) -> DataFrame:
+    """Site and its number of different texts. ``keyed``: site, text."""
+    once = keyed.select("site", row_key(F.col("site"), F.col("text")).alias("row")).groupBy("site", "row").agg(F.lit(1).alias("one"))
+    return once.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
+
+
+def boilerplate(keyed: DataFrame, ratio: float, min_pages: int, distinct_texts: bool = False) -> DataFrame:
+    """Site, line hash, pages with it and pages of the site, for the lines to drop. ``keyed``: site, text. With
+    ``distinct_texts`` the pages of the site are its different texts, but those with the line all its rows: lines that may be dropped."""
     seen = keyed.select("site", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _line_hash))).alias("line"))
     counts = seen.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    totals = site_totals(keyed).withColumnRenamed("site", "total_site")
+    totals = (distinct_totals if distinct_texts else site_totals)(keyed).withColumnRenamed("site", "total_site")
     # frequent lines are few per site (lines of a page / ratio at most), so both sides of this join are small
     return counts.join(totals, F.col("site").eqNullSafe(F.col("total_site"))).filter(
         F.col("pages") > ratio * F.col("site_pages")).select("site", "line", "pages", "site_pages")
 
 
-def drop_boilerplate(pages: DataFrame, site: str = "site", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str = "site", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                     distinct_texts: bool = False) -> DataFrame:
     """All columns and rows of ``pages`` with the boilerplate lines taken out of ``text``, and ``__n_lines``, ``__n_dropped``."""
     key = row_key(F.col(f"`{site}`"), F.col(f"`{text}`"))
     keyed = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").alias("text"))
-    drop = boilerplate(keyed, ratio, min_pages).select(F.xxhash64("site", "line.a", "line.b").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"))
+    drop = boilerplate(keyed, ratio, min_pages, distinct_texts).select(
+        F.xxhash64("site", "line.a", "line.b").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"), "site_pages")
     lines = keyed.select(row_key(F.col("site"), F.col("text")).alias("row"), "site", F.explode(F.array_distinct(
         F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _line_hash))).alias("line"))
     lines = lines.withColumn("line_key", F.xxhash64("site", "line.a", "line.b"))
     # both sides are dealt by a computed key, so that a line on a third of all pages can be split over tasks
-    hits = lines.join(drop, (F.col("line_key") == F.col("drop_key")) & F.col("site").eqNullSafe(F.col("drop_site")) & (F.col("line") == F.col("drop_line")), "left_semi")
+    same = (F.col("line_key") == F.col("drop_key")) & F.col("site").eqNullSafe(F.col("drop_site")) & (F.col("line") == F.col("drop_line"))
+    if distinct_texts:
+        # the few lines that may be dropped are counted again, once for each different text
+        may = materialise(lines.join(drop, same).groupBy("row", "line_key", "site", "line").agg(F.max("site_pages").alias("site_pages")))
+        pages_with = may.groupBy("line_key", "site", "line").agg(F.count(F.lit(1)).alias("pages"), F.max("site_pages").alias("site_pages"))
+        drop = pages_with.filter((F.col("pages") >= min_pages) & (F.col("pages") > ratio * F.col("site_pages"))).select(
+            F.col("line_key").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"))
+        lines = may
+    hits = lines.join(drop, same, "left_semi")
     by_row = hits.groupBy("row").agg(F.collect_set("line").alias("__dropped")).withColumnRenamed("row", "__hit")
     out = pages.withColumn("__row", key).join(by_row, F.col("__row") == F.col("__hit"), "left")
     kept = F.filter(_lines(F.col(f"`{text}`")), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__dropped"), _line_hash(x)))

@@ -62,3 +62,12 @@ def test_language_without_labels(spark, sf_dir):
     docs = documents(spark, [(i, t, None, s) for i, t, _, s in HARD])
     got = sorted((r["doc_id"] or 0 for r in C.known_language(spark, docs, sf_dir).collect()))
     assert got == [0, 5, 5, 6, 7, 8]
+
+
+def test_copies_do_not_make_boilerplate(spark, sf_dir):
+    copied = "\n".join(f"line {k} of the copied text" for k in range(6))
+    rows = [(k, copied if k % 3 == 0 else f"footer\nown text {k}\nand its second line {k}", "en", "s") for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in C.site_boilerplate(spark, documents(spark, rows), sf_dir).collect()}
+    assert got == {k: copied if k % 3 == 0 else f"own text {k}\nand its second line {k}" for k in range(60)}
+    one = C.near_duplicates(spark, documents(spark, [(k, t, "en", "s") for k, t in got.items() if t == copied]), sf_dir).collect()
+    assert [(r["doc_id"], r["text"]) for r in one] == [(0, copied)]
