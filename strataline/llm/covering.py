@@ -6,6 +6,8 @@ Two fingerprints, made of 32-bit quarters or halves:
 * words: 128 bits over the distinct words, weighted by the root of their counts; they link at 7 or fewer differing bits. Changing one
   word moves fewer of them, so it finds more of the copies with several edits (``keep_one`` uses it after the first)
 
+``keep_one`` takes links as candidates only: a text goes if its five-word similarity to a text that stays is 0.8 or more (see ``near_leaders``).
+
 Anchors: of two fingerprints that differ in 3 bits or fewer of 64 (7 of 128), one 32-bit part differs in 1 bit or none. On 31 bits of
 each part the anchors are the words of the perfect Hamming code (covering radius 1): every part lies within 1 of its home anchor. A
 fingerprint is replicated to every anchor within covering radius plus threshold of its part (1 + 1), that is 16 anchors or 1; a partner
@@ -30,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -40,6 +42,10 @@ from .components import components, follow
 #: A fingerprint of n 64-bit numbers links at 4 n - 1 differing bits: then one of its 2 n parts differs in at most 1.
 BITS = {1: 3, 2: 7}
 WORDS = 3
+#: Least five-word similarity (Jaccard) of near copies.
+SIMILAR = 0.8
+SHINGLE = 5
+LAST = (1 << 63) - 1
 #: Fingerprints of one anchor that one task compares; larger anchors are dealt out by pairs of parts.
 LARGEST = 8192
 #: Rows that a task compares at a time (whole anchors).
@@ -125,7 +131,8 @@ def anchors(fp: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_BOTH = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("node", pa.int64())])
+_BOTH = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("node", pa.int64()), ("said", pa.int64())])
+_SETS = pa.schema([("said", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -141,7 +148,26 @@ def _both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t) for t in text], np.uint64)
         words = np.array([word_fingerprint(t) for t in text], np.uint64).reshape(-1, 2)
         w = [words[:, 0].copy(), words[:, 1].copy()]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x.view(np.int64)) for x in (fp, *w, node_of(w))]], schema=_BOTH)
+        said = np.array([said_as(t) for t in text], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x.view(np.int64)) for x in (fp, *w, node_of(w), said)]], schema=_BOTH)
+
+
+def said_as(text: str | None) -> int:
+    """Name of a text by its words (lower case, between white space)."""
+    return xxhash.xxh3_64_intdigest(" ".join((text or "").lower().split()).encode("utf-8", "surrogatepass"))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the different five-word shingles (all words if there are fewer)."""
+    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
+    said = {b" ".join(words[k:k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+    return np.array(sorted(xxhash.xxh3_64_intdigest(x) for x in said), np.uint64).view(np.int64)
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for (text,) in rows_of([b], "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([signed(said_as(text))], pa.int64()), pa.array([shingles(text)], _SETS.field("shingles").type)], schema=_SETS)
 
 
 def _unsigned(b: pa.RecordBatch, first: int) -> list[np.ndarray]:
@@ -299,17 +325,66 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return with_components(fingerprint_table(docs), ["fp"], "fp")
 
 
+def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """said and the set of five-word shingle hashes for the texts of ``classes`` (least, said), written."""
+    ids = classes.select(F.col("least").alias("__least")).distinct()
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    texts = docs.select(own.alias("doc"), "text").join(ids, F.col("doc") == F.col("__least"), "left_semi").select("text")
+    return materialise(texts.mapInArrow(_sets, "said long, shingles array<long>").dropDuplicates(["said"]))
+
+
+def near_leaders(docs: DataFrame, left: DataFrame, parts: list[str], node: str) -> DataFrame:
+    """``said`` of the classes that are near copies of a class that stays. Links are candidates; a class goes only if its five-word
+    similarity to a smaller class that stays, linked with it, is ``SIMILAR`` or more.
+
+    In every round the first classes of each component lead, twice as many as the round before. A leader that is like no smaller leader
+    stays for good, and what is like it goes; the rest meets again in the next round."""
+    gone, sets, n = None, None, 1
+    bits = BITS[len(parts)]
+    while True:
+        found = materialise(with_components(left.withColumn("doc_id", F.col("least")), parts, node).drop("doc_id"))
+        many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component_id").alias("__c"))
+        found = materialise(found.join(many, F.col("component_id") == F.col("__c"), "left_semi"))
+        if found.isEmpty():
+            return gone
+        if sets is None:
+            sets = shingle_sets(docs, found)
+        order = Window.partitionBy("component_id").orderBy("least", "said")
+        leaders = materialise(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n))
+        lead = leaders.select(F.col("component_id").alias("c"), F.col("least").alias("l_least"), F.col("said").alias("l_said"), *[F.col(x).alias(f"l_{x}") for x in parts])
+        linked = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"l_{x}"))) for x in parts), F.lit(0)) <= bits
+        smaller = F.struct("l_least", "l_said") < F.struct("least", "said")
+        pairs = found.join(lead, (F.col("component_id") == F.col("c")) & smaller & linked).select("said", "l_said")
+        a = sets.select(F.col("said").alias("a_said"), F.col("shingles").alias("a"))
+        b = sets.select(F.col("said").alias("b_said"), F.col("shingles").alias("b"))
+        met = pairs.join(a, F.col("said") == F.col("a_said")).join(b, F.col("l_said") == F.col("b_said"))
+        both = F.size(F.array_intersect("a", "b"))
+        alike = materialise(met.filter(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("said", "l_said"))
+        stays = materialise(leaders.select("said").join(alike.select("said"), "said", "left_anti"))
+        out = materialise(alike.join(stays.select(F.col("said").alias("l_said")), "l_said", "left_semi").select("said").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = materialise(found.drop("component_id").join(stays.unionByName(out), "said", "left_anti"))
+        n *= 2
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component, all columns: components by shingles first, then components of what is left
-    by words. Rows that repeat a doc_id: one of them."""
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rows = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_both, "doc_id long, fp long, w0 long, w1 long, node long"))
-    left = materialise(with_components(rows, ["fp"], "fp").filter(own).drop("component_id"))
-    kept = with_components(left, ["w0", "w1"], "node").filter(own).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialise(kept.withColumnRenamed("doc_id", "__kept"))
+    """Of near copies the row with the smallest doc_id, all columns: links by shingles first, then by words of what is left, each checked
+    on the texts. Rows that repeat a doc_id: one of them."""
+    rows = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        _both, "doc_id long, fp long, w0 long, w1 long, node long, said long"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("least"), "fp", "w0", "w1", "node"))
+    left = materialise(rows.groupBy("said").agg(first.alias("x")).select("said", "x.*"))
+    for parts, node in ((["fp"], "fp"), (["w0", "w1"], "node")):
+        gone = near_leaders(docs, left, parts, node)
+        if gone is not None:
+            left = materialise(left.join(gone, "said", "left_anti"))
+    kept = left.groupBy(F.when(F.col("least") < LAST, F.col("least")).alias("__kept")).agg(F.count(F.lit(1)).alias("__classes"))
+    kept = materialise(kept)
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     # the shuffle over whole rows is only paid where doc_ids do repeat
-    return out if kept.filter("__n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = repeated.join(kept, repeated["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 def op9_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:

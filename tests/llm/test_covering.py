@@ -178,3 +178,15 @@ def test_query(spark, sf_dir):
     fps = [brute_fp(t) for _, t in rows]
     want = sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute_components([i for i, _ in rows], fps)))
     assert sorted(tuple(r) for r in C.op9_simhash_covering(spark, sf_dir).collect()) == want
+
+
+def test_linked_texts_stay_unless_five_words_agree(spark):
+    # the same words in another order have one word fingerprint; a chain ends where the similarity to the text that stays does
+    words = [f"{w}{k}" for k in range(60) for w in ("ember", "grain", "marsh")]
+    other = random.Random(3).sample(words, len(words))
+    long = prose(77, 400).split()
+    edited = [*long[:200], "edited", *long[201:]]
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join(other), "en", "s"), (3, " ".join(words).upper(), "en", "s"), (4, " ".join(long), "en", "s"),
+            (5, " ".join(edited), "en", "s"), (6, " ".join(other) + "\n", "en", "s")]
+    assert C.word_fingerprint(rows[0][1]) == C.word_fingerprint(rows[1][1]) and C.word_fingerprint(rows[3][1]) != C.word_fingerprint(rows[4][1])
+    assert sorted(r["doc_id"] for r in C.keep_one(documents(spark, rows)).collect()) == [1, 2, 4]
