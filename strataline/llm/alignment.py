@@ -9,9 +9,9 @@ Text is cut at single blanks between two characters that are no white space. Nei
 pieces when a model is loaded; the byte-level splitter begins a word there), so every part is tokenized on its own, ends there are
 common ends, and the alignment of a text is that of its parts one after another. Parts seen before are remembered within a bound.
 
-How it runs: one pass over the texts counts how often two ids are linked; equal pairs combine before the shuffle. A second pass gives
-each text its groups and looks its links up: the ``MOST_PAIRS`` most frequent pairs are sent to the tasks, the links of other pairs go through
-a join (see ``lookup``). Texts are never shuffled. Very long texts are worked off in slices.
+How it runs: one pass over the texts writes the figures of each text and its different linked pairs with their numbers. Corpus counts come from
+these rows; equal pairs combine before the shuffle. The rows then look their pairs up: the ``MOST_PAIRS`` most frequent ones are sent to the
+tasks, the others go through a join (see ``lookup``). Texts are read once and never shuffled; very long ones are worked off in slices.
 
 Defined results
 * Null, empty: no tokens. So are texts whose joined token bytes differ from blank + text (a text with the white-space mark U+2581).
@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import kept_in_worker, prepare, rows_of, share, ship, table
+from .blockmax import ranges
+from .common import batched, kept_in_worker, prepare, rows_of, share, ship, table
 from .lookup import Numbers, frequent
 from .pieces import BYTE, MARK, fields, model_bytes
 
@@ -116,7 +117,7 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
 
 
 class Aligner:
-    """Both tokenizers and the alignments of the parts seen so far, as arrays; ``figures`` of pairs are set for the second pass."""
+    """Both tokenizers and the alignments of the parts seen so far, as arrays."""
 
     def __init__(self, byte_level: bytes, pieces: bytes, remembered: int = REMEMBERED):
         import sentencepiece
@@ -142,15 +143,13 @@ class Aligner:
         # every id as text, followed by each mark that can follow it
         self.marked = np.array([f"{i}{mark}" for mark in (",", "|", ";") for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object)
         self.most = remembered
-        self.figures: tuple | None = None
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.text: list[str] = []
-        self.n = np.zeros((5, 1024), np.int64)  # A tokens, B tokens, links, links whose pair is best, sum of counts
+        self.n = np.zeros((3, 1024), np.int64)  # A tokens, B tokens, groups
         self.bad = np.zeros(1024, bool)
-        self.rare = np.zeros(1024, bool)  # holds a pair without figures here
         self.at, self.pairs = np.zeros(1025, np.int64), np.zeros(4096, np.int64)
 
     def tokens(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
@@ -189,25 +188,17 @@ class Aligner:
         first, need = len(self.text), len(self.text) + len(parts)
         while need > self.n.shape[1]:
             self.n = np.concatenate([self.n, np.zeros_like(self.n)], axis=1)
-            self.bad, self.rare = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bad, self.rare))
+            self.bad = np.concatenate([self.bad, np.zeros_like(self.bad)])
             self.at = np.concatenate([self.at, np.zeros(len(self.at) - 1, np.int64)])
         self.index.update(zip(parts, range(first, need)))
         self.text += ["".join(written[i:j])[:-1] for i, j in zip([0, *ends], ends)]
         self.bad[first:need] = ~good
-        self.n[:3, first:need] = a_size, b_size, links
+        self.n[:, first:need] = a_size, b_size, links
         start = int(self.at[first])
         self.at[first + 1:need + 1] = start + np.cumsum(links)
         while start + len(pairs) > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
         self.pairs[start:start + len(pairs)] = pairs
-        if self.figures and len(pairs):
-            numbers, count, best = self.figures
-            at = numbers.find(pairs)
-            hit = at >= 0
-            self.n[3, first:need] = np.bincount(group_part[hit], best[at[hit]], len(parts))
-            # whole numbers of any size: sums of doubles would round
-            np.add.at(self.n[4], first + group_part[hit], count[at[hit]])
-            self.rare[first + group_part[~hit]] = True
 
     def places(self, units: list[str]) -> list[np.ndarray]:
         """Numbers of the parts of each slice of text."""
@@ -221,17 +212,10 @@ class Aligner:
         get = self.index.__getitem__
         return [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
 
-    def pairs_of(self, places: np.ndarray, only_rare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different linked pairs of these parts, and how often they are linked."""
-        places, times = np.unique(places[self.rare[places]] if only_rare else places, return_counts=True)
         size = self.at[places + 1] - self.at[places]
-        flat = np.repeat(self.at[places] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        pairs, own = np.unique(self.pairs[flat], return_inverse=True)
-        n = np.bincount(own, np.repeat(times, size), len(pairs)).astype(np.int64)
-        if only_rare and len(pairs):
-            out = self.figures[0].find(pairs) < 0
-            pairs, n = pairs[out], n[out]
-        return pairs, n
+        return np.unique(self.pairs[ranges(self.at[places], size)], return_counts=True)
 
 
 def _units(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[tuple[int, tuple, list[str]]]]:
@@ -265,106 +249,111 @@ def aligned(aligner: Aligner, batches: Iterable[pa.RecordBatch], *columns: str)
             yield row, good, (at,) if good else ()
 
 
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups")], ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
+_TEXTS_DDL = "doc_id long, ka long, kb long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs binary, times binary"
 _PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-_ROWS = pa.schema([("doc_id", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("pair", pa.int64()), *[(c, pa.int64()) for c in ("n", "n_a", "n_b", "n_groups", "n_best", "count_sum")], ("groups_sha256", pa.string())])
-_ROWS_DDL = "doc_id long, ka long, kb long, pair long, n long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string"
+_ROWS = pa.schema([*[_TEXTS.field(k) for k in range(7)], ("n_best", pa.int64()), ("count_sum", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
+_ROWS_DDL = _TEXTS_DDL.split(", pairs")[0] + ", n_best long, count_sum long, pair long, n long"
 
 ship(__name__)
 
 
-def _aligner(shared, digest: str, remembered: int, figures=None, name: str = "") -> Aligner:
-    def make():
-        out = Aligner(*shared.value, remembered=remembered)
-        if figures is not None:
-            key, count, best = pickle.loads(figures.value)
-            out.figures = Numbers(key), count, best.astype(np.int64)
-        return out
-    return kept_in_worker(("alignment", digest, remembered, name), make)
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of several lists of (pairs, numbers), and the sums of their numbers."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs, own = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+    return pairs, np.bincount(own, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
 
 
-def link_counts(docs: DataFrame, shared, digest: str, remembered: int = REMEMBERED) -> DataFrame:
-    """pair (A id * 2**32 + B id) and how many links of the corpus hold it, for every pair that is linked."""
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(shared, digest, remembered)
+def align_texts(docs: DataFrame, folder: str = TOKENIZERS, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, a key of the text, token and group figures, and the linked pairs (as 64-bit numbers, A id * 2**32 + B id) with their numbers (32 bits) of every text."""
+    files = model_bytes(f"{folder}/{BYTE_LEVEL}"), model_bytes(f"{folder}/{PIECES}")
+    shared, digest = docs.sparkSession.sparkContext.broadcast(files), hashlib.sha256(files[0] + files[1]).hexdigest()
 
-        def summed(held):
-            pairs, own = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            return pairs, np.bincount(own, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = kept_in_worker(("alignment", digest, remembered), lambda: Aligner(*shared.value, remembered=remembered))
 
-        def batch(pairs, n):
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], schema=_PAIRS)
-        held, size = [], 0
-        for _, _, parts in aligned(aligner, batches, "text"):
+        def row(doc, text, good, parts):
+            if not good:
+                return doc, 0, 0, 0, 0, 0, "", b"", b""
+            said = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+            total, sha, held, mark = np.zeros(3, np.int64), hashlib.sha256(), [], b""
             for at in parts:
+                total += aligner.n[:, at].sum(axis=1)
+                sha.update(mark + ";".join([aligner.text[k] for k in at.tolist()]).encode())
                 held.append(aligner.pairs_of(at))
-                size += len(held[-1][0])
-            if size > 1 << 20:
+                mark = b";"
+            pairs, times = summed(held)
+            return (doc, *(int.from_bytes(said[k:k + 8], "big", signed=True) for k in (0, 8)), *total.tolist(), sha.hexdigest(), pairs.tobytes(), times.astype(np.int32).tobytes())
+        return batched((row(*r, good, parts) for r, good, parts in aligned(aligner, batches, "doc_id", "text")), _TEXTS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, _TEXTS_DDL)
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and numbers of a batch of texts, and the places of the texts they come from."""
+    pairs, times = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("pairs", "times"))
+    own = np.repeat(np.arange(b.num_rows), np.array([len(t) // 4 for t in times], np.int64))
+    return np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(times), np.int32).astype(np.int64), own
+
+
+def link_counts(texts: DataFrame) -> DataFrame:
+    """pair and how many links of the corpus hold it, for every pair that is linked."""
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(_flat(b)[:2])
+            size += len(held[-1][0])
+            if size > 1 << 21:
                 held = [summed(held)]
                 size = len(held[0][0])
-                if size > 1 << 19:  # hand on what does not combine
-                    yield batch(*held[0])
+                if size > 1 << 20:  # handed on as it does not combine any more
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), schema=_PAIRS)
                     held, size = [], 0
-        if held:
-            yield batch(*summed(held))
-    return docs.select("text").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, summed(held))), schema=_PAIRS)
+    return texts.select("pairs", "times").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, folder: str = TOKENIZERS, most_pairs: int = MOST_PAIRS, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, token, group and link figures of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    files = model_bytes(f"{folder}/{BYTE_LEVEL}"), model_bytes(f"{folder}/{PIECES}")
-    shared = spark.sparkContext.broadcast(files)
-    digest = hashlib.sha256(files[0] + files[1]).hexdigest()
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counts = materialise(link_counts(docs, shared, digest, remembered))
+    texts = materialise(align_texts(docs, folder, remembered))
+    counts = materialise(link_counts(texts))
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     # one row for each id of B: its vocabulary bounds it
     highest = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))
     counts = materialise(counts.withColumn("b_id", b_id).join(highest, F.col("b_id") == F.col("b")).select("pair", F.col("n").alias("links"), (F.col("n") == F.col("most")).alias("best")))
     top = frequent(counts, "links", most_pairs).toArrow()
-    figures = share(spark, tuple(top.column(c).to_numpy() for c in ("pair", "links", "best")))
-    name = uuid.uuid4().hex  # of these figures, for the workers that keep them
+    figures, name = share(spark, tuple(top.column(c).to_numpy() for c in ("pair", "links", "best"))), uuid.uuid4().hex
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(shared, digest, remembered, figures, name)
-        out: list[list] = [[] for _ in _ROWS]
-
-        def put(*row):
-            for c, v in zip(out, row):
-                c.append(v)
-
-        def flush():
-            b = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
-            for c in out:
-                c.clear()
-            return b
-        for (doc, text), good, parts in aligned(aligner, batches, "doc_id", "text"):
-            if not good:
-                put(doc, 0, 0, None, 0, 0, 0, 0, 0, 0, "")
-                continue
-            said = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-            ka, kb = (int.from_bytes(said[k:k + 8], "big", signed=True) for k in (0, 8))
-            total, sha, first = np.zeros(5, np.int64), hashlib.sha256(), True
-            for at in parts:
-                total += aligner.n[:, at].sum(axis=1)
-                sha.update(("" if first else ";").encode() + ";".join([aligner.text[k] for k in at.tolist()]).encode())
-                first = False
-                if aligner.rare[at].any():
-                    for pair, n in zip(*map(np.ndarray.tolist, aligner.pairs_of(at, True))):
-                        put(None, ka, kb, pair, n, 0, 0, 0, 0, 0, None)
-            put(doc, ka, kb, None, 0, *total.tolist(), sha.hexdigest())
-            if len(out[0]) >= 4096:
-                yield flush()
-        yield flush()
-    found = materialise(docs.mapInArrow(work, _ROWS_DDL))
-    rows, rest = found.filter(F.col("pair").isNull()), found.filter(F.col("pair").isNotNull())
+        def make():
+            pair, links, best = pickle.loads(figures.value)
+            return Numbers(pair), np.append(links, 0), np.append(best, False).astype(np.int64)
+        numbers, links, best = kept_in_worker(("pairs", name), make)
+        for b in batches:
+            pairs, times, own = _flat(b)
+            at = numbers.find(pairs)  # -1, the appended zero, where a pair has no figures here
+            n_best, count_sum = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            np.add.at(n_best, own, times * best[at])
+            np.add.at(count_sum, own, times * links[at])
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(n_best), pa.array(count_sum), none, none], schema=_ROWS)
+            rest = np.flatnonzero(at < 0)
+            if len(rest):
+                keys = b.select(["ka", "kb"]).take(pa.array(own[rest]))
+                blank = {f.name: pa.nulls(len(rest), f.type) for f in _ROWS}
+                blank |= {"ka": keys.column(0), "kb": keys.column(1), "pair": pa.array(pairs[rest]), "n": pa.array(times[rest])}
+                yield pa.RecordBatch.from_arrays(list(blank.values()), schema=_ROWS)
+    found = materialise(texts.mapInArrow(work, _ROWS_DDL))
+    rows, rest = found.filter(F.col("pair").isNull()).drop("pair", "n"), found.filter(F.col("pair").isNotNull())
     # links of pairs without figures in the tasks; a text that several rows have has them several times
     more = rest.select("ka", "kb", F.col("pair").alias("__pair"), "n").join(counts, F.col("__pair") == F.col("pair"))
-    more = more.groupBy("ka", "kb").agg(F.sum(F.col("n") * F.col("best").cast("bigint")).alias("more_best"), F.sum(F.col("n") * F.col("links")).alias("more_sum"), F.lit(0).cast("bigint").alias("times"))
-    times = rows.groupBy("ka", "kb").agg(F.lit(0).cast("bigint").alias("more_best"), F.lit(0).cast("bigint").alias("more_sum"), F.count(F.lit(1)).alias("times"))
-    more = more.unionByName(times).groupBy("ka", "kb").agg(*[F.sum(c).alias(c) for c in ("more_best", "more_sum", "times")]).filter("more_sum > 0")
+    more = more.groupBy("ka", "kb").agg(F.sum(F.col("n") * F.col("best").cast("bigint")).alias("more_best"), F.sum(F.col("n") * F.col("links")).alias("more_sum"), F.lit(0).cast("bigint").alias("rows"))
+    times = rows.groupBy("ka", "kb").agg(F.lit(0).cast("bigint").alias("more_best"), F.lit(0).cast("bigint").alias("more_sum"), F.count(F.lit(1)).alias("rows"))
+    more = more.unionByName(times).groupBy("ka", "kb").agg(*[F.sum(c).alias(c) for c in ("more_best", "more_sum", "rows")]).filter("more_sum > 0")
     # dealt by a hash of its own, so that a text on a third of all rows can be split
-    more = more.select(F.xxhash64("ka", "kb").alias("key"), F.col("ka").alias("a"), F.col("kb").alias("b"), F.expr("more_best div times").alias("more_best"), F.expr("more_sum div times").alias("more_sum"))
+    more = more.select(F.xxhash64("ka", "kb").alias("key"), F.col("ka").alias("a"), F.col("kb").alias("b"), F.expr("more_best div rows").alias("more_best"), F.expr("more_sum div rows").alias("more_sum"))
     out = rows.withColumn("own", F.xxhash64("ka", "kb")).join(more, (F.col("own") == F.col("key")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")), "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), *[(F.col(c) + F.coalesce(x, F.lit(0))).alias(c) for c, x in (("n_best", "more_best"), ("count_sum", "more_sum"))], "groups_sha256")
 
