@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, covering, decontaminate, fingerprints, language, pieces, pii, ranked, repeats, site_lines, toxicity
+from . import alignment, chat, context_tree, covering, decontaminate, fingerprints, language, pieces, pii, ranked, repeats, site_lines, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_simhash_covering": covering.op9_simhash_covering,
     "op10_language_mixture": language.op10_language_mixture,
+    "op11_context_tree": context_tree.op11_context_tree,
     "op12_ranked_search": ranked.op12_ranked_search,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 SQL = {
     "op7_site_line_frequency": site_lines.OP7_SQL,
+    "op11_context_tree": context_tree.op11_context_tree,
     "op12_ranked_search": ranked.OP12_SQL,
 }
