@@ -281,7 +281,50 @@ SELECT term, round(b, 5) AS estimate, round(s, 5) AS std_error, round(b / s, 4)
  round({Q.normal_two_sided_p('(b / s)')}, 4) AS p_value FROM y""",
        estimate=5, std_error=5, z=4, deviance=3, null_deviance=3, aic=3, p_value=4)
 def logit_interaction(t):
-    return regression.logit_interaction(order_cohort(t), "outcome", "returned", "discounted")
+    return regression.logit_interaction(order_cohort(t), "outcome", "returned", "discounted").drop("note")
+
+
+def _cells():
+    """Outcomes by both predictors and priority."""
+    n = lambda a, b, y: f"count(*) FILTER (returned = {a} AND discounted = {b} AND outcome = {y})::DOUBLE"
+    cells = ", ".join(f"{n(a, b, y)} AS n{a}{b}{y}" for a in (0, 1) for b in (0, 1) for y in (0, 1))
+    return f"SELECT o_orderpriority, {cells} FROM base WHERE outcome IS NOT NULL GROUP BY o_orderpriority"
+
+
+@query("T13", f"""WITH {COHORT}, c AS ({_cells()}),
+x AS (SELECT *, ln(n001 / n000) AS la, ln(n101 / n100) AS lb, ln(n011 / n010) AS lc, ln(n111 / n110) AS ld, 1 / n001 + 1 / n000 AS va, 1 / n101 + 1 / n100 AS vb, 1 / n011 + 1 / n010 AS vc, 1 / n111 + 1 / n110 AS vd FROM c),
+y AS (SELECT o_orderpriority, unnest([{{'t': '(Intercept)', 'b': la, 's': sqrt(va)}}, {{'t': 'returned', 'b': lb - la, 's': sqrt(va + vb)}}, {{'t': 'discounted', 'b': lc - la, 's': sqrt(va + vc)}},
+ {{'t': 'returned:discounted', 'b': ld - lb - lc + la, 's': sqrt(va + vb + vc + vd)}}]) AS e FROM x)
+SELECT o_orderpriority, e.t AS term, round(e.b, 4) AS estimate, round(e.s, 4) AS std_error FROM y WHERE isfinite(e.b) AND isfinite(e.s)""", digits=4)
+def logit_by_priority(t):
+    """One fit for each priority in one job; fits without a finite solution (an empty cell) are left out by their note."""
+    fits = regression.logit_interaction(order_cohort(t), "outcome", "returned", "discounted", ["o_orderpriority"])
+    # of a separated fit the terms of the cells that do have both outcomes are finite as well
+    return fits.filter(F.col("note").isNull() | (F.col("std_error") < 100)).select("o_orderpriority", "term", "estimate", "std_error")
+
+
+@query("T13", f"""WITH {COHORT}, c AS (SELECT o_orderpriority, returned, sum(outcome)::DOUBLE AS s, count(*) - sum(outcome)::DOUBLE AS f FROM base WHERE outcome IS NOT NULL GROUP BY ALL),
+x AS (SELECT o_orderpriority, max(ln(s / f)) FILTER (returned = 0) AS l0, max(ln(s / f)) FILTER (returned = 1) AS l1, max(1 / s + 1 / f) FILTER (returned = 0) AS v0, max(1 / s + 1 / f) FILTER (returned = 1) AS v1 FROM c GROUP BY ALL),
+y AS (SELECT o_orderpriority, unnest([{{'t': '(Intercept)', 'b': l0, 's': sqrt(v0)}}, {{'t': 'returned', 'b': l1 - l0, 's': sqrt(v0 + v1)}}, {{'t': 'same', 'b': NULL, 's': NULL}}, {{'t': 'returned:same', 'b': NULL, 's': NULL}}]) AS e FROM x)
+SELECT o_orderpriority, e.t AS term, round(e.b, 4) AS estimate, round(e.s, 4) AS std_error FROM y""", digits=4)
+def logit_aliased(t):
+    """A second predictor that is constant: it and the interaction have no figures."""
+    fits = regression.logit_interaction(order_cohort(t).withColumn("same", F.lit(3.0)), "outcome", "returned", "same", ["o_orderpriority"])
+    return fits.select("o_orderpriority", "term", "estimate", "std_error")
+
+
+@query("T13", f"""WITH {COHORT} SELECT unnest(['(Intercept)', 'items', 'price', 'items:price']) AS term, 0.0::DOUBLE AS gradient, count(*) AS n FROM base WHERE outcome IS NOT NULL""", gradient=5)
+def logit_gradient(t):
+    """Continuous predictors: the gradient of the likelihood at the fitted coefficients, per row, is zero."""
+    cohort = order_cohort(t).withColumn("price", F.col("o_totalprice") / 100000).filter(F.col("outcome").isNotNull())
+    fit = regression.logit_interaction(cohort, "outcome", "items", "price").select("term", "estimate", "n")
+    beta = fit.groupBy().agg(*[F.max(F.when(F.col("term") == n, F.col("estimate"))).alias(f"b{i}") for i, n in enumerate(("(Intercept)", "items", "price", "items:price"))], F.max("n").alias("n"))
+    x = [F.lit(1.0), F.col("items"), F.col("price"), F.col("items") * F.col("price")]
+    b = beta.first()
+    margin = sum((F.lit(b[i]) * x[i] for i in range(4)), F.lit(0.0))
+    residual = F.col("outcome") - 1 / (1 + F.exp(-margin))
+    sums = cohort.groupBy(F.lit(b["n"]).alias("n")).agg(*[(F.sum(residual * v) / F.count(F.lit(1))).alias(n) for v, n in zip(x, ("(Intercept)", "items", "price", "items:price"))])
+    return sums.unpivot(["n"], ["(Intercept)", "items", "price", "items:price"], "term", "gradient").select("term", "gradient", "n")
 
 
 @query("T14", f"""WITH {COHORT}, k AS (SELECT outcome, returned, discounted, returned * discounted AS interaction FROM base WHERE outcome IS NOT NULL),
@@ -323,6 +366,18 @@ def path_model_edges(t):
     return path_edges(t)
 
 
+@query("T15", f"""WITH {COHORT}, k AS (SELECT o_orderpriority, returned::DOUBLE AS m, items::DOUBLE AS a FROM base WHERE outcome IS NOT NULL),
+s AS (SELECT o_orderpriority, count(*) AS n, var_pop(m) AS mm, var_pop(a) AS aa, covar_pop(m, a) AS ma FROM k GROUP BY ALL),
+v AS (SELECT *, ma / aa AS b, mm - ma * ma / aa AS e FROM s)
+SELECT o_orderpriority, 'returned' AS lhs, '~' AS op, 'items' AS rhs, round(b, 5) AS est, round(sqrt(e / aa / n), 5) AS se, round(b * sqrt(aa / mm), 5) AS std FROM v
+UNION ALL SELECT o_orderpriority, 'returned', '~', r, NULL, NULL, NULL FROM v, (VALUES ('same'), ('twice')) x(r)
+UNION ALL SELECT o_orderpriority, 'returned', '~~', 'returned', round(e, 5), round(e * sqrt(2.0 / n), 5), round(e / mm, 5) FROM v""", digits=5)
+def path_model_aliased(t):
+    """A model for each priority with a constant predictor and one that is twice another: their edges are NULL."""
+    cohort = order_cohort(t).filter(F.col("outcome").isNotNull()).withColumns({"same": F.lit(1.0), "twice": F.col("items") * 2 + 1})
+    return regression.path_model(cohort, {"returned": ["items", "same", "twice"]}, ["o_orderpriority"]).drop("z", "p_value")
+
+
 @query("T16 J4 J5 U1", f"""WITH {PATH} SELECT lhs, op, rhs, round(est, 6) AS est, round(CASE WHEN abs(std) < 0.2 THEN 0 ELSE std END, 6) AS std, round(p, 6) AS p_value
  FROM pe WHERE op = '~~' OR p < 0.05""")
 def path_edges_pruned(t):
