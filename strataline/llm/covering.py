@@ -1,12 +1,7 @@
 """SimHash near-dedup with anchor points of a covering code.
 
-Two fingerprints, made of 32-bit quarters or halves:
-
-* shingles: 64 bits over the XXH64 values of all 3-word shingles (see ``fingerprint``); they link at 3 or fewer differing bits
-* words: 128 bits over the distinct words, weighted by the root of their counts; they link at 7 or fewer differing bits. Changing one
-  word moves fewer of them, so it finds more of the copies with several edits (``keep_one`` uses it after the first)
-
-``keep_one`` takes links as candidates only: a text goes if its five-word similarity to a text that stays is 0.8 or more (see ``near_leaders``).
+A fingerprint has 64 bits over the XXH64 values of all 3-word shingles (see ``fingerprint``); fingerprints link at 3 or fewer differing bits.
+The links are found for fingerprints of one or two 64-bit numbers (at 7 bits then), made of 32-bit parts.
 
 Anchors: of two fingerprints that differ in 3 bits or fewer of 64 (7 of 128), one 32-bit part differs in 1 bit or none. On 31 bits of
 each part the anchors are the words of the perfect Hamming code (covering radius 1): every part lies within 1 of its home anchor. A
@@ -22,29 +17,27 @@ Defined results
 * Null text counts as empty. No words: fingerprint zero, linked like any other.
 * component_id is the smallest doc_id that can be reached; null doc_ids do not count, a component of null doc_ids has a null id.
 * Repeated rows each give a row. Extra columns are ignored by ``near_classes`` and pass through ``keep_one``. Empty tables give no rows.
+* ``keep_one`` keeps one row of every component: the smallest doc_id (null ids last), ties by a hash of the row. Rows that share a doc_id, or
+  have none, are told apart by their content, so no text goes unless one of its component stays. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import prepare, rows_of, ship, table
+from .common import prepare, row_key, rows_of, ship, table
 from .components import components, follow
 
 #: A fingerprint of n 64-bit numbers links at 4 n - 1 differing bits: then one of its 2 n parts differs in at most 1.
 BITS = {1: 3, 2: 7}
 WORDS = 3
-#: Least five-word similarity (Jaccard) of near copies.
-SIMILAR = 0.8
-SHINGLE = 5
 LAST = (1 << 63) - 1
 #: Fingerprints of one anchor that one task compares; larger anchors are dealt out by pairs of parts.
 LARGEST = 8192
@@ -74,21 +67,6 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
-def word_fingerprint(text: str | None) -> tuple[int, int]:
-    """Two 64-bit halves over the distinct words (lower case, between white space): a bit is set if the words that have it weigh more
-    than the others, each weighing the root of its count. No words: zero."""
-    counts = Counter((text or "").lower().split())
-    if not counts:
-        return 0, 0
-    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in counts]), np.uint8).reshape(-1, 16)
-    weight = np.rint(np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))) * 1024)  # whole numbers: sums do not depend on the order
-    votes = np.zeros(128)
-    for k in range(0, len(weight), 16384):
-        votes += weight[k:k + 16384] @ np.unpackbits(digests[k:k + 16384], axis=1).astype(np.float64)
-    out = np.packbits(votes * 2 > weight.sum()).tobytes()
-    return int.from_bytes(out[:8], "big"), int.from_bytes(out[8:], "big")
-
-
 def node_of(fp: list[np.ndarray]) -> np.ndarray:
     """One 64-bit name for a fingerprint: itself, or a hash of both halves."""
     if len(fp) == 1:
@@ -130,44 +108,14 @@ def anchors(fp: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(out)
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_BOTH = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("node", pa.int64()), ("said", pa.int64())])
-_SETS = pa.schema([("said", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first columns as they are, and the fingerprint of the last one."""
     for b in batches:
-        ids, fps = zip(*[(i, signed(fingerprint(t))) for i, t in rows_of([b], "doc_id", "text")]) if b.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], schema=_FP)
-
-
-def _both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        doc, text = zip(*rows_of([b], "doc_id", "text")) if b.num_rows else ((), ())
-        fp = np.array([fingerprint(t) for t in text], np.uint64)
-        words = np.array([word_fingerprint(t) for t in text], np.uint64).reshape(-1, 2)
-        w = [words[:, 0].copy(), words[:, 1].copy()]
-        said = np.array([said_as(t) for t in text], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x.view(np.int64)) for x in (fp, *w, node_of(w), said)]], schema=_BOTH)
-
-
-def said_as(text: str | None) -> int:
-    """Name of a text by its words (lower case, between white space)."""
-    return xxhash.xxh3_64_intdigest(" ".join((text or "").lower().split()).encode("utf-8", "surrogatepass"))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the different five-word shingles (all words if there are fewer)."""
-    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
-    said = {b" ".join(words[k:k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
-    return np.array(sorted(xxhash.xxh3_64_intdigest(x) for x in said), np.uint64).view(np.int64)
-
-
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for (text,) in rows_of([b], "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([signed(said_as(text))], pa.int64()), pa.array([shingles(text)], _SETS.field("shingles").type)], schema=_SETS)
+        fp = np.array([fingerprint(t) for (t,) in rows_of([b], b.schema.names[-1])], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
 
 def _unsigned(b: pa.RecordBatch, first: int) -> list[np.ndarray]:
@@ -276,9 +224,10 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ship(__name__)
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (as a signed 64-bit number), written to the shared folder: texts are read once."""
-    return materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
+def fingerprint_table(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns ``more`` and fp (as a signed 64-bit number), written to the shared folder: texts are read once."""
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in more)
+    return materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text").mapInArrow(_fingerprints, f"doc_id long, {kinds}fp long"))
 
 
 def link_edges(fps: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -304,17 +253,22 @@ def link_edges(fps: DataFrame, largest: int = LARGEST) -> DataFrame:
     return dealt.mapInArrow(_compare, "u long, v long")
 
 
-def with_components(rows: DataFrame, parts: list[str], node: str) -> DataFrame:
-    """``rows`` (doc_id, fingerprint in ``parts``, its name in ``node``) with the component_id that their fingerprint belongs to."""
-    spark = rows.sparkSession
-    classes = materialise(rows.groupBy(*dict.fromkeys([*parts, node])).agg(F.min("doc_id").alias("least")))
+def roots(classes: DataFrame, parts: list[str], node: str) -> DataFrame:
+    """``classes`` (a row for each fingerprint) with ``root``, one fingerprint of the component."""
+    spark = classes.sparkSession
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")  # rows of two numbers
     try:
         edges = materialise(link_edges(classes.select(*parts)))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
-    rooted = follow(classes.select(node, "least"), node, components(edges), "root")
+    return follow(classes, node, components(edges), "root")
+
+
+def with_components(rows: DataFrame, parts: list[str], node: str) -> DataFrame:
+    """``rows`` (doc_id, fingerprint in ``parts``, its name in ``node``) with the component_id that their fingerprint belongs to."""
+    classes = materialise(rows.groupBy(*dict.fromkeys([*parts, node])).agg(F.min("doc_id").alias("least")))
+    rooted = roots(classes, parts, node).select(node, "least", "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "__root")
     ids = materialise(rooted.join(named, F.col("root") == F.col("__root")).select(F.col(node).alias("__fp"), "component_id"))
     return rows.join(ids, F.col(node) == F.col("__fp"), "left").select(*rows.columns, "component_id")
@@ -325,66 +279,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return with_components(fingerprint_table(docs), ["fp"], "fp")
 
 
-def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """said and the set of five-word shingle hashes for the texts of ``classes`` (least, said), written."""
-    ids = classes.select(F.col("least").alias("__least")).distinct()
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    texts = docs.select(own.alias("doc"), "text").join(ids, F.col("doc") == F.col("__least"), "left_semi").select("text")
-    return materialise(texts.mapInArrow(_sets, "said long, shingles array<long>").dropDuplicates(["said"]))
-
-
-def near_leaders(docs: DataFrame, left: DataFrame, parts: list[str], node: str) -> DataFrame:
-    """``said`` of the classes that are near copies of a class that stays. Links are candidates; a class goes only if its five-word
-    similarity to a smaller class that stays, linked with it, is ``SIMILAR`` or more.
-
-    In every round the first classes of each component lead, twice as many as the round before. A leader that is like no smaller leader
-    stays for good, and what is like it goes; the rest meets again in the next round."""
-    gone, sets, n = None, None, 1
-    bits = BITS[len(parts)]
-    while True:
-        found = materialise(with_components(left.withColumn("doc_id", F.col("least")), parts, node).drop("doc_id"))
-        many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component_id").alias("__c"))
-        found = materialise(found.join(many, F.col("component_id") == F.col("__c"), "left_semi"))
-        if found.isEmpty():
-            return gone
-        if sets is None:
-            sets = shingle_sets(docs, found)
-        order = Window.partitionBy("component_id").orderBy("least", "said")
-        leaders = materialise(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n))
-        lead = leaders.select(F.col("component_id").alias("c"), F.col("least").alias("l_least"), F.col("said").alias("l_said"), *[F.col(x).alias(f"l_{x}") for x in parts])
-        linked = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"l_{x}"))) for x in parts), F.lit(0)) <= bits
-        smaller = F.struct("l_least", "l_said") < F.struct("least", "said")
-        pairs = found.join(lead, (F.col("component_id") == F.col("c")) & smaller & linked).select("said", "l_said")
-        a = sets.select(F.col("said").alias("a_said"), F.col("shingles").alias("a"))
-        b = sets.select(F.col("said").alias("b_said"), F.col("shingles").alias("b"))
-        met = pairs.join(a, F.col("said") == F.col("a_said")).join(b, F.col("l_said") == F.col("b_said"))
-        both = F.size(F.array_intersect("a", "b"))
-        alike = materialise(met.filter(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("said", "l_said"))
-        stays = materialise(leaders.select("said").join(alike.select("said"), "said", "left_anti"))
-        out = materialise(alike.join(stays.select(F.col("said").alias("l_said")), "l_said", "left_semi").select("said").distinct())
-        gone = out if gone is None else gone.unionByName(out)
-        left = materialise(found.drop("component_id").join(stays.unionByName(out), "said", "left_anti"))
-        n *= 2
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of near copies the row with the smallest doc_id, all columns: links by shingles first, then by words of what is left, each checked
-    on the texts. Rows that repeat a doc_id: one of them."""
-    rows = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _both, "doc_id long, fp long, w0 long, w1 long, node long, said long"))
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("least"), "fp", "w0", "w1", "node"))
-    left = materialise(rows.groupBy("said").agg(first.alias("x")).select("said", "x.*"))
-    for parts, node in ((["fp"], "fp"), (["w0", "w1"], "node")):
-        gone = near_leaders(docs, left, parts, node)
-        if gone is not None:
-            left = materialise(left.join(gone, "said", "left_anti"))
-    kept = left.groupBy(F.when(F.col("least") < LAST, F.col("least")).alias("__kept")).agg(F.count(F.lit(1)).alias("__classes"))
-    kept = materialise(kept)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    # the shuffle over whole rows is only paid where doc_ids do repeat
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = repeated.join(kept, repeated["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of every component, all columns: the smallest doc_id, ties by the row's hash."""
+    key = row_key(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select("doc_id", key["a"].alias("ka"), key["b"].alias("kb"), "text")
+    rows = fingerprint_table(keyed, "ka", "kb")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("least"), "ka", "kb")).alias("first")
+    classes = materialise(rows.groupBy("fp").agg(first))
+    kept = materialise(roots(classes, ["fp"], "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    # the rows that go are fewer than those that stay; their keys are dealt by a hash, so many copies of one row can be split
+    mark = lambda d: d.select(F.xxhash64("ka", "kb").alias("__mark"), F.col("ka").alias("__ka"), F.col("kb").alias("__kb"))
+    same = (F.col("mark") == F.col("__mark")) & (F.col("ka") == F.col("__ka")) & (F.col("kb") == F.col("__kb"))
+    counted = rows.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("n"))
+    gone = materialise(mark(counted.withColumn("mark", F.xxhash64("ka", "kb")).join(mark(kept), same, "left_anti")))
+    taken = set(docs.columns)
+    names = [next(x for x in (f"{c}{'_' * k}" for k in range(len(taken) + 1)) if x not in taken) for c in ("__a", "__b", "__m")]
+    out = docs.withColumns({names[0]: key["a"], names[1]: key["b"]}).withColumn(names[2], F.xxhash64(*names[:2]))
+    out = out.join(gone, (F.col(names[2]) == F.col("__mark")) & (F.col(names[0]) == F.col("__ka")) & (F.col(names[1]) == F.col("__kb")), "left_anti")
+    # the shuffle over whole rows is only paid where a row that stays is repeated
+    again = counted.filter("n > 1").withColumn("mark", F.xxhash64("ka", "kb")).join(mark(kept), same, "left_semi")
+    return (out if again.isEmpty() else out.dropDuplicates(names[:2])).drop(*names)
 
 
 def op9_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:
