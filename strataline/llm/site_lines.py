@@ -40,6 +40,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _hashes(text: Column) -> Column:
+    """Hashes of the different lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _line_hash))
+
+
 def site_totals(pages: DataFrame, site: str = "site") -> DataFrame:
     return pages.groupBy(F.col(site).alias("site")).agg(F.count(F.lit(1)).alias("site_pages"))
 
@@ -53,7 +58,7 @@ def distinct_totals(keyed: DataFrame) -> DataFrame:
 def boilerplate(keyed: DataFrame, ratio: float, min_pages: int, distinct_texts: bool = False) -> DataFrame:
     """Site, line hash, pages with it and pages of the site, for the lines to drop. ``keyed``: site, text. With
     ``distinct_texts`` the pages of the site are its different texts, but those with the line all its rows: lines that may be dropped."""
-    seen = keyed.select("site", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _line_hash))).alias("line"))
+    seen = keyed.select("site", F.explode(_hashes(F.col("text"))).alias("line"))
     counts = seen.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     totals = (distinct_totals if distinct_texts else site_totals)(keyed).withColumnRenamed("site", "total_site")
     # frequent lines are few per site (lines of a page / ratio at most), so both sides of this join are small
@@ -64,29 +69,34 @@ def boilerplate(keyed: DataFrame, ratio: float, min_pages: int, distinct_texts:
 def drop_boilerplate(pages: DataFrame, site: str = "site", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
                      distinct_texts: bool = False) -> DataFrame:
     """All columns and rows of ``pages`` with the boilerplate lines taken out of ``text``, and ``__n_lines``, ``__n_dropped``."""
-    key = row_key(F.col(f"`{site}`"), F.col(f"`{text}`"))
     keyed = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").alias("text"))
-    drop = boilerplate(keyed, ratio, min_pages, distinct_texts).select(
-        F.xxhash64("site", "line.a", "line.b").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"), "site_pages")
-    lines = keyed.select(row_key(F.col("site"), F.col("text")).alias("row"), "site", F.explode(F.array_distinct(
-        F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _line_hash))).alias("line"))
-    lines = lines.withColumn("line_key", F.xxhash64("site", "line.a", "line.b"))
-    # both sides are dealt by a computed key, so that a line on a third of all pages can be split over tasks
-    same = (F.col("line_key") == F.col("drop_key")) & F.col("site").eqNullSafe(F.col("drop_site")) & (F.col("line") == F.col("drop_line"))
+    drop = boilerplate(keyed, ratio, min_pages, distinct_texts)
     if distinct_texts:
         # the few lines that may be dropped are counted again, once for each different text
-        may = materialise(lines.join(drop, same).groupBy("row", "line_key", "site", "line").agg(F.max("site_pages").alias("site_pages")))
-        pages_with = may.groupBy("line_key", "site", "line").agg(F.count(F.lit(1)).alias("pages"), F.max("site_pages").alias("site_pages"))
-        drop = pages_with.filter((F.col("pages") >= min_pages) & (F.col("pages") > ratio * F.col("site_pages"))).select(
-            F.col("line_key").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"))
-        lines = may
-    hits = lines.join(drop, same, "left_semi")
-    by_row = hits.groupBy("row").agg(F.collect_set("line").alias("__dropped")).withColumnRenamed("row", "__hit")
-    out = pages.withColumn("__row", key).join(by_row, F.col("__row") == F.col("__hit"), "left")
-    kept = F.filter(_lines(F.col(f"`{text}`")), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__dropped"), _line_hash(x)))
-    new = F.when(F.col("__dropped").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(_lines(F.col(f"`{text}`"))), F.lit(0)).cast("bigint")
-    n_dropped = F.when(F.col("__dropped").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("bigint")
+        may = drop.select(F.xxhash64("site", "line.a", "line.b").alias("drop_key"), F.col("site").alias("drop_site"), F.col("line").alias("drop_line"), "site_pages")
+        lines = keyed.select(row_key(F.col("site"), F.col("text")).alias("row"), "site", F.explode(_hashes(F.col("text"))).alias("line"))
+        lines = lines.withColumn("line_key", F.xxhash64("site", "line.a", "line.b"))
+        # both sides are dealt by a computed key, so that a line on a third of all pages can be split over tasks
+        same = (F.col("line_key") == F.col("drop_key")) & F.col("site").eqNullSafe(F.col("drop_site")) & (F.col("line") == F.col("drop_line"))
+        once = lines.join(may, same).groupBy("row", "site", "line").agg(F.max("site_pages").alias("site_pages"))
+        drop = once.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"), F.max("site_pages").alias("site_pages")).filter(
+            (F.col("pages") >= min_pages) & (F.col("pages") > ratio * F.col("site_pages")))
+    # a page has lines / ratio boilerplate lines at most, so one row holds those of a site; written, so that the join below is dealt anew
+    # and a site with a third of all pages can be split
+    taken = set(pages.columns)
+    own, dropped, suspects, left = (next(n for n in (f"{c}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for c in ("__site", "__drop", "__suspects", "__left"))
+    by_site = materialise(drop.groupBy("site").agg(F.collect_set("line").alias(dropped)).withColumnRenamed("site", own))
+    out = pages.join(by_site, F.col(f"`{site}`").eqNullSafe(F.col(own)), "left")
+    # hashes of the page that the site drops by their first half, a set operation on numbers; the lines that are left are compared whole
+    lines, first = _lines(F.col(f"`{text}`")), F.transform(F.col(dropped), lambda d: d["a"])
+    out = out.withColumn(suspects, F.array_intersect(F.transform(lines, lambda x: _line_hash(x)["a"]), first))
+    gone = lambda x: (F.trim(x) != "") & F.array_contains(F.col(suspects), _line_hash(x)["a"]) & F.array_contains(F.col(dropped), _line_hash(x))
+    touched = F.col(dropped).isNotNull() & F.col(f"`{text}`").isNotNull() & (F.size(F.col(suspects)) > 0)
+    out = out.withColumn(left, F.when(touched, F.filter(lines, lambda x: ~gone(x))))
+    touched, kept = F.col(left).isNotNull(), F.col(left)
+    n = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
+    new = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
+    n_dropped = F.when(touched, n - F.size(kept)).otherwise(F.lit(0)).cast("bigint")
     return out.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], n.alias("__n_lines"), n_dropped.alias("__n_dropped"))
 
 

@@ -48,3 +48,12 @@ def test_against_sql(spark, sf_dir):
 def test_no_python_in_plan(spark, sf_dir):
     plan = S.op7_site_line_frequency(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_clashing_columns_come_back(spark):
+    rows = [(k, f"menu\nown {k}", "x", "mine", "theirs", 7) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __site string, `__drop` string, __row int")
+    for distinct in (False, True):
+        got = S.drop_boilerplate(df, "source", distinct_texts=distinct)
+        assert got.columns == [*df.columns, "__n_lines", "__n_dropped"]
+        assert sorted(map(tuple, got.collect())) == [(k, f"own {k}", "x", "mine", "theirs", 7, 2, 1) for k in range(10)]
