@@ -16,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,9 +28,8 @@ from .common import batched, held_out, held_out_id, prepare, rows_of, ship, tabl
 
 #: Labelled rows per language that the model is fitted on, at most.
 SAMPLE_ROWS = 3000
-#: Cells that trigrams are hashed into, and the languages the model may hold at most (most frequent first).
+#: Cells that trigrams are hashed into.
 CELLS = 1 << 16
-MOST_LANGUAGES = 200
 SMOOTHING = 0.1
 #: Weight of the penalty for each language beyond the first, and the least share of a language in the set.
 PENALTY = 4.0
@@ -37,11 +37,20 @@ ROUNDS = 30
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+# the word class of patterns also has numbers that are no digits; the pattern without them is slow, so it only sees words that hold one
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    words = _WORD.findall(text.lower())
+    return words if "".join(words).isalpha() else [x for w in words for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
 
 
 def trigram_cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the trigrams of all words (with a blank on both sides), and where each word's trigrams begin."""
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -73,7 +82,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
     the order of the rows; only ``sample_rows`` per language are read beyond their hash.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return [], np.zeros((CELLS, 0), np.float32)
     # a share of the hash range that holds about sample_rows rows of each language
@@ -171,7 +180,7 @@ def keep_known(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame
 
     def work(batches):
         for b in batches:
-            keep = pa.array([bool(t) and bool(mixture(shared.value, t) if langs else _WORD.search(t.lower())) for t in b.column(at).to_pylist()], pa.bool_())
+            keep = pa.array([bool(t) and bool(mixture(shared.value, t) if langs else words_of(t)) for t in b.column(at).to_pylist()], pa.bool_())
             yield b.filter(keep)
     return docs.mapInArrow(work, docs.schema)
 

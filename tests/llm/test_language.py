@@ -54,3 +54,12 @@ def test_nothing_learned(spark):
     langs, logp = L.learn(docs.select("doc_id", "text", "lang"))
     assert langs == [] and [r["lang_pred"] for r in L.predict(docs, langs, logp).collect()] == ["und"]
     assert L.predict(documents(spark, []), langs, logp).count() == 0
+
+
+def test_numbers_are_no_letters_and_all_labels_are_learned(spark):
+    from strataline.llm import language
+    docs = spark.createDataFrame([(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x words", f"l{k:03d}") for k in range(260)] + [(1000, "²½ Ⅷ", None), (1001, "é½", None)], "doc_id long, text string, lang string")
+    langs, logp = language.learn(docs)
+    assert len(langs) == sum(not language.held_out_id(k) for k in range(260))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs.filter("doc_id >= 1000"), langs, logp).collect()}
+    assert got[1000] == language.UNKNOWN and got[1001] in langs
