@@ -36,7 +36,8 @@ NAMED = {"user": "User", "assistant": "Assistant", "system": "System"}
 ROLES = {v: k for k, v in NAMED.items()}
 _HEADER = r"### (User|Assistant|System|@[A-Za-z0-9_%-]*): "
 HEADER = re.compile(_HEADER)
-CONTROL = re.compile(rf"(\\*)({_HEADER}|</turn>)")
+#: A run of backslashes is read once, from its beginning.
+CONTROL = re.compile(rf"(?<!\\)(\\*+)({_HEADER}|</turn>)")
 END = "\n</turn>\n"
 
 

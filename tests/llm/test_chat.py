@@ -61,3 +61,12 @@ def test_whole_table(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     got = C.op3_chat_formatting(spark, sf_dir).collect()
     assert sorted([tuple(r)[:5] for r in got], key=repr) == digest(rows + [(-7, 0, "user", said), (-7, 1, "assistant", said)])
+
+
+def test_a_million_backslashes():
+    import time
+    from strataline.llm import chat
+    for text in ("\\" * 1_000_000, "\\" * 1_000_000 + "### User: x", ("\\" * 50 + "</turn>") * 5000):
+        start = time.perf_counter()
+        assert chat.unescape(chat.escape(text)) == text
+        assert time.perf_counter() - start < 5
