@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages 1 to 4 re
 rows are written as Parquet and read again.
 
 Defined results for hard rows: null and letterless texts go in stage 1, and only these if there is no label to learn a language from; later stages keep what their operators state. ``n_chars`` follows
-the text. Rows that repeat a doc_id: one of them stays in stage 3. An empty table gives an empty result.
+the text. Rows that share a doc_id are told apart by their content in stage 3; of equal rows one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def site_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies."""
+    """One document, the smallest doc_id, of each component of near copies (3-word shingles, 3 bits)."""
     prepare(spark)
     return covering.keep_one(documents_like(docs, COLUMNS))
 
