@@ -91,6 +91,58 @@ def link_keys(t):
                                  ["patient_id", "master_no", "registry_no", "karyotype_no", "ngs_2_no"], na_matches=True)
 
 
+FIVE_SQL = """
+d AS (SELECT *, (DATE '1940-01-01' + (c_custkey % 20000)::INTEGER)::VARCHAR AS born FROM customer),
+a AS (SELECT c_custkey::VARCHAR AS patient_id, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS gender, born AS birth_date, 'M' || c_custkey AS master_no FROM d WHERE c_nationkey < 18),
+b AS (SELECT c_custkey::VARCHAR AS patient_id, c_name AS name, c_mktsegment AS gender, born AS birth_date, p || c_custkey AS registry_no FROM d JOIN (VALUES ('C'), ('D')) v(p) ON p = 'C' OR c_custkey % 7 = 0 WHERE c_nationkey >= 6),
+k1 AS (SELECT 'M' || c_custkey AS master_no, c_mktsegment AS gender, 'K' || c_custkey AS karyotype_no FROM d WHERE c_nationkey BETWEEN 3 AND 20),
+k2 AS (SELECT c_name AS name, c_mktsegment AS gender, CASE WHEN c_custkey % 5 > 0 THEN born END AS birth_date, 'G' || c_custkey AS ngs_2_no FROM d WHERE c_nationkey > 10),
+k3 AS (SELECT CASE WHEN c_custkey % 3 > 0 THEN 'C' || c_custkey END AS registry_no, c_name AS name, c_mktsegment AS gender, 'L' || (c_custkey // 2) AS karyotype_2_no FROM d WHERE c_nationkey BETWEEN 8 AND 22),
+ab AS (SELECT patient_id, coalesce(a.name, b.name) AS name, coalesce(a.gender, b.gender) AS gender, coalesce(a.birth_date, b.birth_date) AS birth_date, master_no, registry_no FROM a FULL JOIN b USING (patient_id)),
+abk AS (SELECT patient_id, name, coalesce(ab.gender, k1.gender) AS gender, birth_date, coalesce(ab.master_no, k1.master_no) AS master_no, registry_no, karyotype_no FROM ab FULL JOIN k1 ON ab.master_no = k1.master_no),
+abg AS (SELECT patient_id, coalesce(abk.name, k2.name) AS name, coalesce(abk.gender, k2.gender) AS gender, coalesce(abk.birth_date, k2.birth_date) AS birth_date, master_no, registry_no, karyotype_no, ngs_2_no
+ FROM abk FULL JOIN k2 ON abk.name = k2.name AND abk.gender = k2.gender AND abk.birth_date = k2.birth_date),
+al AS (SELECT patient_id, coalesce(abg.name, k3.name) AS name, coalesce(abg.gender, k3.gender) AS gender, birth_date, master_no, coalesce(abg.registry_no, k3.registry_no) AS registry_no, karyotype_no, ngs_2_no, karyotype_2_no
+ FROM abg FULL JOIN k3 ON abg.registry_no = k3.registry_no),
+keyed AS (SELECT *, row_number() OVER (ORDER BY patient_id NULLS LAST, master_no NULLS LAST, registry_no NULLS LAST, karyotype_no NULLS LAST, ngs_2_no NULLS LAST, karyotype_2_no NULLS LAST, name NULLS LAST)::VARCHAR AS key_id FROM al)"""
+
+IDENTIFIERS = ["patient_id", "master_no", "registry_no", "karyotype_no", "ngs_2_no", "karyotype_2_no"]
+
+
+def five_registries(t):
+    """Masters, a second registry where some are listed twice, two karyotype lists and a sequencing list with missing birth dates."""
+    key = F.col("c_custkey")
+    text = lambda p, k=key: F.concat(F.lit(p), k.cast("string"))
+    born = F.date_add(F.lit("1940-01-01").cast("date"), F.pmod(key, F.lit(20000)).cast("int")).cast("string")
+    mod = lambda m: F.pmod(key, F.lit(m))
+    pid, name, sex = key.cast("string").alias("patient_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("gender")
+    c = t.customer
+    a = c.filter("c_nationkey < 18").select(pid, name, F.when(F.pmod("c_nationkey", F.lit(2)) == 0, F.col("c_mktsegment")).alias("gender"), born.alias("birth_date"), text("M").alias("master_no"))
+    twice = F.explode(F.when(mod(7) == 0, F.array(text("C"), text("D"))).otherwise(F.array(text("C")))).alias("registry_no")
+    b = c.filter("c_nationkey >= 6").select(pid, name, sex, born.alias("birth_date"), twice)
+    k1 = c.filter("c_nationkey BETWEEN 3 AND 20").select(text("M").alias("master_no"), sex, text("K").alias("karyotype_no"))
+    k2 = c.filter("c_nationkey > 10").select(name, sex, F.when(mod(5) > 0, born).alias("birth_date"), text("G").alias("ngs_2_no"))
+    k3 = c.filter("c_nationkey BETWEEN 8 AND 22").select(F.when(mod(3) > 0, text("C")).alias("registry_no"), name, sex, text("L", F.floor(key / 2)).alias("karyotype_2_no"))
+    return joins.link_registries(a, [(b, ["patient_id"]), (k1, ["master_no"]), (k2, ["name", "gender", "birth_date"]), (k3, ["registry_no"])], [*IDENTIFIERS, "name"])
+
+
+@query("J9 J2", f"WITH {FIVE_SQL} SELECT * FROM keyed")
+def link_keys_of_five(t):
+    """All four joins, with the birth date; missing keys link nothing."""
+    return five_registries(t)
+
+
+@query("J9", f"""WITH RECURSIVE {FIVE_SQL}, ids AS ({' UNION ALL '.join(f"SELECT key_id::BIGINT AS k, '{c}' AS kind, {c} AS value FROM keyed WHERE {c} IS NOT NULL" for c in IDENTIFIERS)}),
+e AS (SELECT DISTINCT x.k AS u, y.k AS v FROM ids x JOIN ids y USING (kind, value)),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+p AS (SELECT u, min(v) AS person_id FROM r GROUP BY u), n AS (SELECT *, count(*) OVER (PARTITION BY person_id) AS n_keys FROM p)
+SELECT u::VARCHAR AS key_id, person_id, n_keys FROM n WHERE n_keys > 1""")
+def people_with_several_keys(t):
+    """People whom the cascade gave more than one key, found by the identifiers their rows share."""
+    from ..operators import linkage
+    return linkage.people_with_several_keys(linkage.with_person(five_registries(t), "key_id", IDENTIFIERS)).select("key_id", "person_id", "n_keys")
+
+
 MATCH_SQL = """
 g AS (SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_acctbal > 7000 THEN 1 WHEN c_acctbal < 3000 THEN 0 END AS y, c_acctbal FROM customer),
 cell AS (SELECT c_nationkey, c_mktsegment, count(*) FILTER (y = 1) AS t, count(*) FILTER (y = 0) AS c FROM g GROUP BY ALL HAVING count(*) FILTER (y = 1) > 0 AND count(*) FILTER (y = 0) > 0),

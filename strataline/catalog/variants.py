@@ -40,6 +40,22 @@ def presence_matrix(t):
     return reshape.presence_matrix(presence(t), "id", "dementia", "Coordinate", TYPES)
 
 
+@query("R5 A7", f"""WITH {PRESENCE_SQL.format(item='p_type')}, lv AS (SELECT c, row_number() OVER (ORDER BY c) AS level FROM (SELECT DISTINCT c FROM pres))
+SELECT id, dementia, coalesce(string_agg(CASE WHEN present = 1 THEN level END, ',' ORDER BY level), '') AS levels, sum(present)::INTEGER AS n_variant FROM pres JOIN lv USING (c) GROUP BY ALL""")
+def presence_sparse(t):
+    """Levels found in the data, rows that list the present ones."""
+    long = presence(t)
+    rows = reshape.presence_sparse(long, "id", "dementia", "Coordinate", reshape.presence_levels(long, "Coordinate"))
+    return rows.withColumn("levels", F.array_join("levels", ","))
+
+
+@query("R5 A7", f"""WITH {PRESENCE_SQL.format(item='p_type')} SELECT id, dementia, max(CASE WHEN c = 'ECONOMY' THEN present ELSE 0 END) AS coordinate_ECONOMY,
+ max(CASE WHEN c = 'PROMO' THEN present ELSE 0 END) AS coordinate_PROMO, sum(present)::INTEGER AS n_variant FROM pres GROUP BY ALL""")
+def presence_of_two(t):
+    """Two coordinates shown, the burden over all of them."""
+    return reshape.presence_matrix(presence(t), "id", "dementia", "Coordinate", ["ECONOMY", "PROMO"])
+
+
 @query("V6 A7", f"WITH {PRESENCE_SQL.format(item='p_type')}, b AS (SELECT id, sum(present)::BIGINT AS n_variant FROM pres GROUP BY id) SELECT n_variant, count(*) AS n FROM b GROUP BY ALL")
 def burden_distribution(t):
     from ..operators.charts import burden_distribution as table

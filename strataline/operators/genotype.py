@@ -138,6 +138,22 @@ def item_sets(presence: DataFrame, subject: str, item: str, frequent_above: int
         F.sort_array(F.collect_list(F.when(F.col("__keep"), F.col("__item")))).alias("items"))
 
 
+def _marked(sets: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Items as they stand in the text of a set: an underscore or backslash inside an item gets a backslash in front."""
+    return sets.select(*keep, "size", F.transform("items", lambda x: F.regexp_replace(x, r"([_\\])", r"\\$1")).alias("items"))
+
+
+def _exact(base: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The whole set of subjects that have one or two items."""
+    exact = base.filter(F.col("size").isin(1, 2) & (F.size("items") == F.col("size")))
+    return exact.select(*keep, F.col("size").cast("int").alias("k"), F.array_join("items", "_").alias("item_set"))
+
+
+def _after(p: str) -> Column:
+    """The items behind place ``p``."""
+    return F.slice("items", F.col(p) + 2, F.greatest(F.size("items") - F.col(p) - 1, F.lit(0)))
+
+
 def combinations(sets: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Item sets of size 3, 2 and 1 from rows ``(keep…, size, items)``.
 
@@ -145,18 +161,49 @@ def combinations(sets: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     Items are taken one level at a time, so no row ever holds all triples of a subject. The text of a set joins
     its items with "_"; an underscore or backslash inside an item gets a backslash in front, so no two sets share a text.
     """
-    marked = F.transform("items", lambda x: F.regexp_replace(x, r"([_\\])", r"\\$1"))
-    base = sets.select(*keep, "size", marked.alias("items"))
-    name = lambda *cs: F.concat_ws("_", *cs)
-    rest = lambda p: F.slice("items", F.col(p) + 2, F.greatest(F.size("items") - F.col(p) - 1, F.lit(0)))
+    base = _marked(sets, keep)
     first = base.filter(F.size("items") >= 3).select(*keep, "items", F.posexplode("items").alias("p", "a"))
-    first = first.select(*keep, "a", rest("p").alias("items")).filter(F.size("items") >= 2)
+    first = first.select(*keep, "a", _after("p").alias("items")).filter(F.size("items") >= 2)
     second = first.select(*keep, "a", "items", F.posexplode("items").alias("p", "b"))
-    second = second.select(*keep, "a", "b", rest("p").alias("items")).filter(F.size("items") >= 1)
+    second = second.select(*keep, "a", "b", _after("p").alias("items")).filter(F.size("items") >= 1)
     triples = second.select(*keep, "a", "b", F.explode("items").alias("c"))
-    three = triples.select(*keep, F.lit(3).alias("k"), name("a", "b", "c").alias("item_set"))
-    exact = base.filter(F.col("size").isin(1, 2) & (F.size("items") == F.col("size")))
-    return three.unionByName(exact.select(*keep, F.col("size").cast("int").alias("k"), F.array_join("items", "_").alias("item_set")))
+    three = triples.select(*keep, F.lit(3).alias("k"), F.concat_ws("_", "a", "b", "c").alias("item_set"))
+    return three.unionByName(_exact(base, keep))
+
+
+def supported_pairs(patterns: DataFrame, threshold: int) -> DataFrame:
+    """Adjacency lists of the pairs that more than ``threshold`` subjects with three items or more have: ``(item, later)``.
+
+    ``patterns``: rows ``(size, items, n)``. Subjects with two items are left out, since a triple gains nothing from them. A list is at
+    most as long as there are frequent items."""
+    base = _marked(patterns, ["n"]).filter(F.size("items") >= 3)
+    first = base.select("n", "items", F.posexplode("items").alias("p", "item")).select("n", "item", F.explode(_after("p")).alias("other"))
+    pairs = first.groupBy("item", "other").agg(F.sum("n").alias("n")).filter(F.col("n") > threshold)
+    return pairs.groupBy("item").agg(F.sort_array(F.collect_list("other")).alias("later"))
+
+
+def candidate_triples(sets: DataFrame, pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Triples ``(keep…, a, b, c)`` all of whose pairs are in the adjacency lists ``pairs``; no other triple is formed."""
+    base = _marked(sets, keep).filter(F.size("items") >= 3)
+
+    def meet(rows: DataFrame, item: str) -> DataFrame:
+        # the computed key gives both sides an exchange of their own, so an item that a third of the subjects have can be split
+        lists = pairs.select(F.col("item").alias("__item"), "later", F.xxhash64("item").alias("__list"))
+        rows = rows.withColumn("__key", F.xxhash64(item))
+        joined = rows.join(lists, (F.col("__key") == F.col("__list")) & (F.col(item) == F.col("__item")))
+        return joined.withColumn("items", F.array_intersect("items", "later")).drop("__item", "later", "__list", "__key")
+
+    first = base.select(*keep, "items", F.posexplode("items").alias("p", "a")).select(*keep, "a", _after("p").alias("items"))
+    first = meet(first.filter(F.size("items") >= 2), "a").filter(F.size("items") >= 2)  # kept in order: b before c
+    second = first.select(*keep, "a", "items", F.posexplode("items").alias("p", "b")).select(*keep, "a", "b", _after("p").alias("items"))
+    second = meet(second.filter(F.size("items") >= 1), "b")
+    return second.select(*keep, "a", "b", F.explode("items").alias("c"))
+
+
+def _supported(sets: DataFrame, pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``combinations`` without the triples that have a pair below the threshold."""
+    three = candidate_triples(sets, pairs, keep).select(*keep, F.lit(3).alias("k"), F.concat_ws("_", "a", "b", "c").alias("item_set"))
+    return three.unionByName(_exact(_marked(sets, keep), keep))
 
 
 def subject_combinations(presence: DataFrame, subject: str, item: str, threshold: int = 0) -> DataFrame:
@@ -164,9 +211,10 @@ def subject_combinations(presence: DataFrame, subject: str, item: str, threshold
     sets = item_sets(presence, subject, item, threshold)
     if not threshold:
         return combinations(sets, [subject])
-    sets = materialise(sets)  # read twice: for the support and for the rows
-    kept = _support(sets, threshold).select(F.xxhash64("item_set").alias("__key"), F.col("item_set").alias("__set"))
-    rows = combinations(sets, [subject]).withColumn("__key", F.xxhash64("item_set"))
+    sets = materialise(sets)  # read again for the pairs, the support and the rows
+    patterns, pairs = _patterns(sets, threshold)
+    kept = _support(patterns, pairs, threshold).select(F.xxhash64("item_set").alias("__key"), F.col("item_set").alias("__set"))
+    rows = _supported(sets, pairs, [subject]).withColumn("__key", F.xxhash64("item_set"))
     # the computed key gives both sides an exchange of their own, so a very common set can be split at run time
     return rows.join(kept, (rows["__key"] == kept["__key"]) & (rows["item_set"] == kept["__set"]), "left_semi").drop("__key")
 
@@ -174,15 +222,23 @@ def subject_combinations(presence: DataFrame, subject: str, item: str, threshold
 def combination_support(presence: DataFrame, subject: str, item: str, threshold: int = 0) -> DataFrame:
     """Number of subjects per item set, above the threshold.
 
-    Equal sets are counted once with their weight. A triple needs more support than the threshold in
-    each of its items, so rarer items are left out before triples are formed.
+    Equal sets are counted once with their weight. A triple needs more support than the threshold in each of its items and
+    in each of its pairs, so rarer items go first, pairs are counted next, and triples are formed from supported pairs alone.
     """
-    return _support(item_sets(presence, subject, item, threshold), threshold)
+    return _support(*_patterns(item_sets(presence, subject, item, threshold), threshold), threshold)
 
 
-def _support(sets: DataFrame, threshold: int) -> DataFrame:
+def _patterns(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+    """Different item sets with their number of subjects, and the supported pairs (none without a threshold)."""
     patterns = sets.groupBy("size", "items").agg(F.count(F.lit(1)).alias("n"))
-    spread = combinations(patterns, ["n"])
+    if not threshold:
+        return patterns, None
+    patterns = materialise(patterns)  # read for the pairs and for the triples
+    return patterns, materialise(supported_pairs(patterns, threshold))
+
+
+def _support(patterns: DataFrame, pairs: DataFrame | None, threshold: int) -> DataFrame:
+    spread = combinations(patterns, ["n"]) if pairs is None else _supported(patterns, pairs, ["n"])
     return spread.groupBy("k", "item_set").agg(F.sum("n").cast("bigint").alias("support")).filter(
         F.col("support") > threshold)
 

@@ -19,14 +19,15 @@ from .skew import attach
 COMPARE = ["n_x", "n_y", "mean_x", "mean_y", "sd_x", "sd_y"]
 
 
-def _moments(value: str, test: Column, weight: str | None) -> tuple[Column, Column, Column]:
-    """Count, mean and sample variance of the rows that pass the test."""
+def _moments(value: str, test: Column, weight: str | None, within: str | None = None) -> tuple[Column, Column, Column]:
+    """Count, mean and sample variance of the rows that pass the test. A weighted row stands for ``weight`` values around
+    ``value``; ``within`` is their sum of squares (0 if they are all alike)."""
     v = F.when(test, F.col(value).cast("double"))
     if weight is None:
         return F.count(v), F.avg(v), F.var_samp(v)
     w = F.when(test & F.col(value).isNotNull(), F.col(weight))
     d = v - F.col("__centre")
-    n, s, q = F.coalesce(F.sum(w), F.lit(0)), F.sum(w * d), F.sum(w * d * d)
+    n, s, q = F.coalesce(F.sum(w), F.lit(0)), F.sum(w * d), F.sum(w * d * d + (F.col(within) if within else F.lit(0.0)))
     shift = F.try_divide(s, n)
     centre = F.max(F.when(test, F.col("__centre")))
     return n, centre + shift, F.try_divide(F.greatest(q - s * shift, F.lit(0.0)), F.when(n > 1, n - 1))
@@ -44,9 +45,9 @@ def _centred(df: DataFrame, value: str, keys: Sequence[str], weight: str | None)
 
 
 def two_group_moments(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (),
-                      weight: str | None = None) -> DataFrame:
-    nx, mx, vx = _moments(value, F.col(group) == x, weight)
-    ny, my, vy = _moments(value, F.col(group) == y, weight)
+                      weight: str | None = None, within: str | None = None) -> DataFrame:
+    nx, mx, vx = _moments(value, F.col(group) == x, weight, within)
+    ny, my, vy = _moments(value, F.col(group) == y, weight, within)
     return _centred(df, value, [*by, group], weight).groupBy(*by).agg(
         nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"), mx.alias("mean_x"), my.alias("mean_y"),
         vx.alias("__vx"), vy.alias("__vy"))
@@ -69,12 +70,19 @@ def _t_columns(m: DataFrame, pooled: Column) -> DataFrame:
 
 
 def t_test(df: DataFrame, value: str, group: str, x, y, by: Sequence[str] = (), weight: str | None = None,
-           var_equal: bool = False) -> DataFrame:
-    """Two-sample t-test of group ``x`` against ``y`` (Welch unless ``var_equal``)."""
-    m = two_group_moments(df, value, group, x, y, by, weight)
+           var_equal: bool = False, within: str | None = None) -> DataFrame:
+    """Two-sample t-test of group ``x`` against ``y`` (Welch unless ``var_equal``). With ``weight`` and ``within`` the rows are
+    moments: count, mean (``value``) and sum of squares around it, which merge without cancelling."""
+    m = two_group_moments(df, value, group, x, y, by, weight, within)
     return _t_columns(m, F.lit(var_equal)).select(*by, *COMPARE, "statistic", "df", "p_value")
 
 
+def moment_state(value: str) -> Column:
+    """Aggregate: count, mean and sum of squares around it of the known values, to be merged by ``t_test``."""
+    v = F.col(value).cast("double")
+    return F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("within"))
+
+
 def _anova_from_groups(groups: DataFrame, by: Sequence[str], within: Column) -> DataFrame:
     """ANOVA row per key from group rows ``(by…, __n, __mean, …)``; ``within`` is a group's sum of squares."""
     grand = (F.sum(F.col("__n") * F.col("__mean")) / F.sum("__n")).alias("__grand")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .ordered import ordered_scan
 from .ordering import top
 from .sampling import split
 from .skew import attach, own_exchange
@@ -102,10 +103,38 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
 
     ``features`` is an array column; with ``sets`` it holds the sorted items of a 0/1 vector, so keys and blocks stay as
     small as the rows are, however many items there are in all. Equal vectors are handled once: of training rows with the same
-    vector only the k smallest ids can ever be chosen, and validation rows with the same vector share
-    their answer. Both sides are cut into blocks of bounded size; every pair of blocks is one task
-    that hands on only its k best rows per vector, so neither side is ever held whole.
+    vector only the k smallest ids can ever be chosen, and validation rows with the same vector share their answer.
+
+    Both sides are cut into blocks of bounded size in the order of their length (set size, or distance from the origin), which
+    bounds distances from below. Every block of validation vectors is compared with its nearest training block first; the
+    k-th distances found there tell which other blocks can still hold a nearer row, and only these are opened. A pair of
+    blocks is one task that hands on its k best rows per vector, so neither side is ever held whole.
     """
+    return _search(train, validation, subject, features, label, k, block_rows, sets)[0]
+
+
+def opened_blocks(train: DataFrame, validation: DataFrame, subject: str, features: str, label: str, k: int = 5,
+                  block_rows: int = BLOCK_ROWS, sets: bool = False) -> DataFrame:
+    """The work of ``nearest_neighbours``: pairs of blocks in all and those that are compared, ``(pairs, opened)``."""
+    pairs = _search(train, validation, subject, features, label, k, block_rows, sets)[1]
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("open").alias("opened"))
+
+
+def _length(sets: bool) -> Column:
+    """Set size or distance from the origin of ``__x``: lengths differ by no more than what lies between two vectors."""
+    if sets:
+        return F.size("__x").cast("double")
+    square = F.aggregate("__x", F.lit(0.0), lambda total, v: total + v * v)
+    return F.coalesce(F.nanvl(F.sqrt(square), F.lit(0.0)), F.lit(0.0))  # rows with NaN are opened by the NaN in their distances
+
+
+def _in_blocks(df: DataFrame, order: str, block_rows: int, name: str) -> DataFrame:
+    numbered = ordered_scan(df, [], ["__length", order], row_number="__number")
+    return materialise(numbered.withColumn(name, F.floor((F.col("__number") - 1) / block_rows).cast("int")).drop("__number"))
+
+
+def _search(train: DataFrame, validation: DataFrame, subject: str, features: str, label: str, k: int, block_rows: int,
+            sets: bool) -> tuple[DataFrame, DataFrame]:
     kind = train.schema[features].dataType.simpleString() if sets else "array<double>"
     x = F.col(features).cast(kind).alias("__x")
     id_kind = train.schema[subject].dataType.simpleString()
@@ -115,13 +144,8 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
     known = materialise(known.withColumn("__r", F.row_number().over(same)).filter(F.col("__r") <= k).drop("__r"))
     wanted = validation.select(subject, x)
     asked = materialise(wanted.groupBy("__x").agg(F.count(F.lit(1)).alias("__rows")))
-
     known_blocks = max(1, -(-known.count() // block_rows))
     asked_blocks = max(1, -(-asked.count() // block_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = asked.select("__x", block("__x", asked_blocks).alias("__v")).withColumn("__t", every(known_blocks))
-    right = known.withColumn("__t", block("__id", known_blocks)).withColumn("__v", every(asked_blocks))
 
     def best(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -129,7 +153,7 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
             block = block.sort_values("__id", kind="stable")
             b = None if sets else np.stack(block["__x"].to_numpy())
             ids, labels = block["__id"].to_numpy(), block["__label"].to_numpy()
-            vectors = queries["__x"].to_numpy()
+            vectors, asked_in = queries["__x"].to_numpy(), queries["__v"].to_numpy()
             for start in range(0, len(vectors), CHUNK_ROWS):
                 if sets:
                     distance = _set_distances(list(vectors[start:start + CHUNK_ROWS]), block["__x"])
@@ -141,22 +165,51 @@ def nearest_neighbours(train: DataFrame, validation: DataFrame, subject: str, fe
                 order = np.argsort(distance, axis=1, kind="stable")[:, :k]
                 parts.append(pd.DataFrame({
                     "__x": np.repeat(vectors[start:start + CHUNK_ROWS], order.shape[1]),
+                    "__v": np.repeat(asked_in[start:start + CHUNK_ROWS], order.shape[1]),
                     "__id": ids[order].ravel(), "__label": labels[order].ravel(),
                     "__distance": np.take_along_axis(distance, order, 1).ravel()}))
-        columns = ["__x", "__id", "__label", "__distance"]
+        columns = ["__x", "__v", "__id", "__label", "__distance"]
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
 
-    found = left.groupBy("__v", "__t").cogroup(right.groupBy("__v", "__t")).applyInPandas(
-        best, f"__x {kind}, __id {id_kind}, __label int, __distance double")
-    # at most k rows per vector and block of training rows
+    def compare(pairs: DataFrame) -> DataFrame:
+        left = asked.join(pairs.select("__v", "__t"), "__v").select("__x", "__v", "__t")
+        right = known.join(pairs.select("__v", "__t"), "__t").select("__id", "__x", "__label", "__v", "__t")
+        return left.groupBy("__v", "__t").cogroup(right.groupBy("__v", "__t")).applyInPandas(
+            best, f"__x {kind}, __v int, __id {id_kind}, __label int, __distance double")
+
+    if known_blocks == 1:  # nothing to leave out
+        asked = asked.withColumn("__v", F.pmod(F.xxhash64("__x"), F.lit(asked_blocks)).cast("int"))
+        known = known.withColumn("__t", F.lit(0))
+        pairs = train.sparkSession.range(asked_blocks).select(F.col("id").cast("int").alias("__v"), F.lit(0).alias("__t"), F.lit(True).alias("open"))
+        found = compare(pairs)
+    else:
+        known = _in_blocks(known.withColumn("__length", _length(sets)), "__id", block_rows, "__t")
+        asked = _in_blocks(asked.withColumn("__length", _length(sets)), "__x", block_rows, "__v")
+        ends = lambda d, b, p: d.groupBy(b).agg(F.min("__length").alias(f"{p}_low"), F.max("__length").alias(f"{p}_high"))
+        # block pairs, not rows: (rows / block_rows) on either side
+        pairs = ends(asked, "__v", "v").withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1))))
+        pairs = pairs.join(ends(known, "__t", "t"), "__t")
+        slack = 1e-9 * F.greatest("v_high", "t_high")  # lengths are rounded
+        gap = F.greatest(F.col("t_low") - F.col("v_high") - slack, F.col("v_low") - F.col("t_high") - slack, F.lit(0.0))
+        middle = F.abs(F.col("t_low") + F.col("t_high") - F.col("v_low") - F.col("v_high"))
+        pairs = pairs.select("__v", "__t", (gap if sets else gap * gap).alias("least"), middle.alias("middle"))
+        home = pairs.groupBy("__v").agg(F.min(F.struct("least", "middle", "__t")).alias("first"))
+        pairs = materialise(pairs.join(home, "__v").withColumn("home", F.col("__t") == F.col("first.__t")).drop("first", "middle"))
+        near = materialise(compare(pairs.filter("home")))
+        # a block is needed up to the largest k-th distance of its vectors; without k rows every block is
+        reach = near.groupBy("__v", "__x").agg(F.when(F.count(F.lit(1)) == k, F.max("__distance")).otherwise(F.lit(float("inf"))).alias("kth"))
+        reach = reach.groupBy("__v").agg(F.max("kth").alias("reach"))
+        pairs = materialise(pairs.join(reach, "__v").select("__v", "__t", "home", (F.col("home") | (F.col("least") <= F.col("reach"))).alias("open")))
+        found = near.unionByName(compare(pairs.filter("open AND NOT home")))
+    # at most k rows per vector and opened block of training rows
     w = Window.partitionBy("__x").orderBy("__distance", "__id")
     nearest = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     answers = nearest.groupBy("__x").agg(F.collect_list(F.struct(
         "rank", F.col("__id").alias("neighbour"), F.col("__distance").alias("distance"),
         F.col("__label").alias("neighbour_label"))).alias("__nearest"))  # k entries
-    answers = answers.join(asked, "__x")
+    answers = answers.join(asked.select("__x", "__rows"), "__x")
     rows = attach(wanted, answers, ["__x"], "__rows", how="inner", keep_size=False)
-    return rows.select(subject, F.explode("__nearest").alias("__n")).select(subject, "__n.*")
+    return rows.select(subject, F.explode("__nearest").alias("__n")).select(subject, "__n.*"), pairs
 
 
 def knn_vote(neighbours: DataFrame, subject: str) -> DataFrame:

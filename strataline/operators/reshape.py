@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import rename_matching
+from .ordered import ordered_scan
 
 
 def unpack(df: DataFrame, names: Sequence[str], separator: str = "\n", mismatch: str | None = None) -> DataFrame:
@@ -94,16 +95,36 @@ def burden(presence: DataFrame, subject: str, outcome: str, name: str = "n_varia
     return presence.groupBy(subject, outcome).agg(F.sum("present").cast("bigint").alias(name))
 
 
+def presence_levels(presence: DataFrame, coordinate: str) -> DataFrame:
+    """The coordinates that occur, numbered from 1 in their order: ``(level, coordinate)``. A missing coordinate has no level."""
+    return ordered_scan(presence.filter(F.col(coordinate).isNotNull()).select(coordinate).distinct(), [], [coordinate], row_number="level")
+
+
+def presence_sparse(presence: DataFrame, subject: str, outcome: str, coordinate: str, levels: DataFrame) -> DataFrame:
+    """The matrix as one row per subject: numbers of the present levels in order and their count, zeros kept.
+
+    Nothing is listed beforehand: a coordinate that appears for the first time gets a level and is counted."""
+    numbered = levels.select(F.col(coordinate).alias("__level_of"), F.col("level"), F.xxhash64(coordinate).alias("__level_key"))
+    present = presence.filter(F.col("present") == 1).withColumn("__key", F.xxhash64(coordinate))
+    # the computed key gives both sides an exchange of their own, so a very common coordinate can be split
+    hits = present.join(numbered, (F.col("__key") == F.col("__level_key")) & (F.col(coordinate) == F.col("__level_of")))
+    rows = hits.select(subject, outcome, "level").unionByName(presence.select(subject, outcome, F.lit(None).cast("bigint").alias("level")))
+    return rows.groupBy(subject, outcome).agg(F.sort_array(F.collect_set("level")).alias("levels")).withColumn("n_variant", F.size("levels"))
+
+
 def presence_matrix(presence: DataFrame, subject: str, outcome: str, coordinate: str, levels: Sequence,
                     prefix: str = "coordinate_", missing: int | None = 0) -> DataFrame:
-    """Display form: one 0/1 column per listed coordinate plus the burden over them.
-
-    With ``missing=None`` an absent cell stays NULL and so does the burden of that row.
+    """Display form: one 0/1 column per listed coordinate, plus the burden over all coordinates, listed or not
+    (``presence_sparse`` needs no list). With ``missing=None`` an absent cell of a listed coordinate stays NULL and so does
+    the burden of that row.
     """
     cells = [F.max(F.when(F.col(coordinate) == v, F.col("present"))) for v in levels]
     cells = [c if missing is None else F.coalesce(c, F.lit(missing)) for c in cells]
-    wide = presence.groupBy(subject, outcome).agg(*[c.alias(f"{prefix}{v}") for c, v in zip(cells, levels)])
-    return wide.withColumn("n_variant", reduce(lambda a, b: a + b, [F.col(f"`{prefix}{v}`") for v in levels]))
+    listed = F.coalesce(F.col(coordinate).isin(list(levels)), F.lit(False))
+    other = F.coalesce(F.sum(F.when(~listed, F.col("present"))), F.lit(0)).cast("int")
+    wide = presence.groupBy(subject, outcome).agg(*[c.alias(f"{prefix}{v}") for c, v in zip(cells, levels)], other.alias("__other"))
+    total = reduce(lambda a, b: a + b, [F.col(f"`{prefix}{v}`") for v in levels], F.col("__other"))
+    return wide.withColumn("n_variant", total).drop("__other")
 
 
 def row_sum(df: DataFrame, names: Sequence[str], name: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coding import delay_bin
 from ..functions.dates import days_between, lenient_date
+from ..operators import means
 from ..operators.agreement import kappa
 from ..operators.joins import pair_methods
 from ..operators.longitudinal import baseline, number_records
@@ -64,28 +65,49 @@ def strata_battery(df: DataFrame, conditions: Sequence[str], continuous: Sequenc
                    outcome: str, stratum: str, overall: str = "All genders", visits: DataFrame | None = None) -> DataFrame:
     """Every condition within outcome, and within outcome and stratum: ``(condition, outcome, stratum, variable, …)``.
 
-    Each row is repeated for its stratum and for the overall one, and for every condition, then all
-    tests run as one grouped job. ``visits`` adds baseline values and yearly changes (overall only).
+    Rows are aggregated once, over the cells of outcome, stratum, all conditions and all discrete variables: counts and moments
+    (count, mean, sum of squares). Only cells are repeated for their stratum and the overall one and for every condition, and
+    their moments merged. ``visits`` adds baseline values and yearly changes (overall only).
     """
+    flags = [f"__f{i}" for i in range(len(conditions))]
+    marked = [F.col(c).cast("int").alias(f) for f, c in zip(flags, conditions)]
+
     def spread(d: DataFrame, both: bool) -> DataFrame:
-        marks = [F.lit(overall)] + ([F.col(stratum).cast("string")] if both else [])
-        flags = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(c).cast("int").alias("set")) for c in conditions])
+        marks = [F.lit(overall)] + ([F.col("__stratum")] if both else [])
+        each = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f).alias("set")) for f, c in zip(flags, conditions)])
         return d.withColumn("__s", F.explode(F.array(*marks))).filter(F.col("__s").isNotNull()).withColumn(
-            "__f", F.explode(flags)).withColumns({"condition": F.col("__f.condition"), "__c": F.col("__f.set")})
+            "__f", F.explode(each)).withColumns({"condition": F.col("__f.condition"), "__c": F.col("__f.set")})
     by = ["condition", outcome, "__s"]
     keys = [*by, "variable"]
-    people = spread(df, True)
-    numbers = to_long(people.select(*by, "__c", *[F.col(c).cast("double").alias(c) for c in continuous]), [*by, "__c"], continuous)
+
+    def moments(cells: DataFrame, names: Sequence[tuple[Column, str]]) -> DataFrame:
+        """One row per cell and variable; ``names`` holds the variable and the column of its moments."""
+        states = F.array(*[F.struct(v.alias("variable"), F.col(m).alias("of")) for v, m in names])
+        return cells.select(*by, "__c", F.explode(states).alias("__m")).select(
+            *by, "__c", "__m.variable", F.col("__m.of.mean").alias("value"), F.col("__m.of.n").alias("__n"), F.col("__m.of.within").alias("__within"))
+
+    levels = [F.col(c).cast("string").alias(f"__v{i}") for i, c in enumerate(discrete)]
+    people = df.groupBy(F.col(outcome), F.col(stratum).cast("string").alias("__stratum"), *marked, *levels).agg(
+        F.count(F.lit(1)).alias("__rows"), *[means.moment_state(c).alias(f"__m{i}") for i, c in enumerate(continuous)])
+    people = spread(materialise(people), True)  # read for the moments and for the counts
+    parts = [moments(people, [(F.lit(c), f"__m{i}") for i, c in enumerate(continuous)])] if continuous else []
     if visits is not None:
-        seen = spread(visits, False)
-        first = baseline(seen).select(*by, "__c", F.col("measurement").alias("variable"), F.col("measurement_value").alias("value"))
-        change = seen.select(*by, "__c", F.concat(F.lit("change in "), F.col("measurement")).alias("variable"),
-                             F.col("delta_per_year").alias("value"))
-        numbers = stack(numbers, first, change)
-    levels = people.select(*by, "__c", *[F.col(c).cast("string").alias(f"__v_{c}") for c in discrete])
-    levels = to_long(levels, [*by, "__c"], [f"__v_{c}" for c in discrete]).withColumn(
-        "variable", F.regexp_replace("variable", "^__v_", ""))
-    out = _tests(t_test(numbers, "value", "__c", 1, 0, keys), chi_squared(levels, "__c", "value", keys), keys)
+        first = F.when((F.col("rank") == 1) | F.col("rank").isNull(), F.col("measurement_value"))
+        seen = visits.select(outcome, *marked, "measurement", first.alias("__first"), "delta_per_year",
+                             F.coalesce(F.col("rank") == 1, F.lit(True)).alias("__is_first"))
+        seen = seen.groupBy(outcome, *flags, "measurement").agg(
+            means.moment_state("__first").alias("__base"), means.moment_state("delta_per_year").alias("__change"), F.max("__is_first").alias("__any"))
+        seen = spread(materialise(seen), False)
+        parts.append(moments(seen.filter("__any"), [(F.col("measurement"), "__base")]))
+        parts.append(moments(seen, [(F.concat(F.lit("change in "), F.col("measurement")), "__change")]))
+    counts = people.select(*by, "__c", "__rows", F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"__v{i}").alias("value")) for i, c in enumerate(discrete)]))
+                           .alias("__l")).select(*by, "__c", "__rows", "__l.*") if discrete else None
+    if counts is None:
+        counts = people.select(*by, "__c", "__rows", F.lit("").alias("variable"), F.lit("").alias("value")).limit(0)
+    if not parts:
+        parts = [people.select(*by, "__c", F.lit("").alias("variable"), F.lit(0.0).alias("value"), F.col("__rows").alias("__n"), F.lit(0.0).alias("__within")).limit(0)]
+    out = _tests(means.t_test(stack(*parts), "value", "__c", 1, 0, keys, weight="__n", within="__within"),
+                 chi_squared(counts, "__c", "value", keys, weight="__rows"), keys)
     return out.withColumnRenamed("__s", stratum)
 
 

@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.operators import accuracy, charts, columns, genotype, joins, matching, means, models, normality, ordering, regression, reshape, sampling, tables
+from strataline.operators import accuracy, charts, columns, genotype, joins, linkage, matching, means, models, normality, ordering, regression, reshape, sampling, tables
 from strataline.plans.genotype_flow import combination_vectors
 from strataline.sources import manifest
 
@@ -127,6 +127,68 @@ def test_combinations_like_brute_force(spark, threshold):
     assert per_subject == expected
 
 
+def test_triples_are_formed_of_supported_pairs_only(spark):
+    # a_ and b meet often, c with either of them never more than twice together
+    sets = [["a_", "b", "x"]] * 3 + [["a_", "b", "c"]] * 2 + [["b", "c", "y"]] * 2 + [["a_", "c"]] * 9 + [["c", "x", "y"], ["a_", "b", "c", "x", "y"]]
+    patterns = spark.createDataFrame([(len(s), s, 1) for s in sets], "size bigint, items array<string>, n bigint")
+    pairs = genotype.supported_pairs(patterns, 3)
+    count = Counter(p for s in sets if len(s) > 2 for p in itertools.combinations([x.replace("_", "\\_") for x in s], 2))
+    assert {(r["item"], o) for r in rows(pairs) for o in r["later"]} == {p for p, n in count.items() if n > 3}
+    formed = [(r["a"], r["b"], r["c"]) for r in rows(genotype.candidate_triples(patterns, pairs))]
+    wanted = [t for s in sets for t in itertools.combinations([x.replace("_", "\\_") for x in s], 3) if all(count[p] > 3 for p in itertools.combinations(t, 2))]
+    assert sorted(formed) == sorted(wanted)
+    assert 0 < len(formed) < sum(1 for s in sets for _ in itertools.combinations(s, 3))
+    assert genotype.candidate_triples(patterns.limit(0), pairs).count() == 0
+
+
+def test_presence_counts_levels_that_nobody_listed(spark):
+    calls = [(i, i % 2, f"T{k}", int((i + k) % 3 > 0)) for i in range(9) for k in range(7)] + [(9, 1, None, 1), (10, 0, "T0", 0)]
+    presence = spark.createDataFrame(calls, "id int, y int, c string, present int")
+    burden = Counter()
+    for i, _, _, p in calls:
+        burden[i] += p
+    wide = {r["id"]: r for r in rows(reshape.presence_matrix(presence, "id", "y", "c", [f"T{k}" for k in range(6)]))}
+    assert {i: r["n_variant"] for i, r in wide.items()} == burden and "coordinate_T6" not in wide[0]
+    levels = reshape.presence_levels(presence, "c")
+    assert sorted((r["level"], r["c"]) for r in rows(levels)) == [(k + 1, f"T{k}") for k in range(7)]
+    sparse = {r["id"]: r["levels"] for r in rows(reshape.presence_sparse(presence, "id", "y", "c", levels))}
+    assert sparse == {**{i: [k + 1 for k in range(7) if (i + k) % 3 > 0] for i in range(9)}, 9: [], 10: []}
+
+
+def test_blocks_out_of_reach_stay_closed(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((60, 2)) + 10 * g for g in range(5)])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], [f"i{j}" for j in range(i % 50)], 0) for i in range(300)], "id int, f array<double>, s array<string>, y int")
+    train, asked = df.filter("id % 3 > 0"), df.filter("id % 3 = 0")
+    for feature, sets in (("f", False), ("s", True)):
+        work = rows(models.opened_blocks(train, asked, "id", feature, "y", 4, 20, sets))[0]
+        assert work["pairs"] > 15 and work["opened"] < 0.6 * work["pairs"]
+        got = {}
+        for r in rows(models.nearest_neighbours(train, asked, "id", feature, "y", 4, 20, sets)):
+            got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+        for i in range(0, 300, 3):
+            d = sorted(((float(((x[i] - x[j]) ** 2).sum()) if not sets else abs(i % 50 - j % 50)), j) for j in range(300) if j % 3)[:4]
+            assert [n for _, n in sorted(got[i])] == [j for _, j in d]
+
+
+def test_people_behind_several_keys(spark, small_groups):
+    rng = random.Random(3)
+    data = [(str(i), rng.choice([None, *range(40)]), rng.choice([None, *range(40)]), "all" if 80 <= i < 100 else None) for i in range(1, 100)]
+    got = {r["key_id"]: r["person_id"] for r in rows(linkage.with_person(spark.createDataFrame(data, "key_id string, a int, b int, c string"), "key_id", ["a", "b", "c"]))}
+    root = {k: int(k) for k, *_ in data}
+    changed = True
+    while changed:
+        changed = False
+        for k, *x in data:
+            for j, *y in data:
+                if any(p is not None and p == q for p, q in zip(x, y)) and root[j] < root[k]:
+                    root[k], changed = root[j], True
+    assert got == root
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint")
+    assert {(r["node"], r["root"]) for r in rows(linkage.stars(chain))} == {(i, 0) for i in range(1, 41)}
+    assert linkage.stars(chain.limit(0)).count() == 0
+
+
 def test_combination_vectors_and_haplotype(spark):
     rows_ = [(f"P-{i}", 1, c, "A>G" if (i + j) % 3 else "normal") for i in range(30) for j, c in enumerate(["1", "2", "3", "4", "5"])]
     variants = spark.createDataFrame(rows_, "id string, dementia int, Coordinate string, Variant string")
