@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
@@ -33,12 +33,16 @@ def _moments(value: str, test: Column, weight: str | None, within: str | None =
     return n, centre + shift, F.try_divide(F.greatest(q - s * shift, F.lit(0.0)), F.when(n > 1, n - 1))
 
 
-def _centred(df: DataFrame, value: str, keys: Sequence[str], weight: str | None) -> DataFrame:
+def _centred(df: DataFrame, value: str, keys: Sequence[str], weight: str | None, moments: bool = False) -> DataFrame:
     """Weighted rows with the mean of their group in ``__centre``: sums of squares around it do not cancel when the mean is
-    large against the spread. One more small aggregate; plain rows do not need it."""
+    large against the spread. One more small aggregate; plain rows do not need it. Rows that are ``moments`` of cells are
+    as few as the cells, so a window does for them."""
     if weight is None:
         return df
     known = F.when(F.col(value).isNotNull(), F.col(weight))
+    if moments:
+        w = Window.partitionBy(*keys)
+        return df.withColumn("__centre", F.try_divide(F.sum(known * F.col(value)).over(w), F.sum(known).over(w)))
     means = df.groupBy(*keys).agg(F.try_divide(F.sum(known * F.col(value).cast("double")), F.sum(known)).alias("__centre"),
                                   F.count(F.lit(1)).alias("__rows"))
     return attach(df, means, keys, "__rows", keep_size=False)
@@ -48,7 +52,7 @@ def two_group_moments(df: DataFrame, value: str, group: str, x, y, by: Sequence[
                       weight: str | None = None, within: str | None = None) -> DataFrame:
     nx, mx, vx = _moments(value, F.col(group) == x, weight, within)
     ny, my, vy = _moments(value, F.col(group) == y, weight, within)
-    return _centred(df, value, [*by, group], weight).groupBy(*by).agg(
+    return _centred(df, value, [*by, group], weight, within is not None).groupBy(*by).agg(
         nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"), mx.alias("mean_x"), my.alias("mean_y"),
         vx.alias("__vx"), vy.alias("__vy"))
 

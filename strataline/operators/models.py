@@ -171,17 +171,19 @@ def _search(train: DataFrame, validation: DataFrame, subject: str, features: str
         columns = ["__x", "__v", "__id", "__label", "__distance"]
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        left = asked.join(pairs.select("__v", "__t"), "__v").select("__x", "__v", "__t")
-        right = known.join(pairs.select("__v", "__t"), "__t").select("__id", "__x", "__label", "__v", "__t")
+    def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.groupBy("__v", "__t").cogroup(right.groupBy("__v", "__t")).applyInPandas(
             best, f"__x {kind}, __v int, __id {id_kind}, __label int, __distance double")
 
+    def compare(pairs: DataFrame) -> DataFrame:
+        return blocks(asked.join(pairs.select("__v", "__t"), "__v").select("__x", "__v", "__t"),
+                      known.join(pairs.select("__v", "__t"), "__t").select("__id", "__x", "__label", "__v", "__t"))
+
     if known_blocks == 1:  # nothing to leave out
-        asked = asked.withColumn("__v", F.pmod(F.xxhash64("__x"), F.lit(asked_blocks)).cast("int"))
-        known = known.withColumn("__t", F.lit(0))
         pairs = train.sparkSession.range(asked_blocks).select(F.col("id").cast("int").alias("__v"), F.lit(0).alias("__t"), F.lit(True).alias("open"))
-        found = compare(pairs)
+        number = F.pmod(F.xxhash64("__x"), F.lit(asked_blocks)).cast("int")
+        found = blocks(asked.select("__x", number.alias("__v"), F.lit(0).alias("__t")),
+                       known.withColumns({"__t": F.lit(0), "__v": F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1)))}))
     else:
         known = _in_blocks(known.withColumn("__length", _length(sets)), "__id", block_rows, "__t")
         asked = _in_blocks(asked.withColumn("__length", _length(sets)), "__x", block_rows, "__v")
