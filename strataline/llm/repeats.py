@@ -6,9 +6,12 @@ documents; the earliest occurrence by (doc_id, place in the text) stays. Runs of
 ``min_words`` words or more; offsets of the original text are kept.
 
 Passages (``passages``): units say nothing about text that is shared inside a unit or that ends in the middle of one. Therefore windows of
-``GRAM`` words at every place are compared as well: where each window of a run of ``PASSAGE`` words or more has occurred earlier, the run
-goes, to the word. Every such run holds a sampled window (the least hash of each ``PASSAGE - GRAM + 1`` windows that follow each other), so
-only the windows around sampled ones that repeat are shuffled.
+``GRAM`` words are compared as well, and a run of ``PASSAGE`` words or more whose windows have all occurred earlier goes, to the word. Texts are
+cut into chunks at sampled windows, which their words alone choose: the least hash of each ``REACH`` windows that follow each other. A passage
+that two texts share has the same sampled windows in both, except near its ends. Where all places of a sampled window go on with the
+same chunk, the chunk repeats as a whole and one row says so; only beside sampled windows whose places go on differently are the windows
+looked at one by one. So every passage of ``PASSAGE`` words that occurs in an earlier place is found, and what goes has occurred
+earlier window by window.
 
 How it runs: a first pass counts 64-bit keys only; the units whose key occurs more than once then go, with 96 bits and their place but
 without text or offsets, through the exact grouping; they are written once. Offsets are found again where the text is cut. Counts
@@ -123,7 +126,9 @@ def _keys(batches: Iterable[pa.RecordBatch], passages: bool = False) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=_KEYS)
 
 
-_UNITS = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32())])
+#: ``n`` windows begin from ``place`` to the end of the chunk; ``before`` and ``behind`` are digests of the chunks beside a sampled window
+_UNITS = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32()), ("n", pa.int32()),
+                    ("before", pa.int64()), ("behind", pa.int64())])
 
 
 def _units(batches: Iterable[pa.RecordBatch], passages: bool = False) -> Iterator[pa.RecordBatch]:
@@ -132,31 +137,39 @@ def _units(batches: Iterable[pa.RecordBatch], passages: bool = False) -> Iterato
         for doc, tie, text in rows_of([b], "doc", "tie", "text"):
             for place, (_, _, words) in enumerate(units(text or "")):
                 said = " ".join(words).encode("utf-8", "surrogatepass")
-                for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(said)), xxhash.xxh32_intdigest(said, 7) - (1 << 31), doc, tie, place)):
-                    c.append(v)
+                _add(cols, _signed(xxhash.xxh3_64_intdigest(said)), xxhash.xxh32_intdigest(said, 7) - (1 << 31), doc, tie, place, 1, 0, 0)
             if passages:
                 every = windows(text or "")
-                _add(cols, every, sampled(every), doc, tie)
+                at = sampled(every).tolist()
+                # the first chunk begins with the text, the last one ends with it
+                ends = list(zip([0, *at], [*at, len(every) - 1]))
+                chunk = [_signed(xxhash.xxh3_64_intdigest(every[p:z + 1].tobytes())) for p, z in ends] if at else []
+                for k, p in enumerate(at):
+                    _add(cols, int(every[p:p + 1].view(np.int64)[0]), 0, doc, tie, WINDOW + p, ends[k + 1][1] - p + 1, chunk[k], chunk[k + 1])
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
 
 
-def _add(cols: list[list], every: np.ndarray, at: np.ndarray, doc: int, tie: int) -> None:
-    for c, v in zip(cols, (every[at].view(np.int64).tolist(), [0] * len(at), [doc] * len(at), [tie] * len(at), (at + WINDOW).tolist())):
-        c.extend(v)
+def _add(cols: list[list], *row: int) -> None:
+    for c, v in zip(cols, row):
+        c.append(v)
 
 
-def _around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows that can belong to a passage with one of the ``found`` sampled windows."""
+_PLACES = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("place", pa.int32())])
+
+
+def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that can belong to a passage with one of the ``found`` sampled windows, on the sides where its places differ."""
     for b in batches:
         for doc, tie, text, found in rows_of([b], "doc", "tie", "text", "found"):
-            cols: list[list] = [[] for _ in _UNITS]
             every = windows(text)
             near = np.zeros(len(every) + 1, np.int64)
-            at = np.array(found, np.int64) - WINDOW
-            np.add.at(near, np.maximum(at - REACH + 1, 0), 1)
-            np.add.at(near, np.minimum(at + REACH, len(every)), -1)
-            _add(cols, every, np.flatnonzero(np.cumsum(near)[:-1] > 0), doc, tie)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNITS)], schema=_UNITS)
+            for f in found:
+                at = f["place"] - WINDOW
+                near[at if f["same_before"] else max(at - REACH + 1, 0)] += 1
+                near[at + 1 if f["same_behind"] else min(at + REACH, len(every))] -= 1
+            at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+            cols = [every[at].view(np.int64), np.zeros(len(at), np.int32), np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), (at + WINDOW).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PLACES)], schema=_PLACES)
 
 
 def passage_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
@@ -169,11 +182,12 @@ def passage_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
     return [(words[a][0], words[z + GRAM - 1][1]) for a, z in runs]
 
 
-def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
-    """The text without the long enough runs of the units at ``places``, their spans in the original, and the number of units removed."""
-    if text is None or not places:
+def cut(text: str | None, found: list[dict] | None, min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
+    """The text without the long enough runs of units and windows among ``found`` (first ``place`` and number ``n``), their spans in
+    the original, and the number of units removed."""
+    if text is None or not found:
         return text, [], 0
-    spans, removed, run, repeated = [], 0, [], {k for k in places if k < WINDOW}
+    spans, removed, run, repeated = [], 0, [], {f["place"] for f in found if f["place"] < WINDOW}
     for k, u in enumerate([*units(text), None]):
         if u is not None and k in repeated:
             run.append(u)
@@ -182,7 +196,7 @@ def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str
                 spans.append((run[0][0], run[-1][1]))
                 removed += len(run)
             run = []
-    longer = passage_spans(text, [k - WINDOW for k in places if k >= WINDOW])
+    longer = passage_spans(text, [k for f in found if f["place"] >= WINDOW for k in range(f["place"] - WINDOW, f["place"] - WINDOW + f["n"])])
     if longer:
         joined: list[tuple[int, int]] = []
         for a, b in sorted([*spans, *longer]):
@@ -202,26 +216,43 @@ def cut(text: str | None, places: list[int] | None, min_words: int) -> tuple[str
     return "".join([*out, text[at:]]), spans, removed
 
 
-_UNITS_DDL = "a long, b int, doc long, tie long, place int"
+_PLACES_DDL = "a long, b int, doc long, tie long, place int"
+_UNITS_DDL = _PLACES_DDL + ", n int, before long, behind long"
 
 ship(__name__)
 
 
+def _with_first(rows: DataFrame, *figures) -> DataFrame:
+    """Rows with ``later`` (they are not the earliest of their digest) and further figures of the digest."""
+    rank = F.struct("doc", "tie", "place")
+    first = rows.groupBy("a", "b").agg(F.min(rank).alias("first"), *figures)
+    # the computed key gives both sides an exchange of their own, so a line on a third of all documents can be split
+    first = first.withColumnsRenamed({"a": "fa", "b": "fb"}).withColumn("key", F.xxhash64("fa", "fb"))
+    joined = rows.withColumn("key", F.xxhash64("a", "b")).join(first, "key").filter((F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")))
+    return joined.withColumn("later", rank != F.col("first"))
+
+
 def repeated_units(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """Units (and windows, numbered from WINDOW on) that are not the earliest occurrence of their digest: doc, tie, place."""
+    """Units (and ``n`` windows from ``place`` on, numbered from WINDOW) that are not the earliest occurrence of their digest: doc, tie, place, n."""
     # few distinct keys leave each batch; the counts combine again before the shuffle
     keys = docs.select("text").mapInArrow(lambda batches: _keys(batches, passages), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     again = keys.filter("n > 1").select(F.xxhash64("a").alias("key"))
     every = docs.select("doc", "tie", "text").mapInArrow(lambda batches: _units(batches, passages), _UNITS_DDL)
     many = materialise(every.withColumn("key", F.xxhash64("a")).join(again, "key", "left_semi").drop("key"))  # read twice below
-    if passages:
-        found = many.filter(F.col("place") >= WINDOW).groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_set("place").alias("found"))
-        texts = docs.join(found, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t"))).select("doc", "tie", "text", "found")
-        many = many.filter(F.col("place") < WINDOW).unionByName(materialise(texts.mapInArrow(_around, _UNITS_DDL)))
-    rank = F.struct("doc", "tie", "place")
-    first = many.groupBy("a", "b").agg(F.min(rank).alias("first")).select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
-    later = many.withColumn("key", F.xxhash64("a", "b")).join(first, "key").filter((F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (rank != F.col("first")))
-    return later.select("doc", "tie", "place")
+    if not passages:
+        return _with_first(many.drop("n", "before", "behind")).filter("later").select("doc", "tie", "place", F.lit(1).alias("n"))
+    same = lambda c: (F.min(c) == F.max(c)).alias(f"same_{c}")
+    mixed = (F.col("place") >= WINDOW) & ~(F.col("same_before") & F.col("same_behind"))
+    told = _with_first(many, same("before"), same("behind")).withColumn("mixed", mixed).filter("later OR mixed")
+    told = materialise(told.select("doc", "tie", "place", "n", "later", "mixed", "same_before", "same_behind"))
+    found = told.filter("mixed").groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(
+        F.collect_set(F.struct("place", "same_before", "same_behind")).alias("found")).withColumn("found_key", F.xxhash64("d", "t"))
+    texts = docs.withColumn("text_key", F.xxhash64("doc", "tie")).join(
+        found, (F.col("text_key") == F.col("found_key")) & (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")))
+    beside = materialise(texts.select("doc", "tie", "text", "found").mapInArrow(_beside, _PLACES_DDL))
+    single = _with_first(beside).filter("later").select("doc", "tie", "place", F.lit(1).alias("n"))
+    whole = told.filter("later").select("doc", "tie", "place", F.when(F.col("same_behind"), F.col("n")).otherwise(1).alias("n"))
+    return whole.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
@@ -232,16 +263,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = not docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     tie = F.xxhash64(F.col(f"`{text}`")) if shared else F.lit(0).cast("bigint")
     later = repeated_units(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(f"`{text}`").alias("text")), passages)
+    own = "__own"  # no column of docs begins with it
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     # repeated rows give the same units twice: a set
-    by_doc = later.groupBy("doc", "tie").agg(F.collect_set("place").alias("__found"))
-    by_doc = by_doc.withColumnsRenamed({"doc": "__doc", "tie": "__tie"})
-    joined = docs.withColumns({"__d": doc, "__t": tie}).join(by_doc, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__tie")), "left")
-    joined = joined.drop("__d", "__t", "__doc", "__tie")
+    by_doc = later.groupBy(F.col("doc").alias(f"{own}d"), F.col("tie").alias(f"{own}t")).agg(F.collect_set(F.struct("place", "n")).alias(f"{own}found"))
+    by_doc = by_doc.withColumn(f"{own}k", F.xxhash64(f"{own}d", f"{own}t"))
+    # the computed key lets adaptive execution split one text on a third of all rows
+    marked = docs.withColumns({f"{own}doc": doc, f"{own}tie": tie}).withColumn(f"{own}key", F.xxhash64(f"{own}doc", f"{own}tie"))
+    on = (F.col(f"{own}key") == F.col(f"{own}k")) & (F.col(f"{own}doc") == F.col(f"{own}d")) & (F.col(f"{own}tie") == F.col(f"{own}t"))
+    joined = marked.join(by_doc, on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], f"{own}found")
     out = docs.select("*", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("__spans"), F.lit(0).cast("bigint").alias("__n_removed")).schema
 
     def work(batches):
         for b in batches:
-            at, f = b.schema.get_field_index(text), b.schema.get_field_index("__found")
+            at, f = b.schema.get_field_index(text), b.schema.get_field_index(f"{own}found")
             done = [cut(t, found, min_words) for t, found in zip(b.column(at).to_pylist(), b.column(f).to_pylist())]
             cols = [b.column(i) for i in range(b.num_columns) if i != f]
             names = [n for i, n in enumerate(b.schema.names) if i != f]

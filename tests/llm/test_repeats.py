@@ -1,3 +1,6 @@
+import random
+import re
+
 from strataline.llm import repeats as R
 
 from .frames import HARD, documents, prose
@@ -53,12 +56,73 @@ def test_rows_with_the_same_id_and_no_rows(spark):
     assert R.remove_repeats(documents(spark, [])).count() == 0
 
 
+def covered(texts, whole_passages):
+    """Characters that go: runs of repeated units, and what is repeated beyond them. ``whole_passages``: only passages of PASSAGE words that
+    occur as a whole in an earlier place; else every run of that length whose GRAM-word windows have all occurred earlier."""
+    size = R.PASSAGE if whole_passages else R.GRAM
+    words, first = {}, {}
+    for i, t in sorted(texts.items()):
+        at = [m.span() for m in re.finditer(r"\S+", t or "")]
+        words[i] = at, [t[a:b].lower() for a, b in at]
+        for p in range(len(at) - size + 1):
+            first.setdefault(tuple(words[i][1][p:p + size]), (i, p))
+    out = {i: {c for a, b in spans for c in range(a, b)} for i, _, spans in brute([(i, t, None, None) for i, t in texts.items()], R.MIN_WORDS)}
+    for i, (at, said) in words.items():
+        later = [first[tuple(said[p:p + size])] != (i, p) for p in range(len(said) - size + 1)]
+        p = 0
+        while p < len(later):
+            z = p
+            while z < len(later) and later[z]:
+                z += 1
+            if z > p and z - p + size - 1 >= R.PASSAGE:
+                out[i] |= set(range(at[p][0], at[z + size - 2][1]))
+            p = max(z, p + 1)
+    return out
+
+
+def held_against_brute_force(texts, got):
+    """All whole passages go, and nothing that has not occurred earlier."""
+    least, most = covered(texts, True), covered(texts, False)
+    for i, t in texts.items():
+        text, spans = got[i]
+        gone = {c for a, b in spans for c in range(a, b)}
+        assert least[i] <= gone <= most[i]
+        assert text == (t and "".join(c for k, c in enumerate(t) if k not in gone))
+    return least, most
+
+
 def test_query(spark, sf_dir):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
-    want = {i: (t, s) for i, t, s in brute([(i, t, None, None) for i, t in texts.items()], R.MIN_WORDS)}
+    got = {}
     for r in R.op6_substring_dedup(spark, sf_dir).collect():
-        assert (r["text"], r["spans"]) == (want[r["doc_id"]][0], ",".join(f"{a}:{b}" for a, b in want[r["doc_id"]][1]))
-        assert r["removed_chars"] == len(texts[r["doc_id"]]) - len(r["text"])
+        got[r["doc_id"]] = r["text"], [tuple(map(int, s.split(":"))) for s in r["spans"].split(",") if s]
+        assert r["removed_chars"] == len(texts[r["doc_id"]] or "") - len(r["text"] or "")
+    least, most = held_against_brute_force(texts, got)
+    assert sum(least[i] == most[i] for i in texts) > 0.9 * len(texts)
+
+
+def test_passages_of_many_lengths_and_neighbours(spark):
+    rng = random.Random(12)
+    source = [[f"s{k}w{i}" for i in range(200)] for k in range(4)]
+    texts = {}
+    for i in range(60):
+        said = prose(300 + i, 15).split()
+        for _ in range(rng.randrange(4)):
+            k, n = rng.randrange(4), rng.choice([10, 24, 25, 26, 49, 50, 51, 75, 76, 120, 200])
+            p = rng.randrange(201 - n)
+            said += [*source[k][p:p + n], *prose(rng.randrange(10 ** 6), rng.randrange(3)).split()]
+        texts[i] = " ".join(said)
+    texts[60], texts[61] = texts[5], None
+    rows = [(i, t, "en", "s") for i, t in texts.items()]
+    got = {r["doc_id"]: (r["text"], [(s["start"], s["stop"]) for s in r["__spans"]]) for r in R.remove_repeats(documents(spark, rows), passages=True).collect()}
+    held_against_brute_force(texts, got)
+
+
+def test_clashing_columns_come_back(spark):
+    rows = [(k, "one two three four five six seven eight nine ten eleven.", k * 10, f"t{k}", k) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __d int, __t string, __own int")
+    got = sorted((r["doc_id"], r["text"], r["__d"], r["__t"], r["__own"]) for r in R.remove_repeats(df, passages=True).collect())
+    assert got == [(k, t if k == 0 else "", d, x, o) for k, t, d, x, o in rows]
 
 
 def test_passages_pasted_into_lines_and_repeated_lines(spark):
