@@ -98,21 +98,28 @@ class BlockMax:
         posting = ranges(self.start[term], size)
         if not len(posting):
             return []
-        bounds = np.bincount(self.own[posting], np.repeat(weight, size) * self.top[posting], self.blocks)
+        own, w = self.own[posting], np.repeat(weight, size)
+        bounds = np.bincount(own, w * self.top[posting], self.blocks)
         block = np.flatnonzero(bounds)
         bound = bounds[block]
         items, scores = np.zeros(0, np.int64), np.zeros(0)
-        left = np.lexsort((block, -bound))
-        step = 8
-        while len(left):
-            part, left, step = left[:step], left[step:], step * 2
-            want = (term[:, None] * self.blocks + block[part][None, :]).ravel()
-            spot = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            hit = self.key[spot] == want
-            spot, w = spot[hit], np.repeat(weight, len(part))[hit]
+        order = np.lexsort((block, -bound))
+        bound = bound[order]
+        place = np.zeros(self.blocks, np.int64)
+        place[block[order]] = np.arange(len(block))
+        # entries of the query's terms, block by block in the order of the bounds
+        place = place[own]
+        turn = np.argsort(place, kind="stable")
+        posting, w, place = posting[turn], w[turn], place[turn]
+        start, step, end = 0, 16, len(block)
+        while start < end:
+            stop = min(start + step, end)
+            lo, hi = np.searchsorted(place, (start, stop))
+            start, step = stop, step * 3
+            spot = posting[lo:hi]
             n = self.at[spot + 1] - self.at[spot]
             p = ranges(self.at[spot], n)
-            every = np.bincount(self.item[p], np.repeat(w, n) * self.weight[p], self.items)
+            every = np.bincount(self.item[p], np.repeat(w[lo:hi], n) * self.weight[p], self.items)
             more = np.flatnonzero(every)
             score = every[more]
             if len(more) > k:  # only what reaches the k-th best can stay
@@ -122,7 +129,7 @@ class BlockMax:
             order = np.lexsort((items, -scores))[:k]
             items, scores = items[order], scores[order]
             if len(items) == k:
-                left = left[bound[left] >= scores[-1] - 1e-12]
+                end = int(np.searchsorted(-bound, 1e-12 - scores[-1], side="right"))  # blocks with bound >= the k-th best
         return list(zip(items.tolist(), scores.tolist()))
 
 

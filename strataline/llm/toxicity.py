@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are words and beginnings of words (4 to 6 letters, so that inflected forms meet). The vocabulary is learned: terms that differ most
-between the labels, by the z-score of their document shares, up to ``MOST_TERMS``. Besides the z-score a term needs an effect (the
-correlation of its presence with the label) that does not depend on the size of the sample. Examples are vectors (1 + log tf) * idf of length 1
+Terms are words and beginnings of words (4 to 6 letters, so that inflected forms meet). The vocabulary is learned: terms whose share of
+the toxic examples differs from chance by an exact binomial test, at a false discovery rate of ``FALSE_SHARE`` over all terms that are
+frequent enough to reach ``LEAST_P`` at all, up to ``most_terms``. No size of effect is asked for, so a word in few toxic examples and in no
+other one counts. Equal texts are one example in the test. Examples are vectors (1 + log tf) * idf of length 1
 over this vocabulary. Every text finds its ``NEIGHBOURS`` nearest examples exactly; the score is the vote of their labels, weighted by
 the square of the cosine and by how many labelled rows an example stands for, with the share of toxic rows among the examples without
 any term as prior. A text without any term of the vocabulary gets that prior. The nearest examples are returned as evidence.
 
-Bound on learning: at most ``SAMPLE_ROWS`` labelled rows of each label, chosen by a hash; everything else covers all rows.
+Bounds on learning: at most ``sample_rows`` labelled rows of each label, chosen by a hash, also where doc_ids repeat, and at most
+``most_terms`` terms; everything else covers all rows.
 
 Defined results
 * Null and empty texts get the prior. Without labelled rows every score is 0. Several labels of one doc_id: toxic if one of them is.
@@ -28,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tails
 from ..session import materialise
 from .blockmax import BlockMax
 from .common import batched, held_out, held_out_id, prepare, rows_of, share, ship, table
 
 SAMPLE_ROWS = 6000
 MOST_TERMS = 4096
-LEAST_DOCS = 3
-LEAST_Z = 4.0
-LEAST_EFFECT = 0.07
+#: Terms are tested if their documents could give a p-value as small as this, all of them having the rarer label.
+LEAST_P = 1e-4
+FALSE_SHARE = 0.01
 NEIGHBOURS = 15
 #: Weight of the prior among the votes.
 PRIOR_WEIGHT = 4.0
@@ -152,25 +155,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in sorted(sizes)]
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])  # two bounded lists of ids
     chosen = chosen.withColumnRenamed("doc_id", "__doc")
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__doc"]).select("doc_id", "text", "toxic")
+    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__doc"]).select("doc_id", "text", "toxic", F.xxhash64("text").alias("tie"))
+    texts = materialise(texts.dropDuplicates(["doc_id", "tie", "text"]))
+    if any(n > sample_rows for n in dict(texts.groupBy("toxic").count().collect()).values()):
+        # several texts of one doc_id: the bound holds for texts, chosen by hashes; the lists hold numbers only
+        keys = texts.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie"), "toxic")
+        lists = [keys.filter(F.col("toxic") == y).orderBy(F.xxhash64("__doc", "__tie"), "__doc", "__tie").limit(sample_rows).drop("toxic") for y in sorted(sizes)]
+        kept = materialise(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]))
+        texts = materialise(texts.join(F.broadcast(kept), texts["doc_id"].eqNullSafe(kept["__doc"]) & (texts["tie"] == kept["__tie"]), "left_semi"))
     return materialise(texts.repartition(12)), {y: n / min(n, sample_rows) for y, n in sizes.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Neighbours | None:
+def telling_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list:
+    """term, toxic, clean (texts with the term by label) of the vocabulary, most certain first; see the module for the test."""
+    texts = sample.groupBy("tie", "text").agg(F.max("toxic").alias("toxic"))
+    sizes = dict(texts.groupBy("toxic").count().collect())
+    if not (sizes.get(0) and sizes.get(1)):
+        return []
+    share_toxic = sizes[1] / (sizes[0] + sizes[1])
+    least_docs = math.ceil(math.log(LEAST_P) / math.log(min(share_toxic, 1 - share_toxic)))
+    shares = texts.mapInArrow(_shares, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    tested = materialise(shares.filter(F.col("toxic") + F.col("clean") >= least_docs))
+    n = F.col("toxic") + F.col("clean")
+    more_toxic = F.col("toxic") > n * share_toxic
+    k = F.when(more_toxic, F.col("toxic")).otherwise(F.col("clean"))
+    p = tails.binomial_at_least(k, n, F.when(more_toxic, F.lit(share_toxic)).otherwise(F.lit(1 - share_toxic)))
+    best = tested.withColumn("p", p).filter(F.col("p") <= FALSE_SHARE).orderBy("p", F.desc(F.abs(F.col("toxic") - n * share_toxic)), "term").limit(most_terms).collect()
+    tests = 2 * tested.count()  # either label
+    last = max((r for r, x in enumerate(best, 1) if x["p"] <= FALSE_SHARE * r / tests), default=0)
+    return best[:last]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_terms: int = MOST_TERMS) -> Neighbours | None:
     """``docs``: doc_id, text. ``labels``: doc_id, toxic. None if nothing is labelled."""
     sample, stands = labelled_sample(docs, labels, sample_rows)
     if sample is None:
         return None
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    p, n = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    shares = sample.mapInArrow(_shares, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    both = (F.col("toxic") + F.col("clean") + 1) / float(p + n + 2)
-    z = F.abs(F.col("toxic") / float(p) - F.col("clean") / float(n)) / F.sqrt(both * (1 - both) * (1 / p + 1 / n))
-    chosen = shares.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("z", z).filter(
-        F.col("z") >= max(LEAST_Z, LEAST_EFFECT * math.sqrt(p + n)))
-    found = chosen.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
+    found = telling_terms(sample, most_terms)
+    total = sum(n * stands[y] for y, n in sample.select(F.xxhash64("text"), "toxic").distinct().groupBy("toxic").count().collect())
     vocabulary = [r["term"] for r in found]
-    total = p * stands.get(1, 0) + n * stands.get(0, 0)
     idf = np.array([1 + math.log(total / (r["toxic"] * stands.get(1, 0) + r["clean"] * stands.get(0, 0))) for r in found])
     numbers = {t: k for k, t in enumerate(vocabulary)}
 
@@ -183,8 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 c = counted(words, text)
                 yield doc, toxic, tie, list(c), list(c.values())
         return batched(rows(), schema)
-    tied = sample.select("doc_id", "toxic", F.xxhash64("text").alias("tie"), "text")
-    rows = tied.mapInArrow(vectors, "doc_id long, toxic int, tie long, terms array<int>, n array<int>").collect()  # at most 2 * sample_rows
+    rows = sample.select("doc_id", "toxic", "tie", "text").mapInArrow(vectors, "doc_id long, toxic int, tie long, terms array<int>, n array<int>").collect()  # at most 2 * sample_rows
     # neighbours in the index share their heaviest term, which keeps the maxima of a block close to its members
     rows.sort(key=lambda r: (r["toxic"], max(r["terms"], key=lambda t: (idf[t], t), default=-1), r["tie"], r["doc_id"]))
     return Neighbours(vocabulary, idf, [(r["doc_id"], r["toxic"], stands[r["toxic"]], dict(zip(r["terms"], r["n"]))) for r in rows])

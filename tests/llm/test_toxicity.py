@@ -53,3 +53,43 @@ def test_hard_rows_and_nothing_labelled(spark):
         got = T.scores(docs, T.learn(docs, df)).collect()
         assert len(got) == len(HARD) and all(0 <= r["score"] <= 1 for r in got)
     assert T.scores(documents(spark, []), None).count() == 0
+
+
+def test_vocabulary_by_brute_force(spark):
+    """Words in 0.3 % of the toxic texts are found, words spread evenly are not; the test is held against exact sums."""
+    common = [f"evenly{k:02d}" for k in range(40)]
+    rows = [(k, " ".join(common[(k // 2 * 7 + j * j) % 40] for j in range(5)) + f" t{k}" + (f" slur{k // 36}x" if k % 2 else ""), "en", "s") for k in range(12000)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(12000)], "doc_id long, quality int, toxic int")
+    sample, _ = T.labelled_sample(docs.select("doc_id", "text"), labels)
+    texts = {(r["text"], r["toxic"]) for r in sample.collect()}
+    n = [sum(y == v for _, y in texts) for v in (0, 1)]
+    q, counts = n[1] / sum(n), {}
+    for text, y in texts:
+        for t in {t for w in set(T.words_of(text)) for t in T.terms_of(w)}:
+            counts.setdefault(t, [0, 0])[y] += 1
+    least = math.ceil(math.log(T.LEAST_P) / math.log(min(q, 1 - q)))
+
+    def tail(k, size, p):
+        return sum(math.comb(size, j) * p ** j * (1 - p) ** (size - j) for j in range(k, size + 1))
+    tested = {t: tail(b, a + b, q) if b > (a + b) * q else tail(a, a + b, 1 - q) for t, (a, b) in counts.items() if least <= a + b <= 900}
+    m = 2 * sum(a + b >= least for a, b in counts.values())
+    ranked = sorted(tested.values())
+    last = max((r for r, p in enumerate(ranked, 1) if p <= T.FALSE_SHARE * r / m), default=0)
+    want = {t for t, p in tested.items() if last and p <= ranked[last - 1] * (1 + 1e-9)}
+    got = {r["term"]: r for r in T.telling_terms(sample)}
+    assert want == {t for t in got if sum(counts[t]) <= 900}
+    rare = [t for t, (a, b) in counts.items() if t.startswith("slur") and t.endswith("x") and not a and b >= 14]
+    assert rare and set(rare) <= set(got) and not {t for t in got if t.startswith("evenly")}
+    assert len(T.telling_terms(sample, 5)) == 5
+
+
+def test_bound_on_examples_where_ids_repeat(spark):
+    rows = [(k % 3, prose(k, 12), "en", "s") for k in range(900)] + [(7, "the same text", "en", "s")] * 500
+    docs = documents(spark, rows).select("doc_id", "text")
+    labels = spark.createDataFrame([(0, 0, 1), (1, 0, 0), (2, 0, 0), (7, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    whole, _ = T.labelled_sample(docs, labels)
+    held = {i for i in (0, 1, 2, 7) if T.held_out_id(i)}
+    assert whole.count() == 300 * len({0, 1, 2} - held) + (7 not in held)
+    few, _ = T.labelled_sample(docs, labels, 20)
+    assert all(n <= 20 for n in dict(few.groupBy("toxic").count().collect()).values()) and few.count() >= 20
