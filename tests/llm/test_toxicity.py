@@ -80,7 +80,8 @@ def test_vocabulary_by_brute_force(spark):
     got = {r["term"]: r for r in T.telling_terms(sample)}
     assert want == {t for t in got if sum(counts[t]) <= 900}
     rare = [t for t, (a, b) in counts.items() if t.startswith("slur") and t.endswith("x") and not a and b >= 14]
-    assert rare and set(rare) <= set(got) and not {t for t in got if t.startswith("evenly")}
+    assert rare and set(rare) <= set(got)
+    assert len([t for t in got if t.startswith("evenly")]) <= 2 * T.FALSE_SHARE * len(got)  # the rate is an expectation
     assert len(T.telling_terms(sample, 5)) == 5
 
 
