@@ -5,7 +5,8 @@ weight there, and the postings of each such block. A search adds block maxima fi
 never opened. Terms whose largest weight is very small (``light``) are not even looked up for the bounds: their sum is added as slack.
 Results are the same as scoring every item.
 
-A threshold search takes many queries at once and works on whole arrays; a top-k search opens blocks in the order of their bounds.
+A threshold search takes many queries at once and works on whole arrays; a top-k search opens blocks in the order of their bounds
+and keeps long posting lists as whole rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 from .common import ship
 
 BLOCK = 8
+DENSE = 16
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -53,6 +55,7 @@ class BlockMax:
         self.start, self.size = bounds[:-1], np.diff(bounds)
         self.most = np.zeros(terms)
         np.maximum.at(self.most, self.key // self.blocks, self.top)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
 
     def search(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: float, light: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) with score >= least > 0. A pair (query, term) occurs once; rows sorted by query."""
@@ -92,36 +95,57 @@ class BlockMax:
         good = score >= least
         return found[good] // self.items, found[good] % self.items, score[good]
 
+    def dense(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """term -> its weights as (block, place in the block) and their maxima, for terms that one item in ``DENSE`` has; at most ``DENSE`` numbers a posting.
+        Built when first asked for and not sent along."""
+        if self.rows is None:
+            self.rows = {}
+            count = self.at[self.start + self.size] - self.at[self.start]
+            for t in np.flatnonzero(count * DENSE >= self.items).tolist():
+                lo, hi = self.at[self.start[t]], self.at[self.start[t] + self.size[t]]
+                row = np.zeros(self.blocks * self.block)
+                row[self.item[lo:hi]] = self.weight[lo:hi]
+                row = row.reshape(self.blocks, self.block)
+                self.rows[t] = row, row.max(axis=1)
+        return self.rows
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rows": None}
+
     def best(self, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k items with the largest positive scores, largest first; ties by item number."""
-        size = self.size[term]
-        posting = ranges(self.start[term], size)
-        if not len(posting):
-            return []
-        own, w = self.own[posting], np.repeat(weight, size)
-        bounds = np.bincount(own, w * self.top[posting], self.blocks)
+        dense, query = self.dense(), list(zip(term.tolist(), weight.tolist()))
+        bounds = np.zeros(self.blocks)
+        for t, x in query:
+            if t in dense:
+                bounds += x * dense[t][1]
+            else:
+                at = slice(self.start[t], self.start[t] + self.size[t])
+                bounds[self.own[at]] += x * self.top[at]
         block = np.flatnonzero(bounds)
         bound = bounds[block]
         items, scores = np.zeros(0, np.int64), np.zeros(0)
         order = np.lexsort((block, -bound))
         bound = bound[order]
-        place = np.zeros(self.blocks, np.int64)
-        place[block[order]] = np.arange(len(block))
-        # entries of the query's terms, block by block in the order of the bounds
-        place = place[own]
-        turn = np.argsort(place, kind="stable")
-        posting, w, place = posting[turn], w[turn], place[turn]
+        block = block[order]
+        place = np.full(self.blocks, -1, np.int64)
         start, step, end = 0, 16, len(block)
         while start < end:
-            stop = min(start + step, end)
-            lo, hi = np.searchsorted(place, (start, stop))
-            start, step = stop, step * 3
-            spot = posting[lo:hi]
-            n = self.at[spot + 1] - self.at[spot]
-            p = ranges(self.at[spot], n)
-            every = np.bincount(self.item[p], np.repeat(w[lo:hi], n) * self.weight[p], self.items)
-            more = np.flatnonzero(every)
-            score = every[more]
+            part = block[start:min(start + step, end)]
+            start, step = start + step, step * 4
+            place[:] = -1
+            place[part] = np.arange(len(part))
+            every = np.zeros((len(part), self.block))
+            for t, x in query:
+                if t in dense:
+                    every += x * dense[t][0].take(part, axis=0)
+                else:
+                    lo, hi = self.at[self.start[t]], self.at[self.start[t] + self.size[t]]
+                    spot = place[self.item[lo:hi] // self.block]
+                    here = spot >= 0
+                    every[spot[here], self.item[lo:hi][here] % self.block] += x * self.weight[lo:hi][here]
+            at, inside = np.nonzero(every)
+            more, score = part[at] * self.block + inside, every[at, inside]
             if len(more) > k:  # only what reaches the k-th best can stay
                 enough = score >= np.partition(score, len(score) - k)[len(score) - k]
                 more, score = more[enough], score[enough]
