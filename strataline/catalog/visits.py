@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coding import delay_bin
 from ..operators import joins, longitudinal, reshape
+from ..operators.skew import attach
 from ..plans import battery
 from .registry import query
 
@@ -18,8 +19,8 @@ lon AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, event_type ORDER BY d
 
 def visits(t):
     e = t.events.select("user_id", "event_type", "event_id", F.to_date("ts").alias("d"), "value")
-    first = e.groupBy("user_id").agg(F.min("d").alias("r"))
-    return e.join(first, "user_id")
+    first = e.groupBy("user_id").agg(F.min("d").alias("r"), F.count(F.lit(1)).alias("n"))
+    return attach(e, first, ["user_id"], how="inner", keep_size=False)
 
 
 def visit_rows(t):
@@ -85,8 +86,8 @@ def packed_longitudinal(t):
     cells = e.groupBy("user_id", block()).agg(F.sort_array(F.collect_list(F.struct(
         F.col("event_id"), F.date_format("ts", "yyyy/MM/dd").alias("d"), F.col("event_type").alias("k"), shown.alias("v")))).alias("x"))
     only = lambda kind: F.array_join(F.transform("x", lambda s: F.when(s["k"] == kind, s["v"]).otherwise("ND")), "\n")
-    start = t.events.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("registration_date"))
-    wide = cells.join(start, "user_id").select("user_id", "registration_date", only("click").alias("clicks"), only("error").alias("errors"),
+    start = t.events.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("registration_date"), F.count(F.lit(1)).alias("n"))
+    wide = attach(cells, start, ["user_id"], how="inner", keep_size=False).select("user_id", "registration_date", only("click").alias("clicks"), only("error").alias("errors"),
                                                F.array_join(F.transform("x", lambda s: s["d"]), "\n").alias("measurement_date"))
     out = longitudinal.longitudinal_table(wide, {"clicks": "click", "errors": "error"}, "user_id", drop_missing=["click", "error"])
     return out.select("user_id", "measurement", F.col("measurement_date").cast("string").alias("measurement_date"), "measurement_value", "rank",
@@ -145,6 +146,29 @@ def agreement_by_delay(t):
     return battery.agreement_battery(method_rows(t), "click", ["view", "error"], ["event_id"]).drop("p_value")
 
 
+SPECIMENS_SQL = AGREEMENT_SQL.replace("lng AS (", "whole AS (SELECT id, num FROM num GROUP BY ALL HAVING count(*) = 3),\nkept AS (SELECT num.* FROM num JOIN whole USING (id, num)),\nlng AS (", 1)
+SPECIMENS_SQL = SPECIMENS_SQL.replace("FROM num UNION", "FROM kept UNION").replace("FROM num\n UNION", "FROM kept\n UNION").replace("FROM num),\npairs", "FROM kept),\npairs")
+
+
+def specimens(t):
+    """Wide rows, one per user and record number: id, name, two dates between other cells, four cells per method (date, two values, result).
+    A method without that record leaves its cells missing."""
+    rows = longitudinal.number_records(method_rows(t).withColumn("value", F.col("result") + 1), ["id", "method"], ["event_id"])
+    cells = [F.max(F.when(F.col("method") == m, c)).alias(f"{m}_{n}") for m in ("click", "view", "error") for n, c in (
+        ("date", F.date_format("method_date", "yyyy/MM/dd")), ("e", F.col("value")), ("rdrp", F.col("value")), ("result", F.col("result")))]
+    wide = rows.groupBy("id", "num").agg(F.date_format(F.max("condition_date"), "yyyy/MM/dd").alias("condition"),
+                                         F.date_format(F.max("onset_date"), "yyyy/MM/dd").alias("onset"), *cells)
+    return wide.select("id", F.lpad(F.col("num").cast("string"), 12, "0").alias("name"), F.lit("s").alias("site"), "condition", F.lit("t").alias("test"), "onset",
+                       *[f"{m}_{n}" for m in ("click", "view", "error") for n in ("date", "e", "rdrp", "result")])
+
+
+@query("T19 T17 T18 L5 R4", SPECIMENS_SQL, z=5)
+def agreement_of_specimens(t):
+    """The agreement battery from wide specimen rows; rows with a missing cell are left out."""
+    rows = battery.method_rows(specimens(t), {"click": 7, "view": 11, "error": 15})
+    return battery.agreement_battery(rows, "click", ["view", "error"], ["name"]).drop("p_value")
+
+
 @query("C21", f"""SELECT bin, count(*) AS n FROM (SELECT {BIN.format(d="date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) - 2")} AS bin FROM events) GROUP BY ALL""")
 def delay_bins(t):
     days = F.datediff(F.to_date("ts"), F.to_date(F.lit("2023-12-31"))) - 2
