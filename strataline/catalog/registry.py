@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, deal_out, stored_bytes
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self._folder = spark, folder
+        self._bytes: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        path = f"{self._folder}/{name}.parquet"
+        out = self.spark.read.parquet(path)
+        if name not in self._bytes:
+            self._bytes[name] = stored_bytes(self.spark, path)
+            deal_out(self.spark, sum(self._bytes.values()))
+        return out
 
 
 def query(operators: str, sql: str | None = None, digits: int = 6, **round_to: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 # A group larger than this is split over several tasks (see operators.ordered, operators.skew).
 GROUP_ROWS = 2_000_000
 GROUP_ROWS_KEY = "strataline.group_rows"
+# What one task reads of a shuffle or of a file at most, as far as Spark can deal it out: sorts and hash aggregates of a task hold
+# many times that.
+SHUFFLE_BYTES, FILE_BYTES = 4 << 20, 32 << 20
+SHUFFLE_BYTES_KEY = "strataline.shuffle_bytes"
+ADVISORY, INITIAL = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -19,9 +26,40 @@ def configure(spark: SparkSession) -> SparkSession:
     # split hot join partitions even where the next step then needs one more shuffle
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # shuffle partitions are merged, and files cut, up to these sizes only; a smaller setting of the session stays
+    for key, most in ((ADVISORY, shuffle_bytes(spark)), (SPLIT, FILE_BYTES)):
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+) *([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")  # as Spark writes sizes: 64MB, 16m, 65536b
+
+
+def shuffle_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(SHUFFLE_BYTES_KEY, str(SHUFFLE_BYTES)))
+
+
+def deal_out(spark: SparkSession, input_bytes: int) -> None:
+    """Enough shuffle partitions for an input of this size, so that what one task sorts and aggregates does not grow with it.
+
+    The number is only ever raised: adaptive execution merges what turns out small, but never splits a partition without a hot key.
+    Columnar files are about half as large as the rows shuffled from them."""
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+        now = int(spark.conf.get(INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = -(-2 * input_bytes // shuffle_bytes(spark))
+        if wanted > now:
+            spark.conf.set(INITIAL, str(wanted))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).getContentSummary(at).getLength()
+
+
 def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS)))
 
