@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
@@ -21,6 +24,8 @@ from .skew import attach, own_exchange
 
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 256
+FOREST_ROWS = 200_000  # from here on a forest may be grown on counted vectors
+FITS = 8  # trees that are fitted side by side
 BLOCK_VALUES = 20_000_000  # numbers per block: wide vectors get fewer rows
 
 
@@ -51,11 +56,17 @@ def _predict(model: Model, rows: DataFrame, keep: Sequence[str], name: str) -> D
         vector_to_array("probability")[1].alias("score"))
 
 
-def logistic(train: DataFrame, label: str, c: float = 1.0, features: str = "features"):
-    """L2 penalty with inverse strength ``c`` on unscaled features, intercept free."""
-    n = train.count()
+def counted_vectors(rows: DataFrame, label: str, features: str = "features", name: str = "__rows") -> DataFrame:
+    """Different vectors with their label and number of rows: what a learner that weighs rows needs of them."""
+    return materialise(rows.groupBy(features, label).agg(F.count(F.lit(1)).cast("double").alias(name)))
+
+
+def logistic(train: DataFrame, label: str, c: float = 1.0, features: str = "features", weight: str | None = None):
+    """L2 penalty with inverse strength ``c`` on unscaled features, intercept free. ``weight`` holds the number of equal rows."""
+    n = train.agg(F.sum(weight)).first()[0] if weight else train.count()
+    weights = {"weightCol": weight} if weight else {}
     return LogisticRegression(labelCol=label, featuresCol=features, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                              standardization=False, maxIter=100, tol=1e-8).fit(train)
+                              standardization=False, maxIter=100, tol=1e-8, **weights).fit(train)
 
 
 def forest(train: DataFrame, label: str, trees: int = 100, seed: int = 28, features: str = "features"):
@@ -63,8 +74,56 @@ def forest(train: DataFrame, label: str, trees: int = 100, seed: int = 28, featu
                                   featureSubsetStrategy="sqrt").fit(train)
 
 
-def boosting(train: DataFrame, label: str, stages: int = 100, features: str = "features"):
-    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=stages, maxDepth=3, stepSize=0.1, seed=28).fit(train)
+def _drawn(counted: DataFrame, label: str, trees: int, seed: int) -> DataFrame:
+    """Bootstrap numbers of every vector and label, one per tree: as many rows drawn one by one with replacement as Spark's forest
+    draws them (a Poisson number of mean 1 each) sum to a Poisson number whose mean is their count."""
+    def draw(batches):
+        for b in batches:
+            draws = [np.random.default_rng([seed, int(k) & 0xFFFFFFFFFFFFFFFF]).poisson(n, trees).astype(float) for k, n in zip(b["__seed"], b["__rows"])]
+            yield b[["__seed"]].assign(__draws=draws)
+
+    keyed = materialise(counted.withColumn("__seed", F.xxhash64(F.col("features").cast("string"), F.col(label))))
+    numbers = keyed.select("__seed", "__rows").mapInPandas(draw, "__seed long, __draws array<double>")
+    return materialise(keyed.join(numbers.dropDuplicates(["__seed"]), "__seed"))
+
+
+def forest_votes(counted: DataFrame, wanted: DataFrame, label: str, trees: int = 100, seed: int = 28) -> DataFrame:
+    """What a forest of that many trees says of the different vectors ``wanted`` (``__vector``, ``features``, their number ``__rows``), grown on
+    ``counted_vectors``: ``(__vector, __rows, prediction, score)``.
+
+    A tree is fitted on the vectors weighed by how often it drew them, so the work is by vectors and not by rows."""
+    drawn = _drawn(counted, label, trees, seed)
+    classes = F.col(label).alias(label, metadata={"ml_attr": {"type": "nominal", "num_vals": 2}})  # a tree may draw one class only
+
+    def tree(k: int) -> DataFrame:
+        rows = drawn.select("features", classes, F.col("__draws")[k].alias("__weight")).filter("__weight > 0")
+        model = RandomForestClassifier(labelCol=label, numTrees=1, maxDepth=30, seed=seed + k, bootstrap=False, weightCol="__weight",
+                                       featureSubsetStrategy="sqrt").fit(rows)
+        return model.transform(wanted).select("__vector", "__rows", vector_to_array("probability")[1].alias("p"))
+
+    with ThreadPool(FITS) as pool:
+        said = pool.map(inheritable_thread_target(counted.sparkSession)(tree), range(trees))
+    score = F.avg("p").alias("score")
+    return materialise(reduce(DataFrame.unionByName, said).groupBy("__vector", "__rows").agg(score)).withColumn(
+        "prediction", (F.col("score") > 0.5).cast("int"))
+
+
+def _forest_predictions(train: DataFrame, counted: DataFrame, validation: DataFrame, keep: Sequence[str], label: str, trees: int,
+                        seed: int) -> DataFrame:
+    """Many rows of few vectors go through ``forest_votes``; else the forest reads the rows."""
+    size = counted.agg(F.count(F.lit(1)).alias("vectors"), F.sum("__rows").alias("rows")).first()
+    if not size["rows"] or size["rows"] < FOREST_ROWS or size["vectors"] * trees > size["rows"]:
+        return _predict(forest(train, label, trees, seed), validation, keep, "Random_Forest")
+    named = validation.withColumn("__vector", F.col("features").cast("string"))
+    wanted = materialise(named.groupBy("__vector").agg(F.first("features").alias("features"), F.count(F.lit(1)).alias("__rows")))
+    votes = forest_votes(counted, wanted, label, trees, seed)
+    out = attach(named.select(*keep, "__vector"), votes, ["__vector"], "__rows", how="inner", keep_size=False)
+    return out.select(*keep, F.lit("Random_Forest").alias("model"), "prediction", "score")
+
+
+def boosting(train: DataFrame, label: str, stages: int = 100, features: str = "features", weight: str | None = None):
+    weights = {"weightCol": weight} if weight else {}
+    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=stages, maxDepth=3, stepSize=0.1, seed=28, **weights).fit(train)
 
 
 def coefficients(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
@@ -242,14 +301,18 @@ def compare_models(df: DataFrame, subject: str, features: Sequence[str], label:
 def compare_on_vectors(rows: DataFrame, subject: str, label: str, size: int, validation_share: float = 0.25,
                        seed: int = 28, trees: int = 100, stages: int = 100) -> DataFrame:
     """The same for rows that already carry a ``features`` vector of the given size, and perhaps the ``items`` of a 0/1 vector
-    (see ``item_features``), which the neighbours then go by."""
+    (see ``item_features``), which the neighbours then go by.
+
+    Regression and boosting draw no rows, so equal training rows are one row with their number as weight: their many passes
+    go over the different vectors. The forest does so too where many rows have few vectors (see ``forest_votes``)."""
     sets = "items" in rows.columns
     rows = materialise(rows.select(subject, label, "features", *["items"] * sets))  # every learner reads it several times
     train, validation = split(rows, [subject], validation_share, seed)
     keep = [subject, label]
-    out = _predict(logistic(train, label), validation, keep, "Logistic_Regression")
-    out = out.unionByName(_predict(forest(train, label, trees, seed), validation, keep, "Random_Forest"))
-    out = out.unionByName(_predict(boosting(train, label, stages), validation, keep, "Gradient_Boosting"))
+    counted = counted_vectors(train, label)
+    out = _predict(logistic(counted, label, weight="__rows"), validation, keep, "Logistic_Regression")
+    out = out.unionByName(_forest_predictions(train, counted, validation, keep, label, trees, seed))
+    out = out.unionByName(_predict(boosting(counted, label, stages, weight="__rows"), validation, keep, "Gradient_Boosting"))
     arrays = lambda d: d.withColumn("__a", F.col("items") if sets else vector_to_array("features"))
     block = BLOCK_ROWS if sets else max(CHUNK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(size, 1)))
     votes = knn_vote(nearest_neighbours(arrays(train), arrays(validation), subject, "__a", label, block_rows=block, sets=sets), subject)
