@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import configure
 
 BATCH_ROWS = 256
+#: Bits that ``by_marks`` broadcasts, 64 to a row: never more than MARKS / 64 rows, however many marks there are.
+MARKS = 1 << 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -90,6 +92,17 @@ def row_key(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
 
 
+def by_marks(rows: DataFrame, mark: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``mark`` is surely not among ``marks`` (column __mark), and the others. The second part also holds
+    the rows whose mark has a bit in common with one of them, about one in MARKS / number of marks."""
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(`{c}`, 64) as int))")
+    word = lambda c: F.shiftright(F.pmod(F.col(f"`{c}`"), F.lit(MARKS)), 6)
+    words = F.broadcast(marks.groupBy(word("__mark").alias("__word")).agg(F.bit_or(bit("__mark")).alias("__bits")))
+    told = rows.join(words, word(mark) == F.col("__word"), "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit(mark)) != 0, F.lit(False))
+    return tuple(told.filter(x).select(*[F.col(f"`{c}`") for c in rows.columns]) for x in (~hit, hit))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

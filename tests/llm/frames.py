@@ -19,6 +19,21 @@ def prose(seed, n, words=("the", "of", "and", "tion", "whale", "river", "stone",
     return " ".join(r.choice(words) + (r.choice(words) if r.random() < 0.5 else "") for _ in range(n))
 
 
+def exchanges(plan):
+    """Columns and rows written of every shuffle of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return exchanges(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return exchanges(plan.plan())
+    own = []
+    if name == "Exchange":
+        out = plan.output()
+        own = [([out.apply(k).name() for k in range(out.size())], plan.metrics().apply("shuffleRecordsWritten").value())]
+    below = plan.children()
+    return [x for k in range(below.size()) for x in exchanges(below.apply(k))] + own
+
+
 HARD = [
     (1, None, None, None), (2, "", "en", "a"), (3, "   \n\n ", "en", "a"), (4, "12345 !!", None, "a"),
     (5, "same text here\nsecond line", "en", "b"), (5, "same text here\nsecond line", "en", "b"), (6, "same text here\nsecond line", "en", None),

@@ -3,7 +3,7 @@ import re
 
 from strataline.llm import repeats as R
 
-from .frames import HARD, documents, prose
+from .frames import HARD, documents, exchanges, prose
 
 
 def brute(rows, min_words):
@@ -151,3 +151,55 @@ def test_every_passage_holds_a_sampled_window():
     assert len(every) == 376 and len(at) < 100 and all(at & set(range(p, p + R.REACH)) for p in range(len(every) - R.REACH + 1))
     shared = R.windows("other words " + text)
     assert (shared[2:] == every).all() and not len(R.windows(prose(1, 49)))
+
+
+def test_normal_units_and_places_agree_on_odd_texts():
+    cuts = re.compile(r"[.!?]+\s+|\n\s*")
+    rng = random.Random(3)
+    for k in range(3000):
+        text = "".join(rng.choice("aΣ.!?\n \t\x85\u3000\U0001f600\ud800İ") for _ in range(rng.randrange(25)))
+        ends = [0, *[m.end() for m in cuts.finditer(text)], len(text)]
+        want = [(a, b) for a, b in zip(ends, ends[1:]) if text[a:b].split()]
+        want = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip()), text[a:b].lower().split()) for a, b in want]
+        assert list(R.units(text)) == want
+        assert R.normal(text) == [" ".join(words).encode("utf-8", "surrogatepass") for _, _, words in want]
+
+
+def test_digests_on_many_rows_are_dealt_to_several_tasks(spark, monkeypatch):
+    rows = [(a, a % 3, doc, 0, R.WINDOW + doc % 7 if a % 2 else doc % 7, 1 + doc % 4, a * doc % 2, doc % (1 + a)) for a, n in ((-5, 3), (0, 900), (1, 1), (2, 1), (3, 40), (8, 700), (9, 500), (11, 6)) for doc in range(n)]
+    rows += [(9, 1, 4000, 0, R.WINDOW, 1, 0, 0), *rows[5:400:7]]
+    df = spark.createDataFrame(rows, R._UNITS_DDL)
+    got = []
+    monkeypatch.setattr(R, "HELD", 16)
+    for hot in (R.HOT, 100):
+        monkeypatch.setattr(R, "HOT", hot)
+        monkeypatch.setattr(R, "FEW", 1)
+        got.append(R._settled(df, df).select("doc", "tie", "place", "n", "later", "mixed", "same_before", "same_behind").collect())
+    want = []
+    for a, b, doc, tie, place, n, _, _ in rows:
+        group = [r for r in rows if r[:2] == (a, b)]
+        later = (doc, tie, place) != min(r[2:5] for r in group)
+        same = [len({r[k] for r in group}) == 1 for k in (6, 7)]
+        mixed = place >= R.WINDOW and not all(same)
+        if later or mixed:
+            want.append((doc, tie, place, n, later, mixed, *same))
+    cleared = lambda r: r if r[5] else (*r[:6], None, None)
+    for out in got:
+        assert sorted((cleared(tuple(r)) for r in out), key=repr) == sorted(map(cleared, want), key=repr)
+
+
+def test_a_unit_goes_through_one_exchange(spark, monkeypatch):
+    moved = []
+
+    def kept(df):
+        rows = df.collect()
+        moved.extend(exchanges(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(R, "materialise", kept)
+    said = [prose(k, 12) + "." for k in range(30)]
+    rows = [(k, " ".join([*said, prose(100 + k, 12)]), "en", "s") for k in range(60)]
+    out = R.remove_repeats(documents(spark, rows))
+    assert sum(r["__n_removed"] for r in out.collect()) == 59 * 30
+    moved += exchanges(out._jdf.queryExecution().executedPlan())
+    assert 60 * 31 <= sum(n for columns, n in moved if "a" in columns) < 1.2 * 60 * 31
