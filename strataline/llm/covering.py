@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import prepare, row_key, rows_of, ship, table
+from .common import by_marks, prepare, row_key, rows_of, ship, table
 from .components import components, follow
 
 #: A fingerprint of n 64-bit numbers links at 4 n - 1 differing bits: then one of its 2 n parts differs in at most 1.
@@ -292,13 +292,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = (F.col("mark") == F.col("__mark")) & (F.col("ka") == F.col("__ka")) & (F.col("kb") == F.col("__kb"))
     counted = rows.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("n"))
     gone = materialise(mark(counted.withColumn("mark", F.xxhash64("ka", "kb")).join(mark(kept), same, "left_anti")))
+    again = materialise(mark(counted.filter("n > 1").withColumn("mark", F.xxhash64("ka", "kb")).join(mark(kept), same, "left_semi")))
     taken = set(docs.columns)
     names = [next(x for x in (f"{c}{'_' * k}" for k in range(len(taken) + 1)) if x not in taken) for c in ("__a", "__b", "__m")]
     out = docs.withColumns({names[0]: key["a"], names[1]: key["b"]}).withColumn(names[2], F.xxhash64(*names[:2]))
-    out = out.join(gone, (F.col(names[2]) == F.col("__mark")) & (F.col(names[0]) == F.col("__ka")) & (F.col(names[1]) == F.col("__kb")), "left_anti")
-    # the shuffle over whole rows is only paid where a row that stays is repeated
-    again = counted.filter("n > 1").withColumn("mark", F.xxhash64("ka", "kb")).join(mark(kept), same, "left_semi")
-    return (out if again.isEmpty() else out.dropDuplicates(names[:2])).drop(*names)
+    # whole rows are shuffled only where they may go or are repeated; the others are told by one bit of their mark and stay where they lie
+    sure, open_ = by_marks(out, names[2], gone.unionByName(again))
+    open_ = open_.join(gone, (F.col(names[2]) == F.col("__mark")) & (F.col(names[0]) == F.col("__ka")) & (F.col(names[1]) == F.col("__kb")), "left_anti")
+    return sure.unionByName(open_ if again.isEmpty() else open_.dropDuplicates(names[:2])).drop(*names)
 
 
 def op9_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:

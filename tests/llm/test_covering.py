@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from strataline.llm import components as G
 from strataline.llm import covering as C
 
-from .frames import HARD, documents, prose
+from .frames import HARD, documents, exchanges, prose
 
 
 def brute_fp(text):
@@ -174,3 +174,17 @@ def test_no_other_text_goes_with_a_doc_id(spark):
     for clash in (False, True):
         got = C.keep_one(documents(spark, [(i, t, "en", "s") for i, t in rows], clash)).collect()
         assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (5, b), (5, c), (None, rows[4][1]), (None, rows[5][1]), (9, rows[7][1])], key=repr)
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rows = [(k, prose(k, 60), "en", "s") for k in range(300)] + [(300 + k, prose(k, 60), "en", "s") for k in range(20)]
+    rows += [rows[50], rows[60]]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = C.keep_one(documents(spark, rows))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    moved = [n for columns, n in exchanges(kept._jdf.queryExecution().executedPlan()) if "text" in columns]
+    assert moved and sum(moved) < 60  # 24 rows go or are repeated, each in one or two exchanges
